@@ -1,0 +1 @@
+"""Waymark streaming."""
