@@ -1,0 +1,33 @@
+"""Connected components of links, by alternating large and small stars over DataFrames."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import written
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, root) for every node of links (a, b): root is the least node that it reaches.
+
+    Large stars hang a node's greater neighbours on its least neighbour, small stars its lesser ones; both keep the
+    components, and after a number of rounds logarithmic in the longest chain every component is one star. Each round's
+    links are written to the shared folder; only their number and a checksum reach the driver.
+    """
+    pairs = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
+    pairs = written(pairs, "links")
+    seen = None
+    while True:
+        both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u")
+        small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
+        pairs = written(small, "links")
+        state = pairs.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))")).first()
+        if state == seen:
+            break
+        seen = state
+    return pairs.select(F.col("u").alias("node"), F.col("v").alias("root")).union(pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, media_jpeg, sharding, token_counts
+from . import byte_bpe, fingerprints, license_scan, media_jpeg, mixing, sharding, simhash, token_counts
 from .common import table
 
 
@@ -20,6 +20,10 @@ def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_jpeg.read_media(media_jpeg.store_media(table(spark, sf_dir, "documents")))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_digests(table(spark, sf_dir, "documents"), *_tokenizer("byte_bpe_50k.tiktoken"))
 
@@ -28,12 +32,24 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), *_tokenizer("byte_bpe_50k.json"))
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(table(spark, sf_dir, "documents"))
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_media_columns, op3_byte_bpe, op4_token_counts, op8_sharding)
+    f.__name__: f for f in (op1_media_columns, op2_license_scan, op3_byte_bpe, op4_token_counts, op5_fingerprints, op6_mixing, op8_sharding, op9_simhash)
 }
 
 ORACLE_SQL: dict[str, str] = {}
