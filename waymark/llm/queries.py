@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, fingerprints, license_scan, media_jpeg, mixing, sharding, simhash, token_counts
+from . import byte_bpe, fingerprints, license_scan, media_jpeg, mixing, quality, sharding, simhash, token_counts, toxicity
 from .common import table
 
 
@@ -40,6 +40,11 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score_quality(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(table(spark, sf_dir, "documents"))
 
@@ -48,8 +53,13 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_toxicity(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_media_columns, op2_license_scan, op3_byte_bpe, op4_token_counts, op5_fingerprints, op6_mixing, op8_sharding, op9_simhash)
+    f.__name__: f for f in (op1_media_columns, op2_license_scan, op3_byte_bpe, op4_token_counts, op5_fingerprints, op6_mixing, op7_quality, op8_sharding, op9_simhash, op10_toxicity)
 }
 
 ORACLE_SQL: dict[str, str] = {}
