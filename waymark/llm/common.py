@@ -80,6 +80,21 @@ def map_texts(
     return source.mapInArrow(run, out_schema)
 
 
+def filter_texts(df: DataFrame, function: Callable[[list[bytes]], list[bool]], text: str = "text") -> DataFrame:
+    """The rows of df, unchanged, for which function keeps the text (null: empty); in bounded chunks inside tasks."""
+    at = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [(t or "").encode() for t in batch.column(at).to_pylist()]
+            keep: list[bool] = []
+            for lo, hi in chunks([len(t) for t in texts]):
+                keep += function(texts[lo:hi])
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def _arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType

@@ -55,10 +55,10 @@ def targets(sizes: DataFrame, source: str = "source") -> DataFrame:
 
 
 def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
-    """key, size, source_size, target, taken, position (of the first use) and the `keep` columns, sorted by position.
+    """key, size, source_size, target, taken, copies, position and the `keep` columns, sorted by position.
 
     taken sums to the source's target, to a word: whole passes first, then the documents at the head of the order once
-    more, the last of them in part.
+    more, the last of them in part. copies is the same in whole documents.
     """
     narrow = df.select(F.col(key), F.col(source).alias("_source"), word_count(text).alias("size"), *keep)
     narrow = narrow.withColumn("_hash", F.xxhash64(F.col(key))).withColumn("_bucket", F.pmod(F.col("_hash"), F.lit(BUCKETS)))
@@ -78,9 +78,11 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     rest = F.round(F.col("target")).cast("long") - passes * F.col("source_size")
     taken = passes * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - start))
     rows = rows.withColumn("taken", F.least(taken, MOST_REPEATS * F.col("size")).cast("long"))
+    again = (start + F.col("size") / 2 <= rest) & (rest > 0)
+    rows = rows.withColumn("copies", F.least(passes + again.cast("long"), F.lit(MOST_REPEATS)).cast("long"))
     middle = F.least(F.lit(1.0), (start + F.col("size") / 2) / F.greatest(F.col("target"), F.lit(1.0)))
     rows = rows.withColumn("position", training_time(middle, F.col("weight")))
-    return rows.select(key, "size", "source_size", "target", "taken", "position", *keep).orderBy("position", key)
+    return rows.select(key, "size", "source_size", "target", "taken", "copies", "position", *keep).orderBy("position", key)
 
 
 def training_time(share: Column, weight: Column) -> Column:

@@ -17,10 +17,14 @@ repeated rows stay; an empty table gives no rows; other columns are not touched.
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
+from zlib import crc32
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -119,60 +123,62 @@ def local_links(tree_side: list[int], query_side: list[int] | None, radius: int)
     return [(signed(x), signed(r)) for x in list(parent) if (r := find(x)) != x]
 
 
-def links(nodes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
-    """(a, b): links that connect just the fingerprints `fp` of nodes (distinct) within the radius."""
+def _masks(radius: int, blocks: int) -> list[int]:
+    """Signed 64-bit masks of every choice of blocks - radius blocks."""
     cut = [64 * i // blocks for i in range(blocks + 1)]
-    masks = []
+    out = []
     for choice in combinations(range(blocks), blocks - radius):
         mask = sum(((1 << (cut[k + 1] - cut[k])) - 1) << cut[k] for k in choice)
-        masks.append(mask - (1 << 64) if mask >> 63 else mask)
-    keyed = nodes.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for i, m in enumerate(masks)])).alias("k")).select("fp", "k.*")
+        out.append(mask - (1 << 64) if mask >> 63 else mask)
+    return out
+
+
+def _slices(keyed: DataFrame, *keep: str) -> DataFrame:
+    """Rows of a shard (choice, bits) together and in order; a large shard once for each pair of its slices (s, t)."""
     large = keyed.groupBy("choice", "bits").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SHARD)
     slices = F.ceil(F.col("n") / SHARD).cast("int")
-    own = F.pmod(F.xxhash64("fp", F.lit(7)), slices).cast("int")
+    own = F.pmod(F.xxhash64("fp", F.lit(7), *keep), slices).cast("int")
     dealt = keyed.join(large, ["choice", "bits"], "left").withColumn("own", F.when(F.col("n").isNotNull(), own).otherwise(0))
     dealt = dealt.withColumn("other", F.explode(F.when(F.col("n").isNotNull(), F.sequence(F.lit(0), slices - 1)).otherwise(F.array(F.lit(0)))))
-    dealt = dealt.select("choice", "bits", F.least("own", "other").alias("s"), F.greatest("own", "other").alias("t"), "own", "fp")
-    dealt = dealt.repartition("choice", "bits", "s", "t").sortWithinPartitions("choice", "bits", "s", "t", "own", "fp")
+    dealt = dealt.select("choice", "bits", F.least("own", "other").alias("s"), F.greatest("own", "other").alias("t"), "own", "fp", *keep)
+    return dealt.repartition("choice", "bits", "s", "t").sortWithinPartitions("choice", "bits", "s", "t", "own", "fp")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple | None = None
-        first: list[int] = []
-        second: list[int] = []
-
-        def close() -> list[tuple[int, int]]:
-            if len(first) + len(second) < 2:
-                return []
-            return local_links(first, None if held[2] == held[3] else second, radius)
-
-        for batch in batches:
-            found: list[tuple[int, int]] = []
-            group = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            n = batch.num_rows
-            if not n:
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[list[int]]]:
+    """The columns of each run of equal (choice, bits, s, t) that has two rows or more."""
+    held: list[list[int]] | None = None
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        change = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns[:4]], axis=0)) + 1
+        for lo, hi in zip([0, *change.tolist()], [*change.tolist(), n], strict=True):
+            if held is not None and all(held[k][0] == columns[k][lo] for k in range(4)):
+                held = [h + c[lo:hi].tolist() for h, c in zip(held, columns, strict=True)]
                 continue
-            change = np.flatnonzero(np.any([g[1:] != g[:-1] for g in group[:4]], axis=0)) + 1
-            for lo, hi in zip([0, *change.tolist()], [*change.tolist(), n], strict=True):
-                key = tuple(int(g[lo]) for g in group[:4])
-                if key != held:
-                    found += close()
-                    held, first, second = key, [], []
-                if hi - lo == 1 and not first and not second and hi < n:
-                    continue  # alone in its shard
-                values = group[5][lo:hi].tolist()
-                if key[2] == key[3]:
-                    first += values
-                else:
-                    split = int(np.searchsorted(group[4][lo:hi], key[3]))
-                    first += values[:split]
-                    second += values[split:]
+            if held is not None and len(held[0]) > 1:
+                yield held
+            held = [c[lo:hi].tolist() for c in columns] if hi - lo > 1 or hi == n else None
+    if held is not None and len(held[0]) > 1:
+        yield held
+
+
+def links(nodes: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+    """(a, b): links that connect just the fingerprints `fp` of nodes (distinct) within the radius."""
+    keyed = nodes.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for i, m in enumerate(_masks(radius, blocks))])).alias("k")).select("fp", "k.*")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, s, t, own, fp in _runs(batches):
+            if s[0] == t[0]:
+                found = local_links(fp, None, radius)
+            else:
+                split = bisect_left(own, t[0])
+                found = local_links(fp[:split], fp[split:], radius)
             if found:
                 yield _pairs(found)
-        found = close()
-        if found:
-            yield _pairs(found)
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return _slices(keyed).mapInArrow(run, "a long, b long")
 
 
 def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -190,3 +196,117 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
     reached = groups.join(reached, "root").select("fp", "reach")
     named = nodes.join(reached, "fp", "left").select("fp", F.coalesce("reach", "least").alias("component_id"))
     return rows.join(named, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# Near-duplicate documents: SimHash candidates, checked on word shingles.
+
+#: Words of a shingle, least similarity of a pair, size of the sketch that estimates it (exact for fewer shingles).
+CHECK_SHINGLE, SIMILARITY, SKETCH = 5, 0.8, 256
+CANDIDATE_RADIUS, CANDIDATE_BLOCKS = 4, 6
+
+
+def portrait(text: bytes) -> tuple[int, int, int, bytes]:
+    """Hash of the words, two independent fingerprints of damped word counts, and a bottom-k sketch of shingles.
+
+    Single words, each weighed by the square root of its count, keep the fingerprints of texts with a few changed words
+    within a few bits, which fingerprints of longer shingles do not; the sketch then tells texts that only share words.
+    """
+    words = text.lower().split()
+    same = xxhash.xxh64_intdigest(b" ".join(words), SEED)
+    counts = Counter(words)
+    if counts:
+        bits = np.unpackbits(np.frombuffer(b"".join([xxhash.xxh3_128_digest(w, SEED) for w in counts]), np.uint8).reshape(-1, 16), axis=1)
+        weights = np.sqrt(np.fromiter(counts.values(), np.float32, len(counts)))
+        packed = np.packbits(weights @ bits * 2 > weights.sum()).tobytes()
+    else:
+        packed = bytes(16)
+    h = np.fromiter(map(crc32, words), np.uint64, len(words))
+    mixed = np.zeros(max(0 if not words else 1, len(words) - CHECK_SHINGLE + 1), np.uint64)
+    for k in range(min(CHECK_SHINGLE, len(words))):
+        mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + h[k : k + len(mixed)]
+    mixed ^= mixed >> np.uint64(29)
+    mixed *= np.uint64(0xBF58476D1CE4E5B9)
+    sketch = np.unique((mixed >> np.uint64(32)).astype(">u4"))[:SKETCH]
+    signed = lambda b: int.from_bytes(b, "big", signed=True)
+    return (same - (1 << 64) if same >> 63 else same), signed(packed[:8]), signed(packed[8:]), sketch.tobytes()
+
+
+def sketch_similarity(a: bytes, b: bytes) -> float:
+    """Jaccard similarity of two sets of shingles: exact up to SKETCH shingles of both together, else estimated."""
+    x, y = np.frombuffer(a, ">u4"), np.frombuffer(b, ">u4")
+    if not len(x) or not len(y):
+        return float(len(x) == len(y))
+    full = min(x[-1] if len(x) == SKETCH else 2**32 - 1, y[-1] if len(y) == SKETCH else 2**32 - 1)
+    union = np.union1d(x, y)
+    union = union[union <= full][:SKETCH] if len(x) == SKETCH or len(y) == SKETCH else union
+    both = np.intersect1d(x, y, assume_unique=True)
+    return float(np.isin(both, union, assume_unique=True).sum() / len(union))
+
+
+def hub_links(values: dict[int, list[int]], radius: int) -> list[tuple[int, int]]:
+    """Links of nodes to hubs: fingerprints with most nodes around them first, each that no hub reaches becomes one.
+
+    Hubs are further apart than the radius, so few of them reach one node: links grow with the nodes, not their square.
+    """
+    if len(values) == 1:
+        nodes = next(iter(values.values()))
+        return [(n, nodes[0]) for n in nodes[1:]]
+    tree = BKTree(radius)
+    for v in values:
+        tree.add(v)
+    near = {v: tree.within(v) for v in values}
+    weight = {v: sum(len(values[u]) for u in near[v]) for v in values}
+    reached: set[int] = set()
+    out = []
+    for v in sorted(values, key=lambda v: (-weight[v], v)):
+        if v in reached:
+            continue
+        hub = values[v][0]
+        for u in near[v]:
+            reached.add(u)
+            out += [(n, hub) for n in values[u] if n != hub]
+    return out
+
+
+def candidates(nodes: DataFrame, radius: int = CANDIDATE_RADIUS, blocks: int = CANDIDATE_BLOCKS) -> DataFrame:
+    """(a, b): nodes to compare, from either fingerprint. nodes: node, fp1, fp2."""
+    keyed = nodes.select("node", F.posexplode(F.array("fp1", "fp2")).alias("which", "fp"))
+    masks = _masks(radius, blocks)
+    keyed = keyed.select("node", "fp", F.explode(F.array(*[F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for i, m in enumerate(masks)])).alias("k"), "which")
+    keyed = keyed.select("node", "fp", (F.col("k.choice") * 2 + F.col("which")).alias("choice"), "k.bits")
+    dealt = _slices(keyed, "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _runs(batches):
+            values: dict[int, list[int]] = {}
+            mask = (1 << 64) - 1
+            for fp, node in zip(group[5], group[6], strict=True):
+                values.setdefault(fp & mask, []).append(node)
+            found = hub_links({v: sorted(n) for v, n in sorted(values.items())}, radius)
+            if found:
+                yield _pairs(found)
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def near_duplicate_documents(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key and group: the least key among documents of the same words and those of SIMILARITY or more, step by step.
+
+    Rows without a key are left out.
+    """
+    rows = map_texts(df.where(F.col(key).isNotNull()), lambda texts: [portrait(t) for t in texts], "same long, fp1 long, fp2 long, sketch binary", key, text)
+    rows = written(rows, "portraits")
+    nodes = written(rows.groupBy("same").agg(F.min(key).cast("long").alias("node"), F.max("fp1").alias("fp1"), F.max("fp2").alias("fp2")), "texts")
+    pairs = candidates(nodes.select("node", "fp1", "fp2")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
+    sketches = rows.join(nodes.select("node", F.col("same").alias("_s")), (F.col(key) == F.col("node")) & (F.col("same") == F.col("_s"))).select("node", "sketch").dropDuplicates(["node"])
+    sketches = written(sketches, "sketches")
+    compared = pairs.join(sketches.toDF("a", "sketch_a"), "a").join(sketches.toDF("b", "sketch_b"), "b")
+
+    @F.pandas_udf("double")
+    def similarity(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([sketch_similarity(a, b) for a, b in zip(x, y, strict=True)])
+
+    alike = compared.where(similarity("sketch_a", "sketch_b") >= SIMILARITY).select("a", "b")
+    found = components(alike)
+    named = nodes.join(found, "node", "left").select("same", F.coalesce("root", "node").alias("group"))
+    return rows.select(key, "same").join(named, "same").select(key, "group")
