@@ -135,7 +135,9 @@ def _masks(radius: int, blocks: int) -> list[int]:
 
 def _slices(keyed: DataFrame, *keep: str) -> DataFrame:
     """Rows of a shard (choice, bits) together and in order; a large shard once for each pair of its slices (s, t)."""
-    large = keyed.groupBy("choice", "bits").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SHARD)
+    large = written(keyed.groupBy("choice", "bits").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > SHARD), "large")
+    if large.isEmpty():  # no shard needs slices, so none is joined with its size
+        return keyed.select("choice", "bits", *[F.lit(0).alias(c) for c in ("s", "t", "own")], "fp", *keep).repartition("choice", "bits").sortWithinPartitions("choice", "bits", "fp")
     slices = F.ceil(F.col("n") / SHARD).cast("int")
     own = F.pmod(F.xxhash64("fp", F.lit(7), *keep), slices).cast("int")
     dealt = keyed.join(large, ["choice", "bits"], "left").withColumn("own", F.when(F.col("n").isNotNull(), own).otherwise(0))
