@@ -1,4 +1,4 @@
 """Queries over the star-schema tables and the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from .plans import catalogue, lines, network, scores, space  # noqa: F401  each registers its queries
+from .plans.base import ORACLE_SQL, QUERIES  # noqa: F401
