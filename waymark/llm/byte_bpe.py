@@ -18,7 +18,9 @@ import base64
 import functools
 import hashlib
 
+import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import map_texts
 from .pretokens import Memo, Splitter
@@ -165,8 +167,6 @@ def encode_ids(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text
 
 def decode_ids(df: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
     """key and the bytes that the ids stand for (null ids: no bytes)."""
-    import pandas as pd
-    from pyspark.sql import functions as F
 
     @F.pandas_udf("binary")
     def decoded(values: pd.Series) -> pd.Series:
