@@ -21,13 +21,18 @@ def around(x: Column, y: Column, side: float, reach: int = 1) -> Column:
     return F.flatten(F.transform(near, lambda dx: F.transform(near, lambda dy: F.struct((cx + dx).alias("cx"), (cy + dy).alias("cy")))))
 
 
-def within(left: DataFrame, right: DataFrame, radius: float, how: str = "inner") -> DataFrame:
-    """Pairs of rows at most radius apart, with `distance`; both sides have x and y, and right's are renamed rx, ry."""
+def within(left: DataFrame, right: DataFrame, radius: float, how: str = "inner", same: tuple[str, str] | None = None) -> DataFrame:
+    """Pairs of rows at most radius apart, with `distance`; both sides have x and y, and right's are renamed rx, ry.
+
+    `same` names a column of each side that must be equal too, as part of the equi-join.
+    """
     a = left.withColumn("_cell", F.explode(around(F.col("x"), F.col("y"), radius)))
     b = right.withColumnsRenamed({"x": "rx", "y": "ry"})
     b = b.withColumn("_cell2", cell(F.col("rx"), F.col("ry"), radius))
     distance = F.hypot(F.col("x") - F.col("rx"), F.col("y") - F.col("ry"))
     condition = (F.col("_cell") == F.col("_cell2")) & (distance <= radius)
+    if same:
+        condition = condition & (F.col(same[0]) == F.col(same[1]))
     if how == "left_semi":
         return a.join(b, condition, "left_semi").drop("_cell").distinct()
     return a.join(b, condition).withColumn("distance", distance).drop("_cell", "_cell2")
