@@ -194,3 +194,20 @@ def straight_share(lines: DataFrame, corners: DataFrame, line: str = "line", len
     share = F.least(F.lit(1.0), (F.coalesce("_good", F.lit(0.0)) + good(rest)) / F.col(length))
     alone = F.when(F.col(length).between(lo, hi), 1.0).otherwise(0.0)
     return lines.join(sums, line, "left").select(line, F.when(F.col(length) <= 0, 0.0).when(F.col("_last").isNull(), alone).otherwise(share).alias("straight_share"))
+
+
+def supported_spans(pairs: DataFrame, reasons: Column, evidence: list[str], line: str = "line", seq: str = "seq") -> tuple[DataFrame, DataFrame]:
+    """Spans of neighbouring vertex pairs that nothing rules out and whose evidence is the same, and what was dropped.
+
+    pairs: line, seq, length_m and the evidence columns; reasons: names of what rules a pair out, in order. Gives
+    (line, span, first_seq, last_seq, length_m, evidence) and (reason, pairs, km) by the first reason.
+    """
+    marked = pairs.withColumn("_why", F.get(reasons, F.lit(0)))
+    dropped = marked.where("_why is not null").groupBy(F.col("_why").alias("reason")).agg(F.count(F.lit(1)).alias("pairs"), (F.sum("length_m") / 1000).alias("km"))
+    w = _order(line, seq)
+    same = F.struct(*evidence)
+    good = marked.where("_why is null").withColumn("_same", same)
+    new = (F.lag(seq).over(w) == F.col(seq) - 1) & F.lag("_same").over(w).eqNullSafe(F.col("_same"))
+    spans = good.withColumn("_new", F.when(new, 0).otherwise(1)).withColumn("span", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    kept = spans.groupBy(line, "span").agg(F.min(seq).alias("first_seq"), F.max(seq).alias("last_seq"), F.sum("length_m").alias("length_m"), *[F.first(e).alias(e) for e in evidence])
+    return kept, dropped
