@@ -372,6 +372,21 @@ def test_sketch_is_exact_for_short_texts():
     assert simhash.sketch_similarity(simhash.portrait(b"")[3], simhash.portrait(b"")[3]) == 1.0
 
 
+def test_near_duplicates_are_checked_on_whole_texts(spark):
+    """Pairs just at 0.8 and just under it, longer than a sketch, which has some of them wrong."""
+    rows, similar = [], set()
+    for i in range(60):
+        words, cut = [f"w{i}x{k}" for k in range(604)], 66 + i % 2  # of 600 shingles, 66 differ at 0.802 and 67 at 0.799
+        rows += [(2 * i, " ".join(words).encode()), (2 * i + 1, " ".join(words[:-cut] + [f"y{i}x{k}" for k in range(cut)]).encode())]
+        if cut == 66:
+            similar.add(2 * i + 1)
+    sketches = [simhash.portrait(t)[3] for _, t in rows]
+    assert {k for k in range(1, 120, 2) if simhash.sketch_similarity(sketches[k - 1], sketches[k]) >= 0.8} != similar
+    texts = spark.createDataFrame(rows, "same long, body binary")
+    pairs = spark.createDataFrame([(2 * i + 1, 2 * i) for i in range(60)], "a long, b long")
+    assert {r["a"] for r in simhash.alike(pairs, texts).collect()} == similar
+
+
 def test_simhash_odd_rows(odd, empty):
     rows = simhash.near_duplicates(odd).collect()
     assert len(rows) == len(ODD)

@@ -291,24 +291,45 @@ def candidates(nodes: DataFrame, radius: int = CANDIDATE_RADIUS, blocks: int = C
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def shingle_set(text: bytes) -> set[tuple[bytes, ...]]:
+    """The whole set of word shingles; fewer words than a shingle make one, no words none."""
+    words = text.lower().split()
+    return set(zip(*[words[k:] for k in range(CHECK_SHINGLE)])) if len(words) >= CHECK_SHINGLE else {tuple(words)} if words else set()
+
+
+def similar(a: set, b: set) -> bool:
+    """Whether the Jaccard similarity is SIMILARITY or more, in whole numbers: 4/5."""
+    both = len(a & b)
+    return 5 * both >= 4 * (len(a) + len(b) - both)
+
+
+def alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes that are similar on their whole sets of shingles. texts: same, body."""
+    compared = pairs.join(texts.select(F.col("same").alias("a"), F.col("body").alias("body_a")), "a").join(texts.select(F.col("same").alias("b"), F.col("body").alias("body_b")), "b")
+
+    @F.pandas_udf("boolean")
+    def check(x: pd.Series, y: pd.Series) -> pd.Series:
+        out, last, of = [], None, set()
+        for a, b in zip(x, y, strict=True):
+            if b != last:  # rows come in the order of b
+                last, of = b, shingle_set(b)
+            out.append(similar(shingle_set(a), of))
+        return pd.Series(out, dtype=bool)
+
+    return compared.where(check("body_a", "body_b")).select("a", "b")
+
+
 def near_duplicate_documents(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key and group: the least key among documents of the same words and those of SIMILARITY or more, step by step.
 
+    A node is the hash of a text's words. Fingerprints only propose pairs; each is checked on both whole texts.
     Rows without a key are left out.
     """
-    rows = map_texts(df.where(F.col(key).isNotNull()), lambda texts: [portrait(t) for t in texts], "same long, fp1 long, fp2 long, sketch binary", key, text)
+    rows = map_texts(df.where(F.col(key).isNotNull()), lambda texts: [(*portrait(t)[:3], t) for t in texts], "same long, fp1 long, fp2 long, body binary", key, text)
     rows = written(rows, "portraits")
-    nodes = written(rows.groupBy("same").agg(F.min(key).cast("long").alias("node"), F.max("fp1").alias("fp1"), F.max("fp2").alias("fp2")), "texts")
-    pairs = candidates(nodes.select("node", "fp1", "fp2")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    sketches = rows.join(nodes.select("node", F.col("same").alias("_s")), (F.col(key) == F.col("node")) & (F.col("same") == F.col("_s"))).select("node", "sketch").dropDuplicates(["node"])
-    sketches = written(sketches, "sketches")
-    compared = pairs.join(sketches.toDF("a", "sketch_a"), "a").join(sketches.toDF("b", "sketch_b"), "b")
-
-    @F.pandas_udf("double")
-    def similarity(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([sketch_similarity(a, b) for a, b in zip(x, y, strict=True)])
-
-    alike = compared.where(similarity("sketch_a", "sketch_b") >= SIMILARITY).select("a", "b")
-    found = components(alike)
-    named = nodes.join(found, "node", "left").select("same", F.coalesce("root", "node").alias("group"))
+    texts = written(rows.groupBy("same").agg(F.min(key).alias("least"), F.max("fp1").alias("fp1"), F.max("fp2").alias("fp2"), F.first("body").alias("body")), "texts")
+    pairs = candidates(texts.select(F.col("same").alias("node"), "fp1", "fp2")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
+    found = components(alike(pairs, texts))
+    nodes = texts.select("same", "least").join(found.select(F.col("node").alias("same"), "root"), "same", "left").withColumn("root", F.coalesce("root", "same"))
+    named = nodes.join(nodes.groupBy("root").agg(F.min("least").alias("group")), "root").select("same", "group")
     return rows.select(key, "same").join(named, "same").select(key, "group")
