@@ -387,6 +387,29 @@ def test_near_duplicates_are_checked_on_whole_texts(spark):
     assert {r["a"] for r in simhash.alike(pairs, texts).collect()} == similar
 
 
+@pytest.mark.parametrize("shard", [4096, 7])
+def test_near_duplicates_lose_no_pair(spark, monkeypatch, shard):
+    """Contiguous changes, chains, and a shingle that every text has: the groups are those of brute force."""
+    rng, texts = np.random.default_rng(5), []
+    for i in range(40):
+        words = [f"w{k}" for k in rng.integers(0, 3000, rng.integers(60, 400))]
+        n = len(words)
+        texts += [words, words + [f"e{i}x{k}" for k in range(n // 5)], words[n // 10 :], words[: n - n // 12] + [f"r{i}x{k}" for k in range(n // 12)]]
+        texts += [words[n // 6 :] + [f"c{i}x{k}" for k in range(n // 6)]]
+    texts = [["one", "line", "that", "all", "hold"] + t for t in texts] + [["one", "line", "that", "all", "hold", f"s{i}"] for i in range(20)]
+    sets = [simhash.shingle_set(" ".join(t).encode()) for t in texts]
+    group = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                lo, hi = sorted((group[a], group[b]))
+                group = [lo if g == hi else g for g in group]
+    assert 40 < len(set(group)) < 120
+    monkeypatch.setattr(simhash, "SHARD", shard)
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    assert {r["doc_id"]: r["group"] for r in simhash.near_duplicate_documents(df).collect()} == dict(enumerate(group))
+
+
 def test_simhash_odd_rows(odd, empty):
     rows = simhash.near_duplicates(odd).collect()
     assert len(rows) == len(ODD)

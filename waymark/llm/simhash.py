@@ -205,6 +205,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
 #: Words of a shingle, least similarity of a pair, size of the sketch that estimates it (exact for fewer shingles).
 CHECK_SHINGLE, SIMILARITY, SKETCH = 5, 0.8, 256
 CANDIDATE_RADIUS, CANDIDATE_BLOCKS = 4, 6
+#: Texts that the order of shingles is taken from, and shingles of that order.
+SAMPLE_TEXTS, COMMON = 20_000, 1 << 17
 
 
 def portrait(text: bytes) -> tuple[int, int, int, bytes]:
@@ -319,17 +321,103 @@ def alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return compared.where(check("body_a", "body_b")).select("a", "b")
 
 
+def shingle_hashes(text: bytes) -> np.ndarray:
+    """Distinct 64-bit hashes of the word shingles."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    mixed = np.zeros(max(1, len(words) - CHECK_SHINGLE + 1), np.uint64)
+    for k in range(min(CHECK_SHINGLE, len(words))):
+        mixed = (mixed ^ mixed >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15) + h[k : k + len(mixed)]
+    mixed = (mixed ^ mixed >> np.uint64(32)) * np.uint64(0xBF58476D1CE4E5B9)
+    return np.unique(mixed ^ mixed >> np.uint64(29))
+
+
+def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, sorted, and counts of at most COMMON shingles that several texts of a sample hold.
+
+    They only order shingles, so the sample bears on the cost and not on the result.
+    """
+    part = max(1, texts.count() // SAMPLE_TEXTS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_hashes(text).view(np.int64))], names=["h"])
+
+    hashed = texts.where(F.pmod(F.xxhash64("same", F.lit(5)), F.lit(part)) == 0).select("body").mapInArrow(run, "h long")
+    most = hashed.groupBy("h").count().where("count > 1").orderBy(F.desc("count"), "h").limit(COMMON).collect()
+    h, n = np.array([r["h"] for r in most], np.int64).view(np.uint64), np.array([r["count"] for r in most], np.int64)
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def prefixes(texts: DataFrame) -> DataFrame:
+    """node, n, h, pos: the first n // 5 + 1 of a text's n shingles, rarest first.
+
+    Texts at 4/5 or more share at least 4/5 of either's shingles, so one of them is in both prefixes.
+    """
+    common = texts.sparkSession.sparkContext.broadcast(common_shingles(texts))  # at most COMMON shingles
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, counts = common.value
+        for batch in batches:
+            for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                h = shingle_hashes(text)
+                if not len(h):
+                    continue  # all texts without words are one node
+                count = np.zeros(len(h), np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                    count = np.where(known[at] == h, counts[at], 0)
+                first = h[np.lexsort((h, count))][: len(h) // 5 + 1]
+                made = [np.full(len(first), node, np.int64), np.full(len(first), len(h), np.int32), first.view(np.int64), np.arange(len(first), dtype=np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in made], names=["node", "n", "h", "pos"])
+
+    return texts.select("same", "body").mapInArrow(run, "node long, n int, h long, pos int")
+
+
+def buckets(texts: DataFrame) -> DataFrame:
+    """Prefix rows whose shingle is in two prefixes or more, with the least node of the shingle as hub, and its n."""
+    rows = written(prefixes(texts), "prefixes")
+    shared = rows.groupBy("h").agg(F.count(F.lit(1)).alias("_rows"), F.min(F.struct("node", "n")).alias("hub")).where("_rows > 1")
+    return written(rows.join(shared.drop("_rows"), "h"), "buckets")
+
+
+def across(shared: DataFrame, linked: DataFrame) -> DataFrame:
+    """(a, b): all pairs of a bucket in different components that can be similar by their sizes and places.
+
+    At their first common shingle in the order, what is left of the shorter rest bounds their overlap. A bucket of more
+    than SHARD nodes is dealt by slices. Pairs inside a component are settled, whatever their similarity.
+    """
+    rows = shared.join(linked, "node", "left").select("h", "node", "n", "pos", F.coalesce("root", "node").alias("root"))
+    mixed = rows.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    rows = written(rows.join(mixed.select("h", F.ceil(F.col("m") / SHARD).cast("int").alias("slices")), "h"), "mixed")
+    left = rows.select("h", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int").alias("s"), *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "pos", "root")])
+    right = rows.select("h", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("s"), *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "pos", "root")])
+    both = left.join(right, ["h", "s"]).where("node_a > node_b and root_a <> root_b and 9L * least(n_a - pos_a, n_b - pos_b) >= 4L * (n_a + n_b)")
+    return both.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+
+
 def near_duplicate_documents(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key and group: the least key among documents of the same words and those of SIMILARITY or more, step by step.
 
-    A node is the hash of a text's words. Fingerprints only propose pairs; each is checked on both whole texts.
-    Rows without a key are left out.
+    A node is the hash of a text's words. Fingerprints and hubs of rare shingles propose the pairs of a first round; in
+    a second, all pairs that share a prefix shingle and are not yet in one component are compared, so no link is lost.
+    Each pair is checked on both whole texts. Rows without a key are left out.
     """
     rows = map_texts(df.where(F.col(key).isNotNull()), lambda texts: [(*portrait(t)[:3], t) for t in texts], "same long, fp1 long, fp2 long, body binary", key, text)
     rows = written(rows, "portraits")
     texts = written(rows.groupBy("same").agg(F.min(key).alias("least"), F.max("fp1").alias("fp1"), F.max("fp2").alias("fp2"), F.first("body").alias("body")), "texts")
-    pairs = candidates(texts.select(F.col("same").alias("node"), "fp1", "fp2")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    found = components(alike(pairs, texts))
+    shared = buckets(texts)
+    hubs = shared.where("node <> hub.node and 5L * least(n, hub.n) >= 4L * greatest(n, hub.n)").select(F.col("node").alias("a"), F.col("hub.node").alias("b"))
+    proposed = candidates(texts.select(F.col("same").alias("node"), "fp1", "fp2")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").union(hubs)
+    proposed = written(proposed.distinct(), "proposed")
+    first = written(alike(proposed, texts), "first")
+    linked = written(components(first).select("node", "root"), "linked")
+    rest = across(shared, linked).join(proposed, ["a", "b"], "left_anti")
+    found = components(first.union(alike(rest, texts)))
     nodes = texts.select("same", "least").join(found.select(F.col("node").alias("same"), "root"), "same", "left").withColumn("root", F.coalesce("root", "same"))
     named = nodes.join(nodes.groupBy("root").agg(F.min("least").alias("group")), "root").select("same", "group")
     return rows.select(key, "same").join(named, "same").select(key, "group")
