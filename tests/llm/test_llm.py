@@ -223,6 +223,16 @@ def test_mix_targets_and_reruns(spark, documents):
     assert sorted(got) == sorted(mixing.mix(df.repartition(7)).collect())
 
 
+def test_mix_places_every_pass(spark):
+    """A source that is used twice is spread over all of training, in both passes."""
+    rows = [(k, "a b c d", "large" if k % 10 else "small") for k in range(400)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert all(len(r["positions"]) == r["copies"] and r["positions"][:1] in ([], [r["position"]]) for r in got)
+    small = [r["positions"] for r in got if r["doc_id"] % 10 == 0]
+    assert all(len(p) == 2 and p[0] < p[1] for p in small)
+    assert max(p[0] for p in small) <= min(p[1] for p in small) and max(p[1] for p in small) > 0.95
+
+
 def test_mix_odd_rows(odd, empty):
     rows = mixing.mix(odd).collect()
     assert len(rows) == len(ODD) and sum(r["taken"] for r in rows) == pytest.approx(1.5 * sum(r["size"] for r in rows), abs=4)

@@ -76,6 +76,19 @@ def test_mix_takes_whole_documents(stages):
     assert sum(size[k] * n for k, n in copies.items()) == pytest.approx(1.5 * total, rel=0.2)
 
 
+def test_mix_keeps_the_rows_it_chose(spark):
+    """Rows without an id or with one id: each is placed by its own size and source, and copies lie apart."""
+    rows = [(None if k % 2 else 7, " ".join([f"w{k}"] * (1 + k % 9)), "en", "large" if k % 10 else "small", 9 - k % 9) for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = [r["text"] for r in corpus_pipeline.mix_sources(spark, docs, "").collect()]
+    names = {r[1]: r[3] for r in rows}
+    copies = collections.Counter(got)
+    assert all(copies[t] == 2 for t, s in names.items() if s == "small")
+    assert max(copies.values()) <= 2 and not any(a == b for a, b in zip(got, got[1:]))
+    words = sum(len(r[1].split()) for r in rows)
+    assert sum(len(t.split()) for t in got) == pytest.approx(1.5 * words, abs=20)
+
+
 def test_run_gives_the_last_stage(spark):
     assert corpus_pipeline.ORACLE_SQL is None
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0

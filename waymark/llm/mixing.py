@@ -4,6 +4,7 @@ Each source has a weight schedule over training time 0..1, here from its weight
 end; the integral of the schedule, scaled to the source's target, is the source's cumulative demand for words. A
 source's documents, in the order of a hash, supply that demand one after the other (twice where the target asks for
 it); inverting the demand at a document's middle gives its training position, and rows are range-sorted by position.
+Each pass has positions of its own: pass k begins where k times the source's words have been used.
 
 Targets: sources in code point order (null last) weigh 5, 2, 1, repeating, and share 150 % of all words; none is above
 twice its source's words, and what is above goes to the others by weight (water filling, one row for each source).
@@ -55,10 +56,11 @@ def targets(sizes: DataFrame, source: str = "source") -> DataFrame:
 
 
 def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
-    """key, size, source_size, target, taken, copies, position and the `keep` columns, sorted by position.
+    """key, size, source_size, target, taken, copies, position, positions and the `keep` columns, sorted by position.
 
     taken sums to the source's target, to a word: whole passes first, then the documents at the head of the order once
-    more, the last of them in part. copies is the same in whole documents.
+    more, the last of them in part. copies is the same in whole documents; positions has one for each copy, position is
+    the first use's, also where there is none.
     """
     narrow = df.select(F.col(key), F.col(source).alias("_source"), word_count(text).alias("size"), *keep)
     narrow = narrow.withColumn("_hash", F.xxhash64(F.col(key))).withColumn("_bucket", F.pmod(F.col("_hash"), F.lit(BUCKETS)))
@@ -80,9 +82,12 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     rows = rows.withColumn("taken", F.least(taken, MOST_REPEATS * F.col("size")).cast("long"))
     again = (start + F.col("size") / 2 <= rest) & (rest > 0)
     rows = rows.withColumn("copies", F.least(passes + again.cast("long"), F.lit(MOST_REPEATS)).cast("long"))
-    middle = F.least(F.lit(1.0), (start + F.col("size") / 2) / F.greatest(F.col("target"), F.lit(1.0)))
-    rows = rows.withColumn("position", training_time(middle, F.col("weight")))
-    return rows.select(key, "size", "source_size", "target", "taken", "copies", "position", *keep).orderBy("position", key)
+    at = [
+        training_time(F.least(F.lit(1.0), (k * F.col("source_size") + start + F.col("size") / 2) / F.greatest(F.col("target"), F.lit(1.0))), F.col("weight"))
+        for k in range(MOST_REPEATS)
+    ]
+    rows = rows.withColumn("position", at[0]).withColumn("positions", F.slice(F.array(*at), F.lit(1), F.col("copies").cast("int")))
+    return rows.select(key, "size", "source_size", "target", "taken", "copies", "position", "positions", *keep).orderBy("position", key)
 
 
 def training_time(share: Column, weight: Column) -> Column:
