@@ -76,6 +76,15 @@ def test_mix_takes_whole_documents(stages):
     assert sum(size[k] * n for k, n in copies.items()) == pytest.approx(1.5 * total, rel=0.2)
 
 
+def test_texts_of_one_id_are_told_apart(spark):
+    """Two texts of one id both stay, a copy under another id goes, rows without an id stay."""
+    one, two = (" ".join(f"{c}{k}" for k in range(50)) for c in "ab")
+    rows = [(5, one), (5, two), (5, two), (9, one + " more"), (None, one), (None, one)]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
+    assert collections.Counter(got) == collections.Counter([(5, one), (5, two), (None, one), (None, one)])
+
+
 def test_mix_keeps_the_rows_it_chose(spark):
     """Rows without an id or with one id: each is placed by its own size and source, and copies lie apart."""
     rows = [(None if k % 2 else 7, " ".join([f"w{k}"] * (1 + k % 9)), "en", "large" if k % 10 else "small", 9 - k % 9) for k in range(200)]
