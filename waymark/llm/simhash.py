@@ -206,7 +206,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
 CHECK_SHINGLE, SIMILARITY, SKETCH = 5, 0.8, 256
 CANDIDATE_RADIUS, CANDIDATE_BLOCKS = 4, 6
 #: Texts that the order of shingles is taken from, and shingles of that order.
-SAMPLE_TEXTS, COMMON = 20_000, 1 << 17
+SAMPLE_TEXTS, COMMON = 4_000, 1 << 17
 
 
 def portrait(text: bytes) -> tuple[int, int, int, bytes]:
