@@ -3,13 +3,18 @@
 Encodings of pieces of bytes form a monoid. A piece is encoded by encoding its halves and joining the two lists of
 tokens. A join encodes a window around the boundary anew and widens it until the tokens outside provably stay: a list
 of tokens is the encoding of its bytes exactly if each two neighbours are the encoding of their joined bytes, so once
-both pairs at the window's edges pass that test, nothing outside can change. Decoding concatenates up the tree.
+both pairs at the window's edges pass that test, nothing outside can change. A side that fails is widened by twice as
+many tokens each time, and a window is merged from a heap, so a join costs n log n at worst. The left half is the
+greatest power of two of characters (of bytes inside one character): runs of equal characters, whose tokens are cut
+from the left, then fall on the halves' boundary and need no widening. Decoding concatenates up the tree.
 
 A text is first split by the tokenizer's pattern; units never merge across its matches, so joining the lists of units
-is concatenation. Memos by piece are bounded. The vocabulary file is a parameter and is read once in each worker.
+is concatenation. Memos are bounded in keys and in their length. The vocabulary file is a parameter and is read once in
+each worker.
 
 Defined cases: a null or empty text has no tokens (the SHA-256 values of nothing); special tokens are ordinary text;
-repeated rows and very long texts need nothing special; other columns are not touched.
+repeated rows need nothing special; a text or a unit of any length is encoded as a whole, a unit of a million equal
+characters in seconds; other columns are not touched.
 """
 
 from __future__ import annotations
@@ -17,6 +22,9 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import heapq
+from collections.abc import Callable
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -27,21 +35,40 @@ from .pretokens import Memo, Splitter
 
 
 _NONE = 1 << 40
+#: Bytes up to which plain scanning merges faster than a heap.
+_FEW = 48
+
+
+class Pairs(dict):
+    """Remembers whether two tokens (left << 20 | right) are the encoding of their joined bytes."""
+
+    def __init__(self, holds: Callable[[int], bool], most: int = 200_000):
+        super().__init__()
+        self.holds, self.most = holds, most
+
+    def __missing__(self, pair: int) -> bool:
+        if len(self) >= self.most:
+            self.clear()
+        self[pair] = value = self.holds(pair)
+        return value
 
 
 class MergeRanks:
-    """Ranks of a tiktoken file; merge(piece) is plain lowest-rank merging and serves windows of a few bytes."""
+    """Ranks of a tiktoken file; merge(piece) is lowest-rank merging of a window."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {v: k for k, v in ranks.items()}
+        self.longest = max(map(len, ranks))
         self.windows = Memo(self.merge)
-        self.pairs = Memo(self._holds, 2_000_000)
+        self.pairs = Pairs(self._holds)
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
         ranks = self.ranks
         if piece in ranks:
             return (ranks[piece],)
+        if len(piece) > _FEW:
+            return self._merge_many(piece)
         parts = [piece[i : i + 1] for i in range(len(piece))]
         while len(parts) > 1:
             found = [ranks.get(a + b, _NONE) for a, b in zip(parts, parts[1:])]
@@ -52,19 +79,56 @@ class MergeRanks:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return tuple(ranks[p] for p in parts)
 
+    def _merge_many(self, piece: bytes) -> tuple[int, ...]:
+        """The same from a heap of (rank, start), over parts that know where the next one starts."""
+        n, get = len(piece), self.ranks.get
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(rank, i, i + 2) for i in range(n - 1) if (rank := get(piece[i : i + 2])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            _, i, end = heapq.heappop(heap)
+            middle = after[i]
+            if middle == -1 or middle >= n or after[middle] != end:
+                continue  # one of the two parts has merged otherwise
+            after[middle] = -1
+            after[i] = end
+            if end < n:
+                before[end] = i
+                rank = get(piece[i : after[end]])
+                if rank is not None:
+                    heapq.heappush(heap, (rank, i, after[end]))
+            left = before[i]
+            if left >= 0:
+                rank = get(piece[left:end])
+                if rank is not None:
+                    heapq.heappush(heap, (rank, left, end))
+        out, i = [], 0
+        while i < n:
+            out.append(self.ranks[piece[i : after[i]]])
+            i = after[i]
+        return tuple(out)
+
     def _holds(self, pair: int) -> bool:
         left, right = pair >> 20, pair & 0xFFFFF
         return self.windows[self.bytes_of[left] + self.bytes_of[right]] == (left, right)
 
 
 class Encoder(MergeRanks):
-    """Encodes pieces by halves and joins."""
+    """Encodes units by halves and joins."""
 
     def __init__(self, ranks: dict[bytes, int]):
         super().__init__(ranks)
         self.short: dict[bytes, tuple[int, ...]] = {}
 
-    def encode(self, piece: bytes) -> tuple[int, ...]:
+    def encode(self, unit: str) -> tuple[int, ...]:
+        if unit.isascii() or len(unit) == 1:
+            return self._encode(unit.encode())
+        if len(unit) <= self.longest and (rank := self.ranks.get(unit.encode())) is not None:
+            return (rank,)
+        half = 1 << ((len(unit) - 1).bit_length() - 1)
+        return self.join(self.encode(unit[:half]), self.encode(unit[half:]))
+
+    def _encode(self, piece: bytes) -> tuple[int, ...]:
         got = self.short.get(piece)
         if got is not None:
             return got
@@ -74,10 +138,10 @@ class Encoder(MergeRanks):
         elif not piece:
             return ()
         else:
-            half = len(piece) >> 1
-            got = self.join(self.encode(piece[:half]), self.encode(piece[half:]))
+            half = 1 << ((len(piece) - 1).bit_length() - 1)
+            got = self.join(self._encode(piece[:half]), self._encode(piece[half:]))
         if len(piece) <= 8:
-            if len(self.short) >= 300_000:
+            if len(self.short) >= 100_000:
                 self.short.clear()
             self.short[piece] = got
         return got
@@ -90,14 +154,17 @@ class Encoder(MergeRanks):
         if pairs[left[-1] << 20 | right[0]]:
             return left + right
         bytes_of, i, j = self.bytes_of, len(left) - 1, 1  # the window is left[i:] and right[:j]
+        more_left = more_right = 1
         while True:
             window = self.windows[b"".join([bytes_of[x] for x in left[i:] + right[:j]])]
             left_holds = i == 0 or pairs[left[i - 1] << 20 | window[0]]
             right_holds = j == len(right) or pairs[window[-1] << 20 | right[j]]
             if left_holds and right_holds:
                 return left[:i] + window + right[j:]
-            i -= not left_holds
-            j += not right_holds
+            if not left_holds:
+                i, more_left = max(0, i - more_left), 2 * more_left
+            if not right_holds:
+                j, more_right = min(len(right), j + more_right), 2 * more_right
 
     def decode(self, ids: tuple[int, ...]) -> bytes:
         """Concatenates up the tree."""
@@ -122,10 +189,10 @@ class TextCodec:
 
     def _subtree(self, units: list[str]) -> tuple[str, int, bytes]:
         """A part's ids as text, their number, and the bytes that they decode to."""
-        encode = self.encoder.encode
-        ids = encode(units[0].encode())
-        for unit in units[1:]:
-            ids += encode(unit.encode())
+        if len(units) == 1:
+            ids = self.encoder.encode(units[0])
+        else:
+            ids = tuple(chain.from_iterable(map(self.encoder.encode, units)))
         return " ".join(map(str, ids)), len(ids), self.encoder.decode(ids)
 
     def encode(self, text: str) -> list[int]:
