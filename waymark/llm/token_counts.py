@@ -1,19 +1,23 @@
 """Exact token counts by dynamic programming over prefixes.
 
-For a piece of bytes, prefix i's encoding ends in the one token that ends at i and holds beside the last token of the
+For a unit of bytes, prefix i's encoding ends in the one token that ends at i and holds beside the last token of the
 prefix before it (two tokens hold if they are the encoding of their joined bytes). The count of prefix i is then one
-more than that prefix's. So one pass stores the exact count at every prefix, and truncations and budgets are look-ups.
-Texts are split by the tokenizer's pattern first; counts of units add up.
+more than that prefix's. So one pass stores the exact count at every prefix of a unit. A text is split into units by
+the tokenizer's pattern first; the count at a byte of the text is the sum over the units before it and the prefix of
+the unit that it falls in. This table (`prefix_counts` gives it, a number for every byte) answers a truncation or a
+budget at any byte without encoding anything again.
 
 Defined cases: a null or empty text has no tokens; the special string inside a text counts as one token, as the
-library does by default; repeated rows and very long texts need nothing special; other columns are not touched.
+library does by default, at each of its bytes; a prefix that ends inside a unit or a character counts that unit's first
+bytes as they are; repeated rows and very long texts need
+nothing special; other columns are not touched.
 """
 
 from __future__ import annotations
 
 import functools
 import json
-from itertools import accumulate
+from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -24,14 +28,14 @@ from .pretokens import Splitter
 
 
 class PrefixCounts(MergeRanks):
-    """last[i] and count[i]: the last token and the number of tokens of a piece's first i bytes."""
+    """last[i] and count[i]: the last token and the number of tokens of a unit's first i bytes."""
 
     def prefixes(self, piece: bytes) -> tuple[list[int], list[int]]:
-        get, pairs = self.ranks.get, self.pairs
+        get, pairs, longest = self.ranks.get, self.pairs, self.longest
         last, count = [-1], [0]
         for end in range(1, len(piece) + 1):
             # just one token fits, so the shortest are tried first
-            for start in range(end - 1, -1, -1):
+            for start in range(end - 1, max(-1, end - 1 - longest), -1):
                 token = get(piece[start:end])
                 if token is not None and (start == 0 or pairs[last[start] << 20 | token]):
                     last.append(token)
@@ -42,26 +46,31 @@ class PrefixCounts(MergeRanks):
         return last, count
 
 
+#: (tokens, count at each of its bytes): what the table holds for a part of a text.
+Part = tuple[int, array]
+
+
 class TextCounts:
-    """Counts of a whole text at the ends of its parts, and inside one part at any byte."""
+    """The table over prefixes of a whole text, part by part."""
 
     def __init__(self, path: str, pattern: str):
         model = json.load(open(path, encoding="utf-8"))
         self.special = [t["content"] for t in model["added_tokens"]]
         self.dp = PrefixCounts(byte_ranks(model["model"]))
-        self.splitter = Splitter(pattern, self._sum)
+        self.splitter = Splitter(pattern, self._part)
 
-    def _sum(self, units: list[str]) -> tuple[int, int]:
-        size = tokens = 0
+    def _part(self, units: list[str]) -> Part:
+        at, tokens = array("i"), 0
         for unit in map(str.encode, units):
-            size += len(unit)
-            tokens += self.dp.prefixes(unit)[1][-1]
-        return size, tokens
-
-    def parts(self, text: str) -> list[tuple[int, int]]:
-        """(bytes, tokens) of consecutive parts; each special string is a part of one token."""
-        out: list[tuple[int, int]] = []
-        pieces = [text]
+            counts = self.dp.prefixes(unit)[1]
+            at.extend([tokens + c for c in counts[1:]] if tokens else counts[1:])
+            tokens = at[-1]
+        return tokens, at
+
+    def parts(self, text: str) -> list[Part]:
+        """Consecutive parts; each special string is a part of one token."""
+        out: list[Part] = []
+        pieces: list = [text]
         for token in self.special:
             pieces = [y for x in pieces for y in (_between(x, token) if isinstance(x, str) else [x])]
         for piece in pieces:
@@ -69,19 +78,34 @@ class TextCounts:
         return out
 
     def count(self, text: str) -> int:
-        return sum([p[1] for p in self.parts(text)])
+        return sum([p[0] for p in self.parts(text)])
+
+    def table(self, text: str) -> np.ndarray:
+        """Tokens of the first 1, 2, ... bytes."""
+        parts = self.parts(text)
+        if not parts:
+            return np.zeros(0, np.int32)
+        before = np.cumsum([0, *[p[0] for p in parts[:-1]]])
+        return np.concatenate([np.frombuffer(p[1], np.int32) + b for p, b in zip(parts, before.tolist(), strict=True)])
 
-    def budget(self, parts: list[tuple[int, int]], limit: int) -> int:
-        """Bytes of the longest run of whole parts from the start that has at most `limit` tokens."""
-        counts = np.fromiter(accumulate(p[1] for p in parts), np.int64, len(parts))
-        n = int(np.searchsorted(counts, limit, side="right"))
-        return sum(p[0] for p in parts[:n])
+    def budget(self, parts: list[Part], limit: int) -> int:
+        """Bytes of the longest prefix that has at most `limit` tokens, by look-up in the table.
+
+        Every part has a token, so the prefix ends in the first part whose end is beyond the limit, or before it.
+        """
+        size = 0
+        for tokens, at in parts:
+            if tokens > limit:
+                return size + max([i + 1 for i, c in enumerate(at) if c <= limit], default=0)
+            size, limit = size + len(at), limit - tokens
+        return size
 
 
 def _between(text: str, token: str) -> list:
     out: list = []
+    whole = (1, array("i", [1] * len(token.encode())))
     for i, piece in enumerate(text.split(token)):
-        out += [(len(token.encode()), 1)] * (i > 0) + [piece] * (piece != "")
+        out += [whole] * (i > 0) + [piece] * (piece != "")
     return out
 
 
@@ -104,14 +128,19 @@ def counter(path: str, pattern: str) -> TextCounts:
 
 
 def count_tokens(df: DataFrame, path: str, pattern: str, limit: int = 512, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_bytes, n_tokens, over_limit, and bytes_in_limit: what a truncation to `limit` tokens would keep."""
+    """key, n_bytes, n_tokens, over_limit, and bytes_in_limit: the longest prefix that has at most `limit` tokens."""
 
     def rows(texts: list[bytes]) -> list[tuple]:
         of, out = counter(path, pattern), []
         for t in texts:
             parts = of.parts(t.decode())
-            n = sum([p[1] for p in parts])
+            n = sum([p[0] for p in parts])
             out.append((len(t), n, n > limit, len(t) if n <= limit else of.budget(parts, limit)))
         return out
 
     return map_texts(df, rows, "n_bytes long, n_tokens long, over_limit boolean, bytes_in_limit long", key, text)
+
+
+def prefix_counts(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key and counts: the tokens of every prefix of the text, one number for each byte."""
+    return map_texts(df, lambda texts: [(counter(path, pattern).table(t.decode()),) for t in texts], "counts array<int>", key, text)
