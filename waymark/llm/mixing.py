@@ -12,8 +12,8 @@ twice its source's words, and what is above goes to the others by weight (water
 Prefix sums are taken in two levels, over (source, bucket of the hash) and over the buckets' sums, so that a source
 with a third of all rows is spread over BUCKETS groups. Text is read once, to measure it.
 
-Defined cases: a null or empty text has size 0 and takes 0; repeated rows are each of their own; a null source is a
-source of its own; an empty table gives no rows; other columns are not touched.
+Defined cases: a null or empty text has size 0 and takes 0; repeated rows are each of their own (those of one key and
+one text share a bucket); a null source is a source of its own; an empty table gives no rows; other columns are not touched.
 """
 
 from __future__ import annotations
@@ -55,18 +55,22 @@ def targets(sizes: DataFrame, source: str = "source") -> DataFrame:
     return each.select(source, "source_size", F.col("_weight").alias("weight"), target.cast("double").alias("target"))
 
 
-def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
-    """key, size, source_size, target, taken, copies, position, positions and the `keep` columns, sorted by position.
+def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """key, size, source_size, target, taken, copies, position, positions, sorted by position."""
+    return plan_rows(df, key, text, source).orderBy("position", key)
+
+
+def plan_rows(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """key, size, source_size, target, taken, copies, position, positions of every row, in any order.
 
     taken sums to the source's target, to a word: whole passes first, then the documents at the head of the order once
     more, the last of them in part. copies is the same in whole documents; positions has one for each copy, position is
     the first use's, also where there is none.
     """
-    narrow = df.select(F.col(key), F.col(source).alias("_source"), word_count(text).alias("size"), *keep)
-    narrow = narrow.withColumn("_hash", F.xxhash64(F.col(key))).withColumn("_bucket", F.pmod(F.col("_hash"), F.lit(BUCKETS)))
-    narrow = written(narrow, "mix")
+    narrow = df.select(F.col(key).alias("_key"), F.col(source).alias("_source"), word_count(text).alias("size"), F.xxhash64(key, text).alias("_hash"))
+    narrow = written(narrow.withColumn("_bucket", F.pmod(F.col("_hash"), F.lit(BUCKETS))), "mix")
     plan = targets(narrow, "_source")
-    in_bucket = Window.partitionBy("_source", "_bucket").orderBy("_hash", F.col(key), "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    in_bucket = Window.partitionBy("_source", "_bucket").orderBy("_hash", "_key", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     over_buckets = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = narrow.groupBy("_source", "_bucket").agg(F.sum("size").alias("_sum"))
     sums = sums.withColumn("_before", F.coalesce(F.sum("_sum").over(over_buckets), F.lit(0)))
@@ -87,7 +91,7 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
         for k in range(MOST_REPEATS)
     ]
     rows = rows.withColumn("position", at[0]).withColumn("positions", F.slice(F.array(*at), F.lit(1), F.col("copies").cast("int")))
-    return rows.select(key, "size", "source_size", "target", "taken", "copies", "position", "positions", *keep).orderBy("position", key)
+    return rows.select(F.col("_key").alias(key), "size", "source_size", "target", "taken", "copies", "position", "positions")
 
 
 def training_time(share: Column, weight: Column) -> Column:
