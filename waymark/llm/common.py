@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import written  # noqa: F401  (the operators take it from here)
+
 #: Bytes of text that one step inside a task handles together.
 CHUNK_BYTES = 1 << 20
 
@@ -18,23 +20,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir.
+def numbered_rows(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """_own, which tells rows apart (key, hash of the text, number), _text, and _row, the other columns; written down."""
+    own = F.struct(F.col(key).alias("key"), F.xxhash64(text).alias("hash"), F.monotonically_increasing_id().alias("row"))
+    others = F.struct(F.lit(0).alias("_"), *[df[_quoted(c)].alias(f"c{i}") for i, c in enumerate(df.columns) if c != text])
+    return written(df.select(own.alias("_own"), F.col(text).alias("_text"), others.alias("_row")), "numbered")
 
-    Only where that is unset, as in local tests, a folder under the warehouse takes its place.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-    return folder.rstrip("/")
+
+def plain_rows(numbered: DataFrame, columns: list[str], text: str = "text") -> DataFrame:
+    """The rows that numbered_rows was given, with the same columns."""
+    return numbered.select(*[(F.col("_text") if c == text else F.col(f"_row.c{i}")).alias(c) for i, c in enumerate(columns)])
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: this cuts its lineage and outlives executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def joined_by_hot_key(rows: DataFrame, named: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """rows with the columns of named (one row for each key, `count` of them in rows) but its count.
+
+    A key with a thousandth of all rows or more would fill one task of a shuffle: there are at most 1000 such keys, so
+    they are broadcast. The other keys are shuffled.
+    """
+    hot = F.col(count) * 1000 >= total
+    often = F.broadcast(named.where(hot).drop(count))  # at most 1000 rows
+    return rows.join(often, key).unionByName(rows.join(often.select(key), key, "left_anti").join(named.where(~hot).drop(count), key))
 
 
 def chunks(sizes: list[int], most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
@@ -69,9 +79,9 @@ def map_texts(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t or b"" for t in batch.column(len(names)).to_pylist()]
-            for lo, hi in chunks([len(t) for t in texts]):
-                rows = function(texts[lo:hi])
+            data = batch.column(len(names))
+            for lo, hi in chunks(_lengths(data)):
+                rows = function([t or b"" for t in data.slice(lo, hi - lo).to_pylist()])
                 made = list(zip(*rows, strict=True)) or [[] for _ in range(len(arrow) - len(names))]
                 columns = [batch.column(i).slice(lo, hi - lo).cast(arrow.field(i).type) for i in range(len(names))]
                 columns += [pa.array(c, arrow.field(len(names) + i).type) for i, c in enumerate(made)]
@@ -86,15 +96,19 @@ def filter_texts(df: DataFrame, function: Callable[[list[bytes]], list[bool]], t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [(t or "").encode() for t in batch.column(at).to_pylist()]
+            data = batch.column(at).cast(pa.binary())
             keep: list[bool] = []
-            for lo, hi in chunks([len(t) for t in texts]):
-                keep += function(texts[lo:hi])
+            for lo, hi in chunks(_lengths(data)):
+                keep += function([t or b"" for t in data.slice(lo, hi - lo).to_pylist()])
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
 
 
+def _lengths(data: pa.Array) -> list[int]:
+    return pc.fill_null(pc.binary_length(data), 0).to_pylist()
+
+
 def _arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType

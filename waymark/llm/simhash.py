@@ -30,8 +30,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, written
-from .components import components
+from ..operators.graph import components
+from .common import joined_by_hot_key, map_texts, numbered_rows, written
 
 RADIUS, BLOCKS, SHINGLE = 3, 5, 3
 #: Nodes of a slice of a large shard.
@@ -191,29 +191,29 @@ def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
     """key, fingerprint (hex) and component_id: the least key that links lead to."""
     rows = written(map_texts(df, lambda texts: [(fingerprint(t, shingle),) for t in texts], "fp long", key, text), "simhash")
-    nodes = written(rows.groupBy("fp").agg(F.min(key).alias("least")), "nodes")
-    linked = components(links(nodes.select("fp"), radius, blocks)).withColumnRenamed("node", "fp")
+    nodes = written(rows.groupBy("fp").agg(F.min(key).alias("least"), F.count(F.lit(1)).alias("n_rows")), "nodes")
+    linked = written(components(links(nodes.select("fp"), radius, blocks)).withColumnRenamed("node", "fp"), "linked")
     groups = linked.join(nodes, "fp")
-    reached = groups.groupBy("root").agg(F.min("least").alias("reach"))
-    reached = groups.join(reached, "root").select("fp", "reach")
-    named = nodes.join(reached, "fp", "left").select("fp", F.coalesce("reach", "least").alias("component_id"))
-    return rows.join(named, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    reached = linked.join(groups.groupBy("root").agg(F.min("least").alias("reach")), "root").select("fp", "reach")
+    named = nodes.join(reached, "fp", "left").select("fp", "n_rows", F.coalesce("reach", "least").alias("component_id"))
+    joined = joined_by_hot_key(rows, written(named, "named"), "fp", "n_rows", rows.count())
+    return joined.select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 # Near-duplicate documents: SimHash candidates, checked on word shingles.
 
-#: Words of a shingle, least similarity of a pair, size of the sketch that estimates it (exact for fewer shingles).
-CHECK_SHINGLE, SIMILARITY, SKETCH = 5, 0.8, 256
+#: Words of a shingle. Pairs at 4/5 or more are near-duplicates.
+CHECK_SHINGLE = 5
 CANDIDATE_RADIUS, CANDIDATE_BLOCKS = 4, 6
 #: Texts that the order of shingles is taken from, and shingles of that order.
 SAMPLE_TEXTS, COMMON = 4_000, 1 << 17
 
 
-def portrait(text: bytes) -> tuple[int, int, int, bytes]:
-    """Hash of the words, two independent fingerprints of damped word counts, and a bottom-k sketch of shingles.
+def portrait(text: bytes) -> tuple[int, int, int]:
+    """Hash of the words, and two independent fingerprints of damped word counts.
 
     Single words, each weighed by the square root of its count, keep the fingerprints of texts with a few changed words
-    within a few bits, which fingerprints of longer shingles do not; the sketch then tells texts that only share words.
+    within a few bits, which fingerprints of longer shingles do not.
     """
     words = text.lower().split()
     same = xxhash.xxh64_intdigest(b" ".join(words), SEED)
@@ -224,27 +224,8 @@ def portrait(text: bytes) -> tuple[int, int, int, bytes]:
         packed = np.packbits(weights @ bits * 2 > weights.sum()).tobytes()
     else:
         packed = bytes(16)
-    h = np.fromiter(map(crc32, words), np.uint64, len(words))
-    mixed = np.zeros(max(0 if not words else 1, len(words) - CHECK_SHINGLE + 1), np.uint64)
-    for k in range(min(CHECK_SHINGLE, len(words))):
-        mixed = mixed * np.uint64(0x9E3779B97F4A7C15) + h[k : k + len(mixed)]
-    mixed ^= mixed >> np.uint64(29)
-    mixed *= np.uint64(0xBF58476D1CE4E5B9)
-    sketch = np.unique((mixed >> np.uint64(32)).astype(">u4"))[:SKETCH]
     signed = lambda b: int.from_bytes(b, "big", signed=True)
-    return (same - (1 << 64) if same >> 63 else same), signed(packed[:8]), signed(packed[8:]), sketch.tobytes()
-
-
-def sketch_similarity(a: bytes, b: bytes) -> float:
-    """Jaccard similarity of two sets of shingles: exact up to SKETCH shingles of both together, else estimated."""
-    x, y = np.frombuffer(a, ">u4"), np.frombuffer(b, ">u4")
-    if not len(x) or not len(y):
-        return float(len(x) == len(y))
-    full = min(x[-1] if len(x) == SKETCH else 2**32 - 1, y[-1] if len(y) == SKETCH else 2**32 - 1)
-    union = np.union1d(x, y)
-    union = union[union <= full][:SKETCH] if len(x) == SKETCH or len(y) == SKETCH else union
-    both = np.intersect1d(x, y, assume_unique=True)
-    return float(np.isin(both, union, assume_unique=True).sum() / len(union))
+    return (same - (1 << 64) if same >> 63 else same), signed(packed[:8]), signed(packed[8:])
 
 
 def hub_links(values: dict[int, list[int]], radius: int) -> list[tuple[int, int]]:
@@ -300,7 +281,7 @@ def shingle_set(text: bytes) -> set[tuple[bytes, ...]]:
 
 
 def similar(a: set, b: set) -> bool:
-    """Whether the Jaccard similarity is SIMILARITY or more, in whole numbers: 4/5."""
+    """Whether the Jaccard similarity is 4/5 or more, in whole numbers."""
     both = len(a & b)
     return 5 * both >= 4 * (len(a) + len(b) - both)
 
@@ -382,7 +363,7 @@ def buckets(texts: DataFrame) -> DataFrame:
     """Prefix rows whose shingle is in two prefixes or more, with the least node of the shingle as hub, and its n."""
     rows = written(prefixes(texts), "prefixes")
     shared = rows.groupBy("h").agg(F.count(F.lit(1)).alias("_rows"), F.min(F.struct("node", "n")).alias("hub")).where("_rows > 1")
-    return written(rows.join(shared.drop("_rows"), "h"), "buckets")
+    return written(joined_by_hot_key(rows, written(shared, "shared"), "h", "_rows", rows.count()), "buckets")
 
 
 def across(shared: DataFrame, linked: DataFrame) -> DataFrame:
@@ -401,23 +382,37 @@ def across(shared: DataFrame, linked: DataFrame) -> DataFrame:
 
 
 def near_duplicate_documents(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key and group: the least key among documents of the same words and those of SIMILARITY or more, step by step.
+    """key and group, the least key of the group; rows without a key are left out."""
+    named = near_duplicate_groups(numbered_rows(df.where(F.col(key).isNotNull()), key, text), "_own", "_text")
+    return named.select(F.col("_own.key").alias(key), F.col("group.key").alias("group"))
+
+
+def near_duplicate_groups(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """key and group: the least key among documents of the same words and those similar at 4/5 or more, step by step.
 
     A node is the hash of a text's words. Fingerprints and hubs of rare shingles propose the pairs of a first round; in
     a second, all pairs that share a prefix shingle and are not yet in one component are compared, so no link is lost.
-    Each pair is checked on both whole texts. Rows without a key are left out.
+    Each pair is checked on both whole texts; only those of pairs are read again for it. Keys must be distinct.
     """
-    rows = map_texts(df.where(F.col(key).isNotNull()), lambda texts: [(*portrait(t)[:3], t) for t in texts], "same long, fp1 long, fp2 long, body binary", key, text)
-    rows = written(rows, "portraits")
-    texts = written(rows.groupBy("same").agg(F.min(key).alias("least"), F.max("fp1").alias("fp1"), F.max("fp2").alias("fp2"), F.first("body").alias("body")), "texts")
-    shared = buckets(texts)
+    rows = written(map_texts(docs, lambda texts: [portrait(t) for t in texts], "same long, fp1 long, fp2 long", key, text), "portraits")
+    nodes = written(rows.groupBy("same").agg(F.min(key).alias("least"), F.count(F.lit(1)).alias("n_rows"), F.max("fp1").alias("fp1"), F.max("fp2").alias("fp2")), "nodes")
+
+    def bodies(of: DataFrame) -> DataFrame:
+        """The text of each of these nodes."""
+        return docs.join(of.select("same", F.col("least").alias(key)), key).select("same", F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body"))
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        used = pairs.select(F.col("a").alias("same")).union(pairs.select(F.col("b").alias("same"))).distinct()
+        return alike(pairs, bodies(nodes.join(used, "same", "left_semi")))
+
+    shared = buckets(bodies(nodes))
     hubs = shared.where("node <> hub.node and 5L * least(n, hub.n) >= 4L * greatest(n, hub.n)").select(F.col("node").alias("a"), F.col("hub.node").alias("b"))
-    proposed = candidates(texts.select(F.col("same").alias("node"), "fp1", "fp2")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").union(hubs)
+    proposed = candidates(nodes.select(F.col("same").alias("node"), "fp1", "fp2")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").union(hubs)
     proposed = written(proposed.distinct(), "proposed")
-    first = written(alike(proposed, texts), "first")
-    linked = written(components(first).select("node", "root"), "linked")
-    rest = across(shared, linked).join(proposed, ["a", "b"], "left_anti")
-    found = components(first.union(alike(rest, texts)))
-    nodes = texts.select("same", "least").join(found.select(F.col("node").alias("same"), "root"), "same", "left").withColumn("root", F.coalesce("root", "same"))
-    named = nodes.join(nodes.groupBy("root").agg(F.min("least").alias("group")), "root").select("same", "group")
-    return rows.select(key, "same").join(named, "same").select(key, "group")
+    first = written(checked(proposed), "first")
+    linked = written(components(first), "linked")
+    rest = written(across(shared, linked).join(proposed, ["a", "b"], "left_anti"), "rest")
+    found = components(first.union(checked(rest)))
+    rooted = nodes.select("same", "least", "n_rows").join(found.select(F.col("node").alias("same"), "root"), "same", "left").withColumn("root", F.coalesce("root", "same"))
+    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("group")), "root").select("same", "n_rows", "group")
+    return joined_by_hot_key(rows.select(key, "same"), written(named, "named"), "same", "n_rows", rows.count()).select(key, "group")
