@@ -11,9 +11,10 @@ import public_tokenizers
 import pytest
 import tiktoken
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from waymark.llm import byte_bpe, fingerprints, license_scan, media_jpeg, mixing, quality, queries, sharding, simhash, token_counts, toxicity
+from waymark.llm import byte_bpe, fingerprints, learning, license_scan, media_jpeg, mixing, quality, queries, sharding, simhash, token_counts, toxicity
 from waymark.operators.graph import components
 
 RANKS, JSON = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
@@ -297,6 +298,20 @@ def test_mix_places_every_pass(spark):
     assert max(p[0] for p in small) <= min(p[1] for p in small) and max(p[1] for p in small) > 0.95
 
 
+def test_mix_follows_each_schedule(spark):
+    """Words of every source in each tenth of training, against its schedule summed up in small steps, to 1 % of its target."""
+    rows = [(k, "a b c d", "abc"[min(2, k % 7)]) for k in range(21_000)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    mean = sum(mixing.WEIGHTS) / len(mixing.WEIGHTS)
+    for name, weight in zip("abc", mixing.WEIGHTS):
+        own = [r for r in got if "abc"[min(2, r["doc_id"] % 7)] == name]
+        at = np.array([p for r in own for p in r["positions"]])
+        words, _ = np.histogram(at, bins=10, range=(0, 1), weights=np.full(len(at), 4.0))
+        fine = np.array([weight + (mean - weight) * (i + 0.5) / 10_000 for i in range(10_000)]).reshape(10, 1000).sum(axis=1)
+        assert np.abs(words - own[0]["target"] * fine / fine.sum()).max() <= 0.01 * own[0]["target"]
+        assert at.max() > 0.99 and at.min() < 0.01
+
+
 def test_mix_odd_rows(odd, empty):
     rows = mixing.mix(odd).collect()
     assert len(rows) == len(ODD) and sum(r["taken"] for r in rows) == pytest.approx(1.5 * sum(r["size"] for r in rows), abs=4)
@@ -331,25 +346,122 @@ def test_toxicity_held_out(spark, larger):
     assert accuracy(spark, larger, scored, "toxic") >= 0.85
 
 
+def check_gradient(weights, got, loss, names):
+    draw = np.random.default_rng(0)
+    for name in names:
+        w = weights[name]
+        for _ in range(4):
+            at = tuple(int(draw.integers(k)) for k in w.shape)
+            was, w[at] = w[at], w[at] + 1e-5
+            up = loss()
+            w[at] = was - 1e-5
+            down, w[at] = loss(), was
+            assert got[name][at] == pytest.approx((up - down) / 2e-5, rel=1e-3, abs=1e-5), name
+
+
 def test_network_gradient():
     model, draw = toxicity.Model(seed=1), np.random.default_rng(4)
-    x = draw.normal(size=(5, 3, toxicity.INPUTS)).astype(np.float64)
+    x = draw.normal(size=(5, 3, toxicity.WORD_INPUTS))
     held = np.array([[1, 1, 1], [1, 1, 1], [1, 1, 0], [1, 0, 0], [1, 0, 0]], bool)
+    spelling = toxicity.Spelling([b"one", b"a", b"Trashy", b"trash"])
+    at = np.where(held, draw.integers(4, size=held.shape), 4)
     y, got = np.array([1.0, 0.0, 1.0]), {}
     model.w = {k: v.astype(np.float64) for k, v in model.w.items()}
-    model.step(x, held, y, np.ones(3), lambda g: got.update(g))
+    model.step(x, held, y, np.ones(3), got.update, spelling, at)
 
     def loss():
-        logit = model.logits(x @ model.w["Xf"] + model.w["cf"], x @ model.w["Xb"] + model.w["cb"], held)
+        found = np.concatenate([model.character_inputs(spelling)[0], np.zeros((1, toxicity.FILTERS))])
+        every = np.concatenate([x, found[at]], axis=2)
+        logit = model.logits(every @ model.w["Xf"] + model.w["cf"], every @ model.w["Xb"] + model.w["cb"], held)
         return np.mean(np.log1p(np.exp(logit)) - y * logit)
 
-    for name, w in model.w.items():
-        at = tuple(0 for _ in w.shape)
-        was, w[at] = w[at], w[at] + 1e-3
-        up = loss()
-        w[at] = was - 1e-3
-        down, w[at] = loss(), was
-        assert got[name][at] == pytest.approx((up - down) / 2e-3, abs=2e-3), name
+    model.w["E"][:] = np.where(np.abs(got["E"]) > 0, model.w["E"], 0)  # rows of bytes that no word has stay out of it
+    got.clear()
+    model.step(x, held, y, np.ones(3), got.update, spelling, at)
+    check_gradient(model.w, got, loss, set(model.w) - {"E"})
+    row = int(np.abs(got["E"]).sum(axis=1).argmax())
+    check_gradient({"E": model.w["E"][row]}, {"E": got["E"][row]}, loss, ["E"])
+
+
+def test_attention_gradient():
+    model, draw = quality.Model(seed=3), np.random.default_rng(6)
+    model.w = {k: v.astype(np.float64) for k, v in model.w.items()}
+    x, starts = draw.normal(size=(9, quality.WIDTH)), np.array([0, 4, 5])
+    y, weight = np.array([1.0, 0.0, 1.0]), np.array([1.0, 2.0, 0.5])
+    got = model.gradients(x, starts, y, weight)
+
+    def loss():
+        p = model.forward(x, starts)["p"]
+        return -np.sum(weight * (y * np.log(p) + (1 - y) * np.log(1 - p))) / weight.sum()
+
+    check_gradient(model.w, got, loss, model.w)
+
+
+def plain_quality(model, text):
+    """The score of one text, passage by passage, in plain Python."""
+    w, sig = model.w, lambda v: 1 / (1 + np.exp(-v))
+    h, e = [], []
+    for row in quality.passages(text):
+        h.append(np.tanh((row - model.mean) / model.scale @ w["W"] + w["b"]))
+        e.append(float((np.tanh(h[-1] @ w["V"]) * sig(h[-1] @ w["U"])) @ w["a"][:, 0]))
+    share = [np.exp(v - max(e)) for v in e]
+    z = sum(s / sum(share) * v for s, v in zip(share, h))
+    return float(sig(z @ w["o"][:, 0] + w["c"][0]))
+
+
+def plain_toxicity(model, text):
+    """The score of one text, window by window and word by word, in plain Python."""
+    w, n, sig = model.w, toxicity.HIDDEN, lambda v: 1 / (1 + np.exp(-v))
+    found, best = toxicity.words(text), -np.inf
+    for start in range(0, max(1, len(found) - toxicity.WINDOW + toxicity.STEP), toxicity.STEP):
+        rows = []
+        for word in found[start : start + toxicity.WINDOW]:
+            around = b" " + word.lower() + b" "
+            answers = [np.concatenate([w["E"][c] for c in around[i : i + 3]]) @ w["F"] for i in range(len(word))]
+            evidence = [model.evidence[k, s] for k, s in enumerate(toxicity.hashes(word))]
+            rows.append(np.concatenate([evidence, toxicity.shape(word), np.tanh(np.max(answers, axis=0) + w["e"])]))
+        states = np.zeros((len(rows), 2 * n))
+        for i, d in enumerate("fb"):
+            h = np.zeros(n)
+            for t in range(len(rows)) if d == "f" else range(len(rows) - 1, -1, -1):
+                gate, u = rows[t] @ w[f"X{d}"] + w[f"c{d}"], h @ w[f"H{d}"]
+                z, r = np.split(sig(gate[: 2 * n] + u[: 2 * n]), 2)
+                new = np.tanh(gate[2 * n :] + r * u[2 * n :])
+                h = new + z * (h - new)
+                states[t, i * n : (i + 1) * n] = h
+        if len(rows):
+            e = np.exp((np.tanh(states @ w["A"]) @ w["v"])[:, 0])
+            best = max(best, float((e / e.sum()) @ states @ w["o"][:, 0] + w["k"][0]))
+        else:
+            best = max(best, float(w["k"][0]))
+    return float(sig(best + model.shift))
+
+
+def test_scores_by_brute_force(spark, texts, monkeypatch):
+    """The registered queries' scores on whole tables, against plain loops over passages and windows."""
+    folder = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("documents", "labels"))
+    plain = {"op7_quality": (quality, plain_quality), "op10_toxicity": (toxicity, plain_toxicity)}
+    for name, (module, score) in plain.items():
+        model, got = module.train(docs, labels), of(getattr(queries, name)(spark, folder))
+        rows = docs.collect()
+        assert len(got) == len(rows)
+        for r in rows[:80] + [max(rows, key=lambda r: len(r["text"]))]:
+            assert got[r["doc_id"]]["score"] == pytest.approx(score(model, r["text"].encode()), abs=1e-3), name
+            assert got[r["doc_id"]]["predicted"] == (got[r["doc_id"]]["score"] >= 0.3)
+    long = " ".join(texts).encode()
+    assert np.allclose(quality.passages(long), quality.passages(long, 4000), atol=1e-5)
+    whole = toxicity.words(long)
+    pieces = [tuple(p[i : i + toxicity.WINDOW]) for p in toxicity.stretches(long, 3000) for i in range(0, max(1, len(p) - toxicity.WINDOW + toxicity.STEP), toxicity.STEP)]
+    assert pieces == [tuple(whole[i : i + toxicity.WINDOW]) for i in range(0, len(whole) - toxicity.WINDOW + toxicity.STEP, toxicity.STEP)]
+    assert model.score([long])[0] == pytest.approx(max(model.score([b" ".join(p) for p in pieces])), abs=1e-4)
+
+
+def test_sample_has_one_row_for_a_key(spark):
+    docs = spark.createDataFrame([(1, f"text {k}") for k in range(500)] + [(2, "b"), (3, "c")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (3, 0), (None, 1)], "doc_id long, toxic int")
+    rows = learning.labelled_sample(docs, labels, "toxic", F.lit(True), 10).collect()
+    assert sorted((r["doc_id"], r["_label"]) for r in rows) == [(1, 1), (2, 0), (3, 0)]
 
 
 @pytest.mark.parametrize("module", [quality, toxicity])

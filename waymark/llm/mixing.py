@@ -10,7 +10,7 @@ Targets: sources in code point order (null last) weigh 5, 2, 1, repeating, and s
 twice its source's words, and what is above goes to the others by weight (water filling, one row for each source).
 
 Prefix sums are taken in two levels, over (source, bucket of the hash) and over the buckets' sums, so that a source
-with a third of all rows is spread over BUCKETS groups. Text is read once, to measure it.
+with a third of all rows is spread over 4096 groups. Text is read once, to measure it.
 
 Defined cases: a null or empty text has size 0 and takes 0; repeated rows are each of their own (those of one key and
 one text share a bucket); a null source is a source of its own; an empty table gives no rows; other columns are not touched.
@@ -25,8 +25,8 @@ from .common import written
 
 WEIGHTS = (5, 2, 1)
 SHARE, MOST_REPEATS = 1.5, 2
-#: Groups that the rows of one source are spread over.
-BUCKETS = 1024
+#: Hexadecimal digits of the hash that name a bucket: the rows of one source are spread over 16 to this power.
+BUCKET_DIGITS = 3
 
 
 def word_count(text: str) -> Column:
@@ -67,8 +67,9 @@ def plan_rows(df: DataFrame, key: str = "doc_id", text: str = "text", source: st
     more, the last of them in part. copies is the same in whole documents; positions has one for each copy, position is
     the first use's, also where there is none.
     """
-    narrow = df.select(F.col(key).alias("_key"), F.col(source).alias("_source"), word_count(text).alias("size"), F.xxhash64(key, text).alias("_hash"))
-    narrow = written(narrow.withColumn("_bucket", F.pmod(F.col("_hash"), F.lit(BUCKETS))), "mix")
+    mark = F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col(text), F.lit(""))).cast("binary"))
+    narrow = df.select(F.col(key).alias("_key"), F.col(source).alias("_source"), word_count(text).alias("size"), mark.alias("_hash"))
+    narrow = written(narrow.withColumn("_bucket", F.substring("_hash", 1, BUCKET_DIGITS)), "mix")
     plan = targets(narrow, "_source")
     in_bucket = Window.partitionBy("_source", "_bucket").orderBy("_hash", "_key", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     over_buckets = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -104,3 +105,50 @@ def training_time(share: Column, weight: Column) -> Column:
     a, c = (m - w) / 2, share * (w + m) / 2
     root = (F.sqrt(F.greatest(F.lit(0.0), w * w + 4 * a * c)) - w) / (2 * a)
     return F.when(F.abs(a) < 1e-9, share).otherwise(root)
+
+
+#: DuckDB SQL for the rows of queries.op6_mixing.
+SQL = """
+with narrow as (
+    select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as size,
+        md5(coalesce(doc_id::varchar, '') || ':' || coalesce(text, '')) as mark
+    from documents
+), sized as (
+    select source, sum(size)::bigint as source_size, row_number() over (order by source nulls last) as nth from narrow group by source
+), weighed as (
+    select *, case (nth - 1) % 3 when 0 then 5 when 1 then 2 else 1 end as weight from sized
+), levels as (
+    select *, 2 * source_size / weight as fills,
+        (1.5 * sum(source_size) over () - coalesce(sum(2 * source_size) over before, 0)) / (sum(weight) over () - coalesce(sum(weight) over before, 0)) as level
+    from weighed
+    window before as (order by 2 * source_size / weight, source nulls last rows between unbounded preceding and 1 preceding)
+), opened as (
+    select *, (select arg_min(level, fills) from levels where level * weight < 2 * source_size) as open_level from levels
+), plan as (
+    select source, source_size, weight,
+        (case when open_level is null then 2 * source_size else least(2 * source_size, open_level * weight) end)::double as target
+    from opened
+), placed as (
+    select n.doc_id, n.size, p.source_size, p.weight, p.target,
+        sum(n.size) over (partition by n.source order by n.mark rows between unbounded preceding and current row) - n.size as start,
+        floor(p.target / greatest(p.source_size, 1)) as passes
+    from narrow n join plan p on n.source is not distinct from p.source
+), rest as (
+    select *, round(target) - passes * source_size as rest from placed
+), used as (
+    select *, least(passes * size + greatest(0, least(size, rest - start)), 2 * size)::bigint as taken,
+        least(passes + case when start + size / 2 <= rest and rest > 0 then 1 else 0 end, 2)::bigint as copies,
+        least(1.0, (start + size / 2) / greatest(target, 1.0))::double as share_1,
+        least(1.0, (source_size + start + size / 2) / greatest(target, 1.0))::double as share_2,
+        weight::double as w, 8.0::double / 3 as m
+    from rest
+), timed as (
+    select *,
+        case when abs((m - w) / 2) < 1e-9 then share_1 else (sqrt(greatest(0, w * w + (m - w) * share_1 * (w + m))) - w) / (m - w) end as t_1,
+        case when abs((m - w) / 2) < 1e-9 then share_2 else (sqrt(greatest(0, w * w + (m - w) * share_2 * (w + m))) - w) / (m - w) end as t_2
+    from used
+)
+select doc_id, size::bigint as size, source_size, target, taken, copies, round(t_1, 9) as position,
+    case when copies > 1 then round(t_2, 9) end as position_again
+from timed
+"""
