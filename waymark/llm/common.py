@@ -20,6 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def small_side(df: DataFrame, most: int = 1 << 17) -> DataFrame:
+    """A written table of narrow rows as one side of a join: broadcast if it has at most `most` rows, else shuffled."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def numbered_rows(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """_own, which tells rows apart (key, hash of the text, number), _text, and _row, the other columns; written down."""
     own = F.struct(F.col(key).alias("key"), F.xxhash64(text).alias("hash"), F.monotonically_increasing_id().alias("row"))

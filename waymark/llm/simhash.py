@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .common import joined_by_hot_key, map_texts, numbered_rows, written
+from .common import joined_by_hot_key, map_texts, numbered_rows, small_side, written
 
 RADIUS, BLOCKS, SHINGLE = 3, 5, 3
 #: Nodes of a slice of a large shard.
@@ -205,27 +205,40 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
 #: Words of a shingle. Pairs at 4/5 or more are near-duplicates.
 CHECK_SHINGLE = 5
 CANDIDATE_RADIUS, CANDIDATE_BLOCKS = 4, 6
-#: Texts that the order of shingles is taken from, and shingles of that order.
-SAMPLE_TEXTS, COMMON = 4_000, 1 << 17
+#: Texts that the order of shingles is taken from, shingles of that order, and how often a frequent one is in it.
+SAMPLE_TEXTS, COMMON, FREQUENT = 4_000, 1 << 17, 8
+PARITY = ("p0", "p1", "p2", "p3")
+PORTRAIT = "same long, fp1 long, fp2 long, n int, p0 long, p1 long, p2 long, p3 long, rare array<long>, frequent array<long>"
 
 
-def portrait(text: bytes) -> tuple[int, int, int]:
-    """Hash of the words, and two independent fingerprints of damped word counts.
+def portrait(text: bytes, known: np.ndarray, counts: np.ndarray) -> tuple:
+    """Hash of the words, two independent fingerprints, number and parity of the shingles, and the prefix of the rarest.
 
-    Single words, each weighed by the square root of its count, keep the fingerprints of texts with a few changed words
-    within a few bits, which fingerprints of longer shingles do not.
+    Fingerprints are of single words, each weighed by the square root of its count: they stay within a few bits where a
+    few words have changed, which fingerprints of longer shingles do not. Bit i of the parity says whether an odd number
+    of shingles have the hash i of 256: texts differ in at least as many shingles as parities in bits. The prefix is the
+    first n // 5 + 1 of the n shingles, rarest first: texts at 4/5 or more share at least 4/5 of either's shingles, so
+    one of them is in both prefixes. The prefix is given in two parts, its frequent shingles (by the sample) last.
     """
     words = text.lower().split()
     same = xxhash.xxh64_intdigest(b" ".join(words), SEED)
-    counts = Counter(words)
-    if counts:
-        bits = np.unpackbits(np.frombuffer(b"".join([xxhash.xxh3_128_digest(w, SEED) for w in counts]), np.uint8).reshape(-1, 16), axis=1)
-        weights = np.sqrt(np.fromiter(counts.values(), np.float32, len(counts)))
+    packed = bytes(16)
+    weighed = Counter(words)
+    if weighed:
+        bits = np.unpackbits(np.frombuffer(b"".join([xxhash.xxh3_128_digest(w, SEED) for w in weighed]), np.uint8).reshape(-1, 16), axis=1)
+        weights = np.sqrt(np.fromiter(weighed.values(), np.float32, len(weighed)))
         packed = np.packbits(weights @ bits * 2 > weights.sum()).tobytes()
-    else:
-        packed = bytes(16)
-    signed = lambda b: int.from_bytes(b, "big", signed=True)
-    return (same - (1 << 64) if same >> 63 else same), signed(packed[:8]), signed(packed[8:])
+    h = shingle_hashes(words)
+    odd = np.bincount((h >> np.uint64(56)).astype(np.int64), minlength=256) & 1
+    count = np.zeros(len(h), np.int64)
+    if len(known) and len(h):
+        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+        count = np.where(known[at] == h, counts[at], 0)
+    first = np.lexsort((h, count))[: len(h) // 5 + 1 if len(h) else 0]
+    rare = int((count[first] < FREQUENT).sum())
+    prefix = h[first].view(np.int64)
+    longs = np.frombuffer(packed + np.packbits(odd).tobytes(), ">i8").tolist()
+    return (same - (1 << 64) if same >> 63 else same, *longs[:2], len(h), *longs[2:], prefix[:rare], prefix[rare:])
 
 
 def hub_links(values: dict[int, list[int]], radius: int) -> list[tuple[int, int]]:
@@ -302,9 +315,8 @@ def alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return compared.where(check("body_a", "body_b")).select("a", "b")
 
 
-def shingle_hashes(text: bytes) -> np.ndarray:
+def shingle_hashes(words: list[bytes]) -> np.ndarray:
     """Distinct 64-bit hashes of the word shingles."""
-    words = text.lower().split()
     if not words:
         return np.zeros(0, np.uint64)
     h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
@@ -315,55 +327,56 @@ def shingle_hashes(text: bytes) -> np.ndarray:
     return np.unique(mixed ^ mixed >> np.uint64(29))
 
 
-def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def common_shingles(docs: DataFrame, key: str, text: str) -> tuple[np.ndarray, np.ndarray]:
     """Hashes, sorted, and counts of at most COMMON shingles that several texts of a sample hold.
 
     They only order shingles, so the sample bears on the cost and not on the result.
     """
-    part = max(1, texts.count() // SAMPLE_TEXTS)
+    part = max(1, docs.count() // SAMPLE_TEXTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_hashes(text).view(np.int64))], names=["h"])
+            for body in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_hashes((body or b"").lower().split()).view(np.int64))], names=["h"])
 
-    hashed = texts.where(F.pmod(F.xxhash64("same", F.lit(5)), F.lit(part)) == 0).select("body").mapInArrow(run, "h long")
+    hashed = docs.where(F.pmod(F.xxhash64(key, F.lit(5)), F.lit(part)) == 0).select(F.col(text).cast("binary")).mapInArrow(run, "h long")
     most = hashed.groupBy("h").count().where("count > 1").orderBy(F.desc("count"), "h").limit(COMMON).collect()
     h, n = np.array([r["h"] for r in most], np.int64).view(np.uint64), np.array([r["count"] for r in most], np.int64)
     order = np.argsort(h)
     return h[order], n[order]
 
 
-def prefixes(texts: DataFrame) -> DataFrame:
-    """node, n, h, pos: the first n // 5 + 1 of a text's n shingles, rarest first.
+def portraits(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """key and the columns of PORTRAIT of every row."""
+    common = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, key, text))  # at most COMMON shingles
+    return map_texts(docs, lambda texts: [portrait(t, *common.value) for t in texts], PORTRAIT, key, text)
+
+
+def buckets(rows: DataFrame) -> DataFrame:
+    """Rows (h, node, n, pos) of shingles that are in the prefixes of two nodes or more, with the least node as hub.
 
-    Texts at 4/5 or more share at least 4/5 of either's shingles, so one of them is in both prefixes.
+    Rare shingles move once: their groups and their rows come from the same exchange. A frequent one may be in a third
+    of all prefixes, so these are grouped by partial sums and joined by broadcast: there are at most COMMON.
     """
-    common = texts.sparkSession.sparkContext.broadcast(common_shingles(texts))  # at most COMMON shingles
+    rare = rows.select(F.col("same").alias("node"), "n", F.posexplode("rare").alias("pos", "h")).repartition("h")
+    frequent = rows.select("same", "n", "frequent", F.size("rare").alias("_from")).select(F.col("same").alias("node"), "n", "_from", F.posexplode("frequent").alias("pos", "h"))
+    frequent = frequent.withColumn("pos", F.col("pos") + F.col("_from")).drop("_from")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, counts = common.value
-        for batch in batches:
-            for node, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                h = shingle_hashes(text)
-                if not len(h):
-                    continue  # all texts without words are one node
-                count = np.zeros(len(h), np.int64)
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                    count = np.where(known[at] == h, counts[at], 0)
-                first = h[np.lexsort((h, count))][: len(h) // 5 + 1]
-                made = [np.full(len(first), node, np.int64), np.full(len(first), len(h), np.int32), first.view(np.int64), np.arange(len(first), dtype=np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in made], names=["node", "n", "h", "pos"])
+    def hubs(of: DataFrame) -> DataFrame:
+        # n and pos are looked at too, so that the groups need all columns of the exchange and share it with the rows
+        found = of.groupBy("h").agg(F.min("node").alias("hub"), F.max("node").alias("_last"), F.min("n").alias("_n"), F.min("pos").alias("_pos"))
+        return found.where("hub <> _last and _n > 0 and _pos >= 0").select("h", "hub")
 
-    return texts.select("same", "body").mapInArrow(run, "node long, n int, h long, pos int")
+    shared = rare.join(hubs(rare), "h").unionByName(frequent.join(F.broadcast(hubs(frequent)), "h"))
+    return written(shared.select("h", "node", "n", "pos", "hub").distinct(), "buckets")
 
 
-def buckets(texts: DataFrame) -> DataFrame:
-    """Prefix rows whose shingle is in two prefixes or more, with the least node of the shingle as hub, and its n."""
-    rows = written(prefixes(texts), "prefixes")
-    shared = rows.groupBy("h").agg(F.count(F.lit(1)).alias("_rows"), F.min(F.struct("node", "n")).alias("hub")).where("_rows > 1")
-    return written(joined_by_hot_key(rows, written(shared, "shared"), "h", "_rows", rows.count()), "buckets")
+def possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) that sizes and parities allow to be similar: at 4/5, texts differ in a ninth of their shingles."""
+    of = lambda side: nodes.select(F.col("same").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("n", *PARITY)])
+    differ = sum((F.bit_count(F.col(f"{p}_a").bitwiseXOR(F.col(f"{p}_b"))) for p in PARITY), F.lit(0))
+    both = pairs.join(of("a"), "a").join(of("b"), "b")
+    return both.where("5L * least(n_a, n_b) >= 4L * greatest(n_a, n_b)").where(9 * differ <= F.col("n_a") + F.col("n_b")).select("a", "b")
 
 
 def across(shared: DataFrame, linked: DataFrame) -> DataFrame:
@@ -392,26 +405,26 @@ def near_duplicate_groups(docs: DataFrame, key: str, text: str) -> DataFrame:
 
     A node is the hash of a text's words. Fingerprints and hubs of rare shingles propose the pairs of a first round; in
     a second, all pairs that share a prefix shingle and are not yet in one component are compared, so no link is lost.
-    Each pair is checked on both whole texts; only those of pairs are read again for it. Keys must be distinct.
+    Pairs that the number and the parity of shingles rule out are dropped, which loses none; each other pair is checked
+    on both whole texts, and only those are read again for it. Keys must be distinct.
     """
-    rows = written(map_texts(docs, lambda texts: [portrait(t) for t in texts], "same long, fp1 long, fp2 long", key, text), "portraits")
-    nodes = written(rows.groupBy("same").agg(F.min(key).alias("least"), F.count(F.lit(1)).alias("n_rows"), F.max("fp1").alias("fp1"), F.max("fp2").alias("fp2")), "nodes")
-
-    def bodies(of: DataFrame) -> DataFrame:
-        """The text of each of these nodes."""
-        return docs.join(of.select("same", F.col("least").alias(key)), key).select("same", F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body"))
+    rows = written(portraits(docs, key, text), "portraits")
+    numbers = [F.max(c).alias(c) for c in ("fp1", "fp2", "n", *PARITY)]
+    nodes = written(rows.groupBy("same").agg(F.min(key).alias("least"), F.count(F.lit(1)).alias("n_rows"), *numbers), "nodes")
 
     def checked(pairs: DataFrame) -> DataFrame:
         used = pairs.select(F.col("a").alias("same")).union(pairs.select(F.col("b").alias("same"))).distinct()
-        return alike(pairs, bodies(nodes.join(used, "same", "left_semi")))
+        used = written(nodes.join(used, "same", "left_semi").select("same", F.col("least").alias(key)), "used")
+        bodies = docs.join(small_side(used), key).select("same", F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body"))
+        return alike(pairs, written(bodies, "bodies"))
 
-    shared = buckets(bodies(nodes))
-    hubs = shared.where("node <> hub.node and 5L * least(n, hub.n) >= 4L * greatest(n, hub.n)").select(F.col("node").alias("a"), F.col("hub.node").alias("b"))
+    shared = buckets(rows)
+    hubs = shared.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
     proposed = candidates(nodes.select(F.col("same").alias("node"), "fp1", "fp2")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").union(hubs)
-    proposed = written(proposed.distinct(), "proposed")
+    proposed = written(possible(proposed.distinct(), nodes), "proposed")
     first = written(checked(proposed), "first")
     linked = written(components(first), "linked")
-    rest = written(across(shared, linked).join(proposed, ["a", "b"], "left_anti"), "rest")
+    rest = written(possible(across(shared, linked).join(proposed, ["a", "b"], "left_anti"), nodes), "rest")
     found = components(first.union(checked(rest)))
     rooted = nodes.select("same", "least", "n_rows").join(found.select(F.col("node").alias("same"), "root"), "same", "left").withColumn("root", F.coalesce("root", "same"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("group")), "root").select("same", "n_rows", "group")
