@@ -143,6 +143,75 @@ def test_greedy_keep(spark):
     assert {r["item"] for r in graph.greedy_keep(items, conflicts, "area", 2).collect()} == {1, 2}
 
 
+def test_greedy_keep_matches_one_by_one(spark):
+    draw = np.random.default_rng(12)
+    rows = [(i, float(draw.integers(40)), int(draw.integers(6))) for i in range(150)]
+    pairs = {(int(a), int(b)) for a, b in draw.integers(150, size=(260, 2)) if a != b}
+    kept, count = set(), {}
+    for item, _, area in sorted(rows, key=lambda r: (r[1], r[0])):
+        if count.get(area, 0) < 9 and not any((item, k) in pairs or (k, item) in pairs for k in kept):
+            kept.add(item)
+            count[area] = count.get(area, 0) + 1
+    got = graph.greedy_keep(spark.createDataFrame(rows, "item long, rank double, area int"), spark.createDataFrame(sorted(pairs), "a long, b long"), "area", 9)
+    assert {r["item"] for r in got.collect()} == kept
+
+
+def best_way(edges, at, side, used, gap, chain=()):
+    """The best crossing from an edge by trying all of them: (fun, -metres, edges)."""
+    found = []
+    for e in edges:
+        meets = e[1] == at[2] if side == 1 else e[2] == at[1]
+        if not meets or e[3] in used or e[3] in {at[3], *(c[3] for c in chain)}:
+            continue
+        if e[5] >= 0.55:
+            found += [(e[5], -sum(c[4] for c in chain), (*chain, e))] if chain else []
+        elif sum(c[4] for c in chain) + e[4] <= gap and len(chain) < 8:
+            found += best_way(edges, e, side, used, gap, (*chain, e))
+    return found
+
+
+def test_stretches_match_one_by_one(spark):
+    draw = np.random.default_rng(31)
+    edges = [(i, int(draw.integers(26)), int(draw.integers(26)), i // 2, float(draw.integers(80, 700)), round(float(draw.uniform(0.2, 1)), 3), bool(draw.uniform() < 0.1)) for i in range(90)]
+    usable, used, want = [e for e in edges if not e[6]], set(), []
+    for seed in sorted((e for e in usable if e[5] >= 0.55), key=lambda e: (-e[5], e[0])):
+        if seed[3] in used:
+            continue
+        used.add(seed[3])
+        path = [seed]
+        for side in (1, -1):
+            at = seed
+            while True:
+                near = [e for e in usable if e[5] >= 0.55 and e[3] not in used and (e[1] == at[2] if side == 1 else e[2] == at[1])]
+                options = [max(near, key=lambda e: (e[5], -e[0]))] if near else (max(best_way(usable, at, side, used, 400.0), key=lambda w: w[:2], default=(0, 0, ()))[2])
+                if not options:
+                    break
+                used.update(e[3] for e in options)
+                path = [*path, *options] if side == 1 else [*reversed(options), *path]
+                at = options[-1]
+        if sum(e[4] for e in path) >= 1000:
+            want.append([e[0] for e in path])
+    got = graph.mine_stretches(spark.createDataFrame(edges, EDGES)).collect()
+    assert sorted(r["edges"] for r in got) == sorted(want) and len(want) > 3
+
+
+def test_paths_lead_to_their_nodes(spark):
+    draw = np.random.default_rng(5)
+    edges = [(i, int(draw.integers(15)), int(draw.integers(15)), float(draw.integers(1, 5))) for i in range(60)]
+    df = spark.createDataFrame(edges, "edge_id long, u long, v long, cost double")
+    every = graph.shortest_paths(df, spark.createDataFrame([(0,), (3,)], "node long"), 20.0).collect()
+    some = graph.shortest_paths(df, spark.createDataFrame([(0,), (3,)], "node long"), 20.0, targets=spark.createDataFrame([(5,), (7,)], "node long")).collect()
+    for r in every + some:
+        at = r["source"]
+        for e in r["path"]:
+            assert edges[e][1] == at
+            at = edges[e][2]
+        assert at == r["node"] and sum(edges[e][3] for e in r["path"]) == r["cost"]
+    assert sorted((r["source"], r["node"], r["cost"]) for r in some) == sorted((r["source"], r["node"], r["cost"]) for r in every if r["node"] in (5, 7))
+    with pytest.raises(RuntimeError):
+        graph.shortest_paths(df, spark.createDataFrame([(0,)], "node long"), 20.0, most_rounds=1)
+
+
 def test_overlap_of_a_line_with_itself(spark):
     rows = [("c", True, i, 5 + i * 0.001, 52.0) for i in range(20)] + [("r", False, i, 5 + i * 0.001, 52.0 if i < 10 else 53.0) for i in range(20)]
     got = catalogue.overlaps(spark.createDataFrame(rows, "key string, is_circuit boolean, seq int, lon double, lat double")).collect()

@@ -5,6 +5,7 @@ Rounds are written to the shared folder, so plans stay short and a lost executor
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -56,25 +57,54 @@ def components(links: DataFrame) -> DataFrame:
 def shortest_paths(edges: DataFrame, sources: DataFrame, bound: float, most_rounds: int = 10_000, targets: DataFrame | None = None) -> DataFrame:
     """(source, node, cost, path) of the cheapest ways from each source within the bound; ties by the lesser last edge.
 
-    Each round extends only what the last one improved. With targets, only their rows are given (the search still runs
-    to the bound, which makes it exact). edges: edge_id, u, v, cost; a closed edge is left out or has a null cost.
+    Each round extends only what the last one improved. A row holds the edge by which its node is reached, and paths are
+    put together at the end, by doubling. With targets, only their rows are given, and a source that has reached all of
+    them stops where its frontier is dearer. edges: edge_id, u, v, cost; a closed edge is left out or has a null cost.
     """
-    usable = edges.where("cost is not null").select("edge_id", "u", "v", F.col("cost").alias("_step"))
-    known = written(sources.select(F.col("node").alias("source"), "node", F.lit(0.0).alias("cost"), F.expr("cast(array() as array<long>)").alias("path")).distinct(), "paths")
+    usable = edges.where("cost is not null").select(F.col("edge_id").cast("long").alias("edge"), "u", "v", F.col("cost").alias("_step"))
+    none = F.lit(None).cast("long")
+    known = written(sources.select(F.col("node").alias("source"), "node", F.lit(0.0).alias("cost"), none.alias("edge"), none.alias("before")).distinct(), "paths")
     front = known
+    wanted = targets.select("node").distinct() if targets is not None else None
     for _ in range(most_rounds):
-        grown = front.join(usable, front["node"] == usable["u"])
-        grown = grown.select("source", F.col("v").alias("node"), (F.col("cost") + F.col("_step")).alias("cost"), F.concat("path", F.array(F.col("edge_id").cast("long"))).alias("path")).where(F.col("cost") <= bound)
-        best = grown.groupBy("source", "node").agg(F.min(F.struct("cost", "path")).alias("b")).select("source", "node", "b.cost", "b.path")
-        old = known.select("source", "node", F.col("cost").alias("_was"))
-        better = best.join(old, ["source", "node"], "left").where("_was is null or cost < _was - 1e-12").drop("_was")
+        grown = front.select("source", F.col("node").alias("before"), F.col("cost").alias("_cost")).join(usable, F.col("before") == F.col("u"))
+        grown = grown.select("source", F.col("v").alias("node"), (F.col("_cost") + F.col("_step")).alias("cost"), "edge", "before").where(F.col("cost") <= bound)
+        if wanted is not None:
+            grown = _in_reach(grown, known, wanted)
+        best = grown.groupBy("source", "node").agg(F.min(F.struct("cost", "edge", "before")).alias("b")).select("source", "node", "b.*")
+        old = known.select("source", "node", F.col("cost").alias("_was"), F.col("edge").alias("_by"))
+        better = best.join(old, ["source", "node"], "left").where("_was is null or cost < _was - 1e-12 or (abs(cost - _was) <= 1e-12 and edge < _by)").drop("_was", "_by")
         front = written(better, "front")
         if front.isEmpty():
             break
         known = written(known.join(front.select("source", "node"), ["source", "node"], "left_anti").unionByName(front), "paths")
-    if targets is not None:
-        known = known.join(targets.select("node").distinct(), "node", "left_semi").select("source", "node", "cost", "path")
-    return known
+    else:
+        raise RuntimeError(f"the search has not ended in {most_rounds} rounds")
+    return _unrolled(known, wanted)
+
+
+def _in_reach(grown: DataFrame, known: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Leaves out what is dearer than the dearest target of a source that has reached all of its targets."""
+    number = wanted.agg(F.count(F.lit(1)).alias("_all"))
+    got = known.join(wanted, "node", "left_semi").groupBy("source").agg(F.count(F.lit(1)).alias("_n"), F.max("cost").alias("_most"))
+    full = got.join(F.broadcast(number), F.col("_n") == F.col("_all")).select("source", "_most")
+    return grown.join(full, "source", "left").where("_most is null or cost <= _most").drop("_most")
+
+
+def _unrolled(known: DataFrame, wanted: DataFrame | None) -> DataFrame:
+    """Paths from the edge into each node: every round puts the path of the node where a piece begins before it."""
+    pieces = known.select("source", "node", "cost", F.when(F.col("edge").isNull(), F.expr("cast(array() as array<long>)")).otherwise(F.array("edge")).alias("path"), "before")
+    open_ = pieces if wanted is None else pieces.join(wanted, "node", "left_semi")
+    open_ = written(open_.select("source", "node", "cost", "path", "before"), "open")
+    steps = written(pieces.select("source", F.col("node").alias("_at"), F.col("path").alias("_path"), F.col("before").alias("_before")), "steps")
+    while not open_.where("before is not null").isEmpty():
+        longer = open_.join(steps, (open_["source"] == steps["source"]) & (open_["before"] == steps["_at"]), "left")
+        longer = longer.select(open_["source"], "node", "cost", F.concat(F.coalesce("_path", F.expr("cast(array() as array<long>)")), "path").alias("path"), F.col("_before").alias("before"))
+        open_ = written(longer, "open")
+        other = steps.select(F.col("source").alias("_s"), F.col("_at").alias("_a"), F.col("_path").alias("_p"), F.col("_before").alias("_b"))
+        doubled = steps.join(other, (F.col("source") == F.col("_s")) & (F.col("_before") == F.col("_a")), "left")
+        steps = written(doubled.select("source", "_at", F.concat(F.coalesce("_p", F.expr("cast(array() as array<long>)")), "_path").alias("_path"), F.col("_b").alias("_before")), "steps")
+    return open_.select("source", "node", "cost", "path")
 
 
 def shared_share(paths: DataFrame, slices: DataFrame) -> DataFrame:
@@ -93,90 +123,125 @@ def shared_share(paths: DataFrame, slices: DataFrame) -> DataFrame:
 def greedy_keep(items: DataFrame, conflicts: DataFrame, group: str, cap: int) -> DataFrame:
     """Items (item, rank, group) kept in rank order: none in conflict with a kept one, at most `cap` for each group.
 
-    Conflicts (a, b) only decide inside a component of conflicting or grouped items, so each component is one small
-    task; the ranks there are gone through in order.
+    Rounds of joins: an item is dropped once a conflicting one is kept or its group is full; it is kept once no better
+    conflicting item is open and its place among the group's kept and open items is within the cap. Each round decides
+    the best open item of every neighbourhood at least; nothing is brought into one task.
     """
-    links = conflicts.select("a", "b").union(items.select(F.col("item").alias("a"), F.min("item").over(Window.partitionBy(group)).alias("b")))
-    named = items.join(components(links), items["item"] == F.col("node")).drop("node")
-    enemies = conflicts.groupBy(F.col("a").alias("item")).agg(F.collect_set("b").alias("enemies"))
-    named = named.join(enemies, "item", "left").select("item", "rank", F.col(group).alias("grp"), "root", "enemies")
-
-    def keep(rows: pd.DataFrame) -> pd.DataFrame:
-        kept: set = set()
-        counts: dict = {}
-        for r in rows.sort_values(["rank", "item"]).itertuples():
-            foes = r.enemies if r.enemies is not None else ()
-            if counts.get(r.grp, 0) < cap and not any(f in kept for f in foes):
-                kept.add(r.item)
-                counts[r.grp] = counts.get(r.grp, 0) + 1
-        return rows[rows["item"].isin(kept)][["item"]]
-
-    return named.groupBy("root").applyInPandas(keep, "item long")
+    state = written(items.select("item", F.col("rank").alias("rank"), F.col(group).alias("grp"), F.lit("open").alias("state")), "greedy")
+    pairs = written(conflicts.select("a", "b").union(conflicts.select("b", "a")).where("a <> b").distinct(), "conflicts")
+    while not (left := state.where("state = 'open'")).isEmpty():
+        about = state.where("state <> 'gone'").select(F.col("item").alias("b"), F.struct("rank", "item").alias("_at"), "state")
+        foes = pairs.join(about, "b").select(F.col("a").alias("item"), "_at", "state")
+        foes = foes.groupBy("item").agg(F.max((F.col("state") == "kept").cast("int")).alias("_lost"), F.min(F.when(F.col("state") == "open", F.col("_at"))).alias("_better"))
+        place = Window.partitionBy("grp").orderBy(F.when(F.col("state") == "kept", 0).otherwise(1), "rank", "item")
+        first = state.where("state <> 'gone'").withColumn("_place", F.row_number().over(place)).where(F.col("_place") <= cap).select("item", "_place")
+        counts = state.where("state = 'kept'").groupBy("grp").agg(F.count(F.lit(1)).alias("_full"))
+        asked = left.join(first, "item", "left").join(foes, "item", "left").join(counts, "grp", "left")
+        lost = (F.coalesce("_lost", F.lit(0)) == 1) | (F.coalesce("_full", F.lit(0)) >= cap)
+        free = (F.col("_better").isNull() | (F.struct("rank", "item") < F.col("_better"))) & F.col("_place").isNotNull()
+        asked = asked.withColumn("state", F.when(lost, "gone").when(free, "kept").otherwise("open"))
+        state = written(state.where("state <> 'open'").unionByName(asked.select("item", "rank", "grp", "state")), "greedy")
+    return state.where("state = 'kept'").select("item")
 
 
 def mine_stretches(edges: DataFrame, threshold: float = 0.55, least_m: float = 1000.0, gap_m: float = 400.0, most_bridge: int = 8) -> DataFrame:
     """Stretches (stretch edges in order, length_m, fun_km, start_node, end_node) of the edges worth driving.
 
     edges: edge_id, u, v, slice_id, length_m, fun, excluded. From the best unused edge a walk takes the best unused
-    continuation both ways, never back along the same slice, and crosses at most gap_m of lesser road. Walks never
-    leave a component of good edges joined by bridgeable ones no longer than the gap, so each component is one task.
+    continuation both ways, never back along the same slice, and crosses at most gap_m of lesser road. Walks only
+    affect each other where good edges meet or lesser road of a crossing's length lies between them: `corridors` finds
+    that road, and each component of both is one task. What is left is one chain of choices, which has no smaller parts.
     """
-    usable = edges.where("not excluded and fun > 0")
-    near = usable.where((F.col("fun") >= threshold) | (F.col("length_m") <= gap_m))
-    named = near.join(components(near.select(F.col("u").alias("a"), F.col("v").alias("b"))), near["u"] == F.col("node")).drop("node")
+    named = corridors(edges.where("not excluded and fun > 0"), threshold, gap_m, most_bridge)
     fields = "edges array<long>, length_m double, fun_km double, start_node long, end_node long"
 
     def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(_walks(rows, threshold, least_m, gap_m, most_bridge), columns=["edges", "length_m", "fun_km", "start_node", "end_node"])
+        return pd.DataFrame(_Part(rows, threshold, gap_m, most_bridge).stretches(least_m), columns=["edges", "length_m", "fun_km", "start_node", "end_node"])
 
     return named.groupBy("root").applyInPandas(walk, fields)
 
 
-def _walks(rows: pd.DataFrame, threshold: float, least_m: float, gap_m: float, most_bridge: int) -> list[tuple]:
-    edge = {r.edge_id: r for r in rows.itertuples()}
-    leave, arrive = {}, {}
-    for r in sorted(edge.values(), key=lambda r: r.edge_id):
-        leave.setdefault(r.u, []).append(r)
-        arrive.setdefault(r.v, []).append(r)
-    used: set = set()
-    good = lambda r: r.fun >= threshold
-
-    def onward(at, ahead: bool) -> list:
-        return leave.get(at.v, []) if ahead else arrive.get(at.u, [])
-
-    def bridge(start, ahead: bool) -> list:
-        best, stack = None, [(start, [], 0.0)]
-        while stack:
-            at, chain, gone = stack.pop()
-            for r in onward(at, ahead):
-                if r.slice_id in used or r.slice_id == at.slice_id or any(c.slice_id == r.slice_id for c in chain):
-                    continue
-                if good(r):
-                    if chain and (best is None or (r.fun, -gone) > best[0]):
-                        best = ((r.fun, -gone), [*chain, r])
-                elif gone + r.length_m <= gap_m and len(chain) < most_bridge:
-                    stack.append((r, [*chain, r], gone + r.length_m))
-        return best[1] if best else []
-
-    out = []
-    for seed in sorted(filter(good, edge.values()), key=lambda r: (-r.fun, r.edge_id)):
-        if seed.slice_id in used:
-            continue
-        used.add(seed.slice_id)
-        sides: dict[bool, list] = {}
-        for ahead in (True, False):
-            side, at = sides.setdefault(ahead, []), seed
-            while True:
-                options = [r for r in onward(at, ahead) if good(r) and r.slice_id not in used and r.slice_id != at.slice_id]
-                found = [max(options, key=lambda r: (r.fun, -r.edge_id))] if options else bridge(at, ahead)
-                if not found:
-                    break
-                used.update(r.slice_id for r in found)
-                side += found
-                at = found[-1]
-        path = [*reversed(sides[False]), seed, *sides[True]]
-        length = sum(r.length_m for r in path)
-        if length >= least_m:
-            out.append(([r.edge_id for r in path], length, sum(r.fun * r.length_m for r in path) / 1000, path[0].u, path[-1].v))
-    return out
+def corridors(usable: DataFrame, threshold: float, gap_m: float, most_bridge: int) -> DataFrame:
+    """The good edges and the lesser ones that a crossing could use, with the component (root) of each.
 
+    A lesser edge is of use if the way to it from a good edge's end, itself, and the way on to a good edge's start are
+    within the gap; both ways are grown edge by edge, by joins.
+    """
+    usable = written(usable, "usable")
+    good, lesser = usable.where(F.col("fun") >= threshold), usable.where((F.col("fun") < threshold) & (F.col("length_m") <= gap_m))
+
+    def grown(start: str, here: str, there: str) -> DataFrame:
+        reach = written(good.select(F.col(start).alias("node"), F.lit(0.0).alias("gone")).distinct(), "reach")
+        front = reach
+        for _ in range(most_bridge):
+            step = lesser.join(front, F.col(here) == F.col("node")).select(F.col(there).alias("node"), (F.col("gone") + F.col("length_m")).alias("gone")).where(F.col("gone") <= gap_m)
+            best = step.groupBy("node").agg(F.min("gone").alias("gone"))
+            front = written(best.join(reach.select("node", F.col("gone").alias("_was")), "node", "left").where("_was is null or gone < _was").drop("_was"), "front")
+            if front.isEmpty():
+                break
+            reach = written(reach.union(front).groupBy("node").agg(F.min("gone").alias("gone")), "reach")
+        return reach
+
+    before = grown("v", "u", "v").select(F.col("node").alias("u"), F.col("gone").alias("_before"))
+    after = grown("u", "v", "u").select(F.col("node").alias("v"), F.col("gone").alias("_after"))
+    between = lesser.join(before, "u").join(after, "v").where(F.col("_before") + F.col("length_m") + F.col("_after") <= gap_m)
+    used = written(good.unionByName(between.select(good.columns)), "used")
+    return used.join(components(used.select(F.col("u").alias("a"), F.col("v").alias("b"))), used["u"] == F.col("node")).drop("node")
+
+
+class _Part:
+    """One component's edges as arrays, and the walks in it."""
+
+    def __init__(self, rows: pd.DataFrame, threshold: float, gap_m: float, most_bridge: int):
+        rows = rows.sort_values(["fun", "edge_id"], ascending=[False, True], kind="stable").reset_index(drop=True)
+        self.id, self.u, self.v, self.slice = (rows[c].to_numpy() for c in ("edge_id", "u", "v", "slice_id"))
+        self.length, self.fun = rows["length_m"].to_numpy(float), rows["fun"].to_numpy(float)
+        self.gap, self.most, self.n_good = gap_m, most_bridge, int((self.fun >= threshold).sum())
+        self.taken: set = set()
+        # edges by the node where a walk in either direction meets them; the best come first
+        self.meet = {way: rows.groupby(node).indices for way, node in ((1, "u"), (-1, "v"))}
+
+    def _next(self, edge: int, way: int, barred: set):
+        """Unused edges behind an edge, best first."""
+        for k in self.meet[way].get(self.v[edge] if way == 1 else self.u[edge], ()):
+            if self.slice[k] not in self.taken and self.slice[k] not in barred:
+                yield int(k)
+
+    def _crossing(self, edge: int, way: int) -> list[int]:
+        """The way over lesser road to the best good edge, the shortest of them; layer by layer of equally many edges."""
+        best, layer = (), [([edge], 0.0)]
+        for _ in range(self.most + 1):
+            following = []
+            for chain, gone in layer:
+                for k in self._next(chain[-1], way, {self.slice[c] for c in chain}):
+                    if k >= self.n_good:
+                        if gone + self.length[k] <= self.gap and len(chain) <= self.most:
+                            following.append(([*chain, k], gone + self.length[k]))
+                    elif len(chain) > 1 and (not best or (self.fun[k], -gone) > best[:2]):
+                        best = (self.fun[k], -gone, [*chain[1:], k])
+            layer = following
+        return best[2] if best else []
+
+    def _side(self, edge: int, way: int) -> list[int]:
+        side: list[int] = []
+        while True:
+            first = next(self._next(edge, way, {self.slice[edge]}), self.n_good)
+            found = [first] if first < self.n_good else self._crossing(edge, way)
+            if not found:
+                return side
+            side += found
+            self.taken.update(self.slice[found].tolist())
+            edge = found[-1]
+
+    def stretches(self, least_m: float) -> list[tuple]:
+        out = []
+        for seed in range(self.n_good):
+            if self.slice[seed] in self.taken:
+                continue
+            self.taken.add(self.slice[seed])
+            ahead = self._side(seed, 1)
+            path = np.array([*self._side(seed, -1)[::-1], seed, *ahead])
+            length = float(self.length[path].sum())
+            if length >= least_m:
+                out.append((self.id[path].tolist(), length, float((self.fun[path] * self.length[path]).sum()) / 1000, int(self.u[path[0]]), int(self.v[path[-1]])))
+        return out
