@@ -52,6 +52,17 @@ def joined_by_hot_key(rows: DataFrame, named: DataFrame, key: str, count: str, t
     return rows.join(often, key).unionByName(rows.join(often.select(key), key, "left_anti").join(named.where(~hot).drop(count), key))
 
 
+#: Bytes of an Arrow batch. Spark's own bound is 64 MB, held by the executor and by the worker several times each.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Let Spark send texts to Python in batches of BATCH_BYTES, unless the session has a bound of its own."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == f"{64 << 20}b":  # Spark's own
+        spark.conf.set(name, f"{BATCH_BYTES}b")
+
+
 def chunks(sizes: list[int], most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive rows of about `most` bytes; a longer row makes a range of its own."""
     start, total = 0, 0
@@ -76,6 +87,7 @@ def map_texts(
 
     Gives key, the `keep` columns and the tuples that function returns, named by the DDL string `fields`.
     """
+    bound_batches(df.sparkSession)
     names = [key, *keep]
     source = df.select(*names, F.col(text).cast("binary").alias("_text"))
     head = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[: len(names)])
@@ -97,6 +109,7 @@ def map_texts(
 
 def filter_texts(df: DataFrame, function: Callable[[list[bytes]], list[bool]], text: str = "text") -> DataFrame:
     """The rows of df, unchanged, for which function keeps the text (null: empty); in bounded chunks inside tasks."""
+    bound_batches(df.sparkSession)
     at = df.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
