@@ -5,7 +5,7 @@ tokens. A join encodes a window around the boundary anew and widens it until the
 of tokens is the encoding of its bytes exactly if each two neighbours are the encoding of their joined bytes, so once
 both pairs at the window's edges pass that test, nothing outside can change. A side that fails is widened by twice as
 many tokens each time, and a window is merged from a heap, so a join costs n log n at worst. The left half is the
-greatest power of two of characters (of bytes inside one character): runs of equal characters, whose tokens are cut
+greatest power of two of characters (of bytes in short units): runs of equal characters, whose tokens are cut
 from the left, then fall on the halves' boundary and need no widening. Decoding concatenates up the tree.
 
 A text is first split by the tokenizer's pattern; units never merge across its matches, so joining the lists of units
@@ -23,7 +23,6 @@ import base64
 import functools
 import hashlib
 import heapq
-from collections.abc import Callable
 from itertools import chain
 
 import pandas as pd
@@ -37,20 +36,10 @@ from .pretokens import Memo, Splitter
 _NONE = 1 << 40
 #: Bytes up to which plain scanning merges faster than a heap.
 _FEW = 48
-
-
-class Pairs(dict):
-    """Remembers whether two tokens (left << 20 | right) are the encoding of their joined bytes."""
-
-    def __init__(self, holds: Callable[[int], bool], most: int = 200_000):
-        super().__init__()
-        self.holds, self.most = holds, most
-
-    def __missing__(self, pair: int) -> bool:
-        if len(self) >= self.most:
-            self.clear()
-        self[pair] = value = self.holds(pair)
-        return value
+#: Pairs of tokens that are remembered, twice: some 20 MB.
+PAIRS = 100_000
+#: Bytes of a piece whose encoding is remembered.
+SHORT = 4
 
 
 class MergeRanks:
@@ -60,8 +49,8 @@ class MergeRanks:
         self.ranks = ranks
         self.bytes_of = {v: k for k, v in ranks.items()}
         self.longest = max(map(len, ranks))
-        self.windows = Memo(self.merge)
-        self.pairs = Pairs(self._holds)
+        self.windows = Memo(self.merge, 20_000)
+        self.pairs = Memo(self._holds, PAIRS)
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
         ranks = self.ranks
@@ -121,7 +110,7 @@ class Encoder(MergeRanks):
         self.short: dict[bytes, tuple[int, ...]] = {}
 
     def encode(self, unit: str) -> tuple[int, ...]:
-        if unit.isascii() or len(unit) == 1:
+        if len(unit) <= 32 or unit.isascii():
             return self._encode(unit.encode())
         if len(unit) <= self.longest and (rank := self.ranks.get(unit.encode())) is not None:
             return (rank,)
@@ -140,7 +129,7 @@ class Encoder(MergeRanks):
         else:
             half = 1 << ((len(piece) - 1).bit_length() - 1)
             got = self.join(self._encode(piece[:half]), self._encode(piece[half:]))
-        if len(piece) <= 8:
+        if len(piece) <= SHORT:
             if len(self.short) >= 100_000:
                 self.short.clear()
             self.short[piece] = got

@@ -35,9 +35,9 @@ class PrefixCounts(MergeRanks):
         last, count = [-1], [0]
         for end in range(1, len(piece) + 1):
             # just one token fits, so the shortest are tried first
-            for start in range(end - 1, max(-1, end - 1 - longest), -1):
+            for start in range(end - 1, end - 1 - longest if end > longest else -1, -1):
                 token = get(piece[start:end])
-                if token is not None and (start == 0 or pairs[last[start] << 20 | token]):
+                if token is not None and (not start or pairs[last[start] << 20 | token]):
                     last.append(token)
                     count.append(count[start] + 1)
                     break
