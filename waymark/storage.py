@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,9 +19,30 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: this cuts its lineage and outlives executors."""
+def written(df: DataFrame, what: str, kept: bool = False) -> DataFrame:
+    """Write df once to the shared folder and read it back: this cuts its lineage and outlives executors.
+
+    A kept table outlives the `passing` block that it is written in.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
+    if _PASSING and not kept:
+        _PASSING[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Folders of the tables that are written for a time only, by nesting.
+_PASSING: list[list[str]] = []
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables written inside once the block ends; what is needed later has to be written after it."""
+    _PASSING.append([])
+    try:
+        yield
+    finally:
+        for path in _PASSING.pop():
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
