@@ -47,7 +47,7 @@ class Splitter:
         self.pattern = regex.compile(pattern)
         self.combine = combine
         self.first = Memo(self._part)
-        self.spaced = Memo(lambda word: self._part(" " + word), 100_000)
+        self.spaced = Memo(lambda word: self._part(" " + word), 60_000)
 
     def _part(self, part: str) -> object:
         word = part[1:] if part[:1] == " " else part

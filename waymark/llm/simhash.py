@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
+from ..storage import passing
 from .common import joined_by_hot_key, map_texts, numbered_rows, small_side, written
 
 RADIUS, BLOCKS, SHINGLE = 3, 5, 3
@@ -190,6 +191,11 @@ def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
     """key, fingerprint (hex) and component_id: the least key that links lead to."""
+    with passing(df.sparkSession):
+        return written(_near_duplicates(df, key, text, shingle, radius, blocks), "groups", kept=True)
+
+
+def _near_duplicates(df: DataFrame, key: str, text: str, shingle: int, radius: int, blocks: int) -> DataFrame:
     rows = written(map_texts(df, lambda texts: [(fingerprint(t, shingle),) for t in texts], "fp long", key, text), "simhash")
     nodes = written(rows.groupBy("fp").agg(F.min(key).alias("least"), F.count(F.lit(1)).alias("n_rows")), "nodes")
     linked = written(components(links(nodes.select("fp"), radius, blocks)).withColumnRenamed("node", "fp"), "linked")
@@ -406,8 +412,14 @@ def near_duplicate_groups(docs: DataFrame, key: str, text: str) -> DataFrame:
     A node is the hash of a text's words. Fingerprints and hubs of rare shingles propose the pairs of a first round; in
     a second, all pairs that share a prefix shingle and are not yet in one component are compared, so no link is lost.
     Pairs that the number and the parity of shingles rule out are dropped, which loses none; each other pair is checked
-    on both whole texts, and only those are read again for it. Keys must be distinct.
+    on both whole texts, and only those are read again for it. Keys must be distinct. Tables written on the way are
+    deleted at the end.
     """
+    with passing(docs.sparkSession):
+        return written(_near_duplicate_groups(docs, key, text), "groups", kept=True)
+
+
+def _near_duplicate_groups(docs: DataFrame, key: str, text: str) -> DataFrame:
     rows = written(portraits(docs, key, text), "portraits")
     numbers = [F.max(c).alias(c) for c in ("fp1", "fp2", "n", *PARITY)]
     nodes = written(rows.groupBy("same").agg(F.min(key).alias("least"), F.count(F.lit(1)).alias("n_rows"), *numbers), "nodes")
