@@ -104,14 +104,49 @@ def test_license_matching_statistics():
     for _ in range(30):
         text = [pool[i] for i in draw.integers(len(pool), size=12)]
         k = int(draw.integers(len(license_scan.TEMPLATES)))
-        text += license_scan.TEMPLATES[k][1].encode().split()[3:9] + [pool[0]]
+        text += license_scan.words(license_scan.TEMPLATES[k][1].encode())[1:7] + [pool[0]]
         _, matches = machine.stream(text)
-        runs = [[machine.ids[w] for w in t.encode().split()] for _, t in license_scan.TEMPLATES] + machine.phrases
+        runs = [[machine.ids[w] for w in license_scan.words(t.encode())] for _, t in license_scan.TEMPLATES] + machine.phrases
         for end, length, _ in matches:
             piece = [machine.ids[w] for w in text[end - length + 1 : end + 1]]
             assert any(piece == r[i : i + length] for r in runs for i in range(len(r)))
 
 
+def test_license_spans_and_score():
+    """Spans, labels and score of whole and damaged licence texts, told apart from text that only shares words."""
+    by_label = {}
+    for label, text in license_scan.TEMPLATES:
+        by_label.setdefault(label, []).append(license_scan.words(text.encode()))
+    for label, templates in by_label.items():
+        for words in templates:
+            if len(words) < 20:
+                continue
+            noise = [b"zz%d" % i for i in range(30)]
+            got = license_scan.scan(b" ".join(noise + words + noise))
+            own = [s for s in got[7] if s["label"] == label]
+            assert label in got[5].split(",") and got[6] == 1.0
+            assert (30, 29 + len(words), len(words)) in [(s["first_word"], s["last_word"], s["covered"]) for s in own]
+            damaged = list(words)
+            damaged[len(words) // 3] = b"qq"
+            damaged[2 * len(words) // 3 : 2 * len(words) // 3 + 2] = []
+            got = license_scan.scan(b" ".join(noise + damaged))
+            own = max((s for s in got[7] if s["label"] == label), key=lambda s: s["covered"])
+            assert label in got[5].split(",") and 0.85 * len(words) <= own["covered"] < len(words) and own["first_word"] == 30
+    # a short template inside a run that a longer one has too
+    assert license_scan.scan(b"Licensed under the Apache License, Version 2.0. The end")[5:7] == ("apache-2.0", 1.0)
+    shuffled = sorted(by_label["mit"][1])
+    assert "mit" not in license_scan.scan(b" ".join(shuffled))[5]
+
+
+def test_chains_use_every_place_of_a_run():
+    """A run that a template has twice continues the chain at its second place too."""
+    template = b"a b c one two three four five six a b c seven eight nine ten".split()
+    machine = license_scan.Automaton([template], [])
+    text = b"four five six x a b c y seven eight nine ten".split()
+    (span,) = machine.spans(machine.stream(text)[1])
+    assert span == (0, 0, len(text) - 1, 10)
+
+
 def test_license_templates_and_odd_rows(odd, empty):
     assert "mit" in license_scan.scan(b"Released under the MIT license.")[5]
     assert license_scan.scan(b"nothing of that kind") [4:7] == ("", "", 0.0)

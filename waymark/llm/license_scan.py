@@ -2,8 +2,9 @@
 
 The automaton holds every run of words of every template. A file streams through it word by word; the state and length
 after each word are its matching statistics: the longest run of words ending there that some template has. A run that
-can't grow is a match; matches of one template that come in the template's order, with small gaps, chain into a span,
-and the words of the template that a span covers decide whether its label holds. Base phrases are templates too: a
+can't grow in one of its templates is a match, with all places where the template has it; matches of one template that come in the template's order,
+with small gaps, chain into a span, each place by the predecessor that makes it cover most. The words of the template
+that a span covers decide whether its label holds. Base phrases are templates too: a
 phrase stands wherever the automaton's state, or a state on its suffix links, is the phrase's.
 
 Words are runs of digits, a-z (after lower-casing A-Z) and bytes from 0x80 on.
@@ -24,25 +25,53 @@ from .common import map_texts
 # Base phrases and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-# Short excerpts of public licence texts and the usual ways to name them.
+# The usual ways to name a licence, public licence texts and the notices that licences ask for.
 TEMPLATES = [
-    ("mit", "released under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software"),
-    ("mit", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement"),
-    ("apache-2.0", "licensed under the apache license version 2 0"),
-    ("apache-2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0"),
-    ("apache-2.0", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
-    ("gpl-3.0", "this work is licensed under the gnu general public license version 3"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
-    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"),
-    ("cc-by-nc-4.0", "licensed under cc by nc 4 0"),
-    ("cc-by-4.0", "licensed under cc by 4 0"),
-    ("cc-by-4.0", "this work is licensed under a creative commons attribution 4 0 international license"),
-    ("cc-by-sa-4.0", "licensed under cc by sa 4 0"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-    ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("mit", "Released under the MIT License"),
+    ("mit", """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated
+        documentation files (the "Software"), to deal in the Software without restriction, including without limitation
+        the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and
+        to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above
+        copyright notice and this permission notice shall be included in all copies or substantial portions of the
+        Software."""),
+    ("mit", """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED
+        TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+        AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF
+        CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS
+        IN THE SOFTWARE."""),
+    ("apache-2.0", "Licensed under the Apache License, Version 2.0"),
+    ("apache-2.0", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in
+        compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0
+        Unless required by applicable law or agreed to in writing, software distributed under the License is distributed
+        on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for
+        the specific language governing permissions and limitations under the License."""),
+    ("gpl-3.0", "This work is licensed under the GNU General Public License version 3"),
+    ("gpl", """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General
+        Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option)
+        any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;
+        without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General
+        Public License for more details. You should have received a copy of the GNU General Public License along with
+        this program."""),
+    ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0"),
+    ("cc-by-4.0", "Licensed under CC BY 4.0"),
+    ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
+    ("cc-by-sa-4.0", "Licensed under CC BY-SA 4.0"),
+    ("cc-by-sa-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("bsd", """Redistribution and use in source and binary forms, with or without modification, are permitted provided that
+        the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this
+        list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above
+        copyright notice, this list of conditions and the following disclaimer in the documentation and/or other
+        materials provided with the distribution."""),
+    ("bsd", """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED
+        WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR
+        PURPOSE ARE DISCLAIMED."""),
+    ("isc", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is
+        hereby granted, provided that the above copyright notice and this permission notice appear in all copies."""),
+    ("mpl-2.0", """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL
+        was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."""),
+    ("unlicense", """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify,
+        publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for
+        any purpose, commercial or non-commercial, and by any means."""),
 ]
 
 #: Shortest match, in words, that joins a chain; most words between two matches of a chain; least share of a template.
@@ -62,7 +91,7 @@ class State:
     length: int = 0
     link: int = -1
     next: dict[int, int] = field(default_factory=dict)
-    ends: dict[int, int] = field(default_factory=dict)  # by template: where a first occurrence of the state's runs ends
+    ends: dict[int, list[int]] = field(default_factory=dict)  # by template: where the state's runs end in it
     phrase: int = -1  # the base phrase that is one of the state's runs
     phrases: tuple[int, ...] = ()  # base phrases on the state's suffix links, its own last
 
@@ -84,8 +113,8 @@ class Automaton:
             for i, word in enumerate(run):
                 at = self.states[at].next[word]
                 up = at
-                while up > 0 and k not in self.states[up].ends:
-                    self.states[up].ends[k] = i
+                while up > 0:
+                    self.states[up].ends.setdefault(k, []).append(i)
                     up = self.states[up].link
         for k, run in enumerate(self.phrases):
             at = 0
@@ -124,7 +153,7 @@ class Automaton:
         return clone
 
     def stream(self, text: list[bytes]) -> tuple[list[tuple[int, int]], list[tuple[int, int, int]]]:
-        """Places (start, phrase) of base phrases, and matches (end, length, state) that can't grow."""
+        """Places (start, phrase) of base phrases, and matches (end, length, state) that can't grow in some template."""
         places, matches, states = [], [], self.states
         numbers = list(map(self.ids.get, text))
         state, length = 0, 0
@@ -143,7 +172,8 @@ class Automaton:
                 length += 1
             else:
                 length = 0
-            if length <= before and before >= LEAST_MATCH:
+            # a template that does not go on as the text does has had its longest match here, though another goes on
+            if before >= LEAST_MATCH and (length <= before or len(states[state].ends) < len(states[then].ends)):
                 matches.append((i - 1, before, then))
             for k in states[state].phrases:
                 if len(self.phrases[k]) <= length:
@@ -153,26 +183,41 @@ class Automaton:
         return places, matches
 
     def spans(self, matches: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
-        """Chains of matches: (template, first word, last word, covered words of the template)."""
-        chains: dict[int, list[int]] = {}  # by template: first word, last word, end in the template, covered words
-        out = []
+        """Chains of matches: (template, first word, last word, covered words of the template).
+
+        Of the chains of one template that share words of the text, the one that covers most is given.
+        """
+        open_: dict[int, list[tuple[int, int, int, int]]] = {}  # by template: first word, last word, end in the template, covered
+        closed: dict[int, list[tuple[int, int, int, int]]] = {}
         for end, length, state in matches:
-            for k, there in self.states[state].ends.items():
-                first, start = there - length + 1, end - length + 1
-                chain = chains.get(k)
-                if chain and there > chain[2] and start - chain[1] <= MOST_GAP and first - chain[2] <= MOST_GAP:
-                    overlap = max(0, chain[2] - first + 1, chain[1] - start + 1)
-                    chain[1:] = [end, there, chain[3] + max(0, length - overlap)]
-                else:
-                    if chain:
-                        out.append((k, chain[0], chain[1], chain[3]))
-                    chains[k] = [start, end, there, length]
-        return out + [(k, c[0], c[1], c[3]) for k, c in chains.items()]
+            start = end - length + 1
+            for k, places in self.states[state].ends.items():
+                waiting = [c for c in open_.get(k, ()) if start - c[1] <= MOST_GAP]
+                closed.setdefault(k, []).extend(c for c in open_.get(k, ()) if start - c[1] > MOST_GAP)
+                grown = []
+                for there in places:
+                    first = there - length + 1
+                    best = (start, end, there, length)
+                    for c in waiting:
+                        if there > c[2] and first - c[2] <= MOST_GAP:
+                            covered = c[3] + max(0, length - max(0, c[2] - first + 1, c[1] - start + 1))
+                            if covered > best[3]:
+                                best = (c[0], end, there, covered)
+                    grown.append(best)
+                open_[k] = waiting + grown
+        out = []
+        for k, chains in open_.items():
+            kept: list[tuple[int, int, int, int]] = []
+            for c in sorted(closed.get(k, []) + chains, key=lambda c: (-c[3], c[0], c[1])):
+                if not any(c[0] <= o[1] and o[0] <= c[1] for o in kept):
+                    kept.append(c)
+            out += [(k, c[0], c[1], c[3]) for c in kept]
+        return out
 
 
 @functools.lru_cache(1)
 def automaton() -> Automaton:
-    return Automaton([t.encode().split() for _, t in TEMPLATES], [p.encode().split() for p in BASE])
+    return Automaton([words(t.encode()) for _, t in TEMPLATES], [p.encode().split() for p in BASE])
 
 
 def scan(text: bytes) -> tuple:
