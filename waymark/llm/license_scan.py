@@ -2,9 +2,9 @@
 
 The automaton holds every run of words of every template. A file streams through it word by word; the state and length
 after each word are its matching statistics: the longest run of words ending there that some template has. A run that
-can't grow in one of its templates is a match, with all places where the template has it; matches of one template that come in the template's order,
-with small gaps, chain into a span, each place by the predecessor that makes it cover most. The words of the template
-that a span covers decide whether its label holds. Base phrases are templates too: a
+can't grow in one of its templates is a match, with all places where the template has it; matches of one template that
+come in the template's order, with small gaps, chain into a span, each place by the predecessor that makes it cover
+most. The words of the template that a span covers decide whether its label holds. Base phrases are templates too: a
 phrase stands wherever the automaton's state, or a state on its suffix links, is the phrase's.
 
 Words are runs of digits, a-z (after lower-casing A-Z) and bytes from 0x80 on.
@@ -74,8 +74,9 @@ TEMPLATES = [
         any purpose, commercial or non-commercial, and by any means."""),
 ]
 
-#: Shortest match, in words, that joins a chain; most words between two matches of a chain; least share of a template.
-LEAST_MATCH, MOST_GAP, LEAST_SHARE = 3, 8, 0.6
+#: Shortest match, in words, that joins a chain; most words between two matches of a chain; least share of a template
+#: that gives its label, and the length up to which a template is a name that has to stand whole.
+LEAST_MATCH, MOST_GAP, LEAST_SHARE, NAME = 3, 8, 0.6, 16
 
 _WORD_OR_SPACE = bytes(
     c + 32 if 0x41 <= c <= 0x5A else c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else 0x20 for c in range(256)
@@ -230,7 +231,7 @@ def scan(text: bytes) -> tuple:
     labels, spans, score = set(base), [], 1.0 if base else 0.0
     for k, first, last, covered in sorted(machine.spans(matches), key=lambda s: (s[1], s[2], s[0])):
         share = covered / len(machine.templates[k])
-        if share >= LEAST_SHARE:
+        if share >= (LEAST_SHARE if len(machine.templates[k]) > NAME else 1):
             labels.add(TEMPLATES[k][0])
             spans.append({"label": TEMPLATES[k][0], "first_word": first, "last_word": last, "covered": covered})
         score = max(score, min(1.0, share))
