@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column
@@ -83,11 +84,17 @@ def normalise_name(name: Column) -> Column:
     return F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), r"[^\p{L}\p{N}]", "")
 
 
+def _accents() -> tuple[str, str]:
+    """Latin letters with marks, and the letters that are left without the marks, by Unicode's decomposition."""
+    bare = {c: "".join(x for x in unicodedata.normalize("NFD", c) if not unicodedata.combining(x)) for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)])}
+    changed = {c: b for c, b in bare.items() if len(b) == 1 and b != c}
+    return "".join(changed), "".join(changed.values())
+
+
 def road_key(name: Column) -> Column:
     """Arrow for a dash between places, no accents, lower case, no blank ends."""
-    # Accented Latin letters and what they become.
-    accented, plain = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ", "aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY"
-    return F.trim(F.lower(F.translate(F.regexp_replace(name, "—", "→"), accented, plain)))
+    bare = F.translate(F.regexp_replace(F.regexp_replace(name, "—", "→"), r"\p{M}", ""), *_accents())
+    return F.trim(F.lower(bare))
 
 
 def time_window_limit(limit: Column, begin: Column, end: Column, otherwise: Column, hour: Column) -> Column:
@@ -219,7 +226,8 @@ def bearing(dx: Column, dy: Column) -> Column:
 
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     a = F.pow(F.sin(F.radians(lat2 - lat1) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return 2 * 6371.0 * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
+    # least() would take a null place for the other end of the earth
+    return 2 * 6371.0 * F.asin(F.sqrt(F.when(a > 1, 1.0).otherwise(a)))
 
 
 def chord_deviation_km(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:

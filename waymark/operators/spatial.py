@@ -44,16 +44,28 @@ def nearest(left: DataFrame, right: DataFrame, radius: float, key: str, tie: str
     return within(left, right, radius).withColumn("_nth", F.row_number().over(w)).where("_nth = 1").drop("_nth")
 
 
-def box_count(points: DataFrame, queries: DataFrame, side: float, weight: str | None = None, reach: int = 1) -> DataFrame:
-    """queries with `density`: the points' weights in the (2 reach + 1)^2 cells around. Cells are summed first."""
+def box_count(points: DataFrame, queries: DataFrame, side: float, weight: str | None = None, reach: int = 1, from_points: bool = False) -> DataFrame:
+    """queries with `density`: the points' weights in the (2 reach + 1)^2 cells around. Cells are summed first.
+
+    With from_points the grid starts one cell before the points' least coordinates, and a query beyond the grid counts
+    as if it were in the grid's outermost cell, two cells behind the points.
+    """
     amount = F.sum(weight) if weight else F.count(F.lit(1))
-    cells = points.groupBy(cell(F.col("x"), F.col("y"), side).alias("_cell")).agg(amount.alias("_w"))
-    asked = queries.select(cell(F.col("x"), F.col("y"), side).alias("_at")).distinct()
+    at = cell(F.col("x"), F.col("y"), side)
+    if from_points:
+        ends = [f(c).alias(f"_{f.__name__}_{c}") for f in (F.min, F.max) for c in "xy"]
+        edge = F.broadcast(points.agg(*ends))  # one row
+        points, queries = points.join(edge), queries.join(edge)
+        number = lambda c: F.floor((F.col(c) - (F.col(f"_min_{c}") - side)) / side)
+        last = lambda c: F.floor((F.col(f"_max_{c}") - (F.col(f"_min_{c}") - side)) / side) + 2
+        at = F.struct(*[F.greatest(F.lit(0), F.least(number(c), last(c))).alias(f"c{c}") for c in "xy"])
+    cells = points.groupBy(at.alias("_cell")).agg(amount.alias("_w"))
+    queries = queries.withColumn("_at", at).drop("_min_x", "_min_y", "_max_x", "_max_y")
     # each distinct cell that is asked for is summed once
-    spread = asked.withColumn("_cell", F.explode(around(F.col("_at.cx") * side, F.col("_at.cy") * side, side, reach)))
-    sums = spread.join(cells, "_cell").groupBy("_at").agg(F.sum("_w").alias("_w"))
-    out = queries.withColumn("_at", cell(F.col("x"), F.col("y"), side)).join(sums, "_at", "left")
-    return out.withColumn("density", F.coalesce("_w", F.lit(0))).drop("_at", "_w")
+    near = F.sequence(F.lit(-reach), F.lit(reach))
+    places = F.flatten(F.transform(near, lambda dx: F.transform(near, lambda dy: F.struct((F.col("_at.cx") + dx).alias("cx"), (F.col("_at.cy") + dy).alias("cy")))))
+    sums = queries.select("_at").distinct().withColumn("_cell", F.explode(places)).join(cells, "_cell").groupBy("_at").agg(F.sum("_w").alias("_w"))
+    return queries.join(sums, "_at", "left").withColumn("density", F.coalesce("_w", F.lit(0))).drop("_at", "_w")
 
 
 def segment_distance(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
@@ -79,12 +91,14 @@ def point_to_segments(points: DataFrame, segments: DataFrame, radius: float) ->
     return joined.withColumn("distance", distance).drop("_cx", "_cy", "_px", "_py")
 
 
-def inside_rings(points: DataFrame, ring_edges: DataFrame, key: str, ring: str) -> DataFrame:
+def inside_rings(points: DataFrame, ring_edges: DataFrame, key: str, ring: str, side: float | None = None) -> DataFrame:
     """(key, ring) where a point lies in a closed ring, by counting the edges that a ray to the right crosses.
 
-    Edges are dealt to the rows of a grid that they span, so a point meets only edges at its own height.
+    Edges are dealt to the rows of a grid that they span, so a point meets only edges at its own height. A row is `side`
+    high, by default a 64th of the highest edge: no edge is dealt to more than 65 rows.
     """
-    side = 1.0
+    if side is None:
+        side = (ring_edges.agg(F.max(F.abs(F.col("by") - F.col("ay")))).first()[0] or 64.0) / 64
     rows = ring_edges.withColumn("_row", F.explode(F.sequence(F.floor(F.least("ay", "by") / side), F.floor(F.greatest("ay", "by") / side))))
     asked = points.withColumn("_at", F.floor(F.col("y") / side))
     spans = (F.col("ay") > F.col("y")) != (F.col("by") > F.col("y"))
@@ -94,10 +108,12 @@ def inside_rings(points: DataFrame, ring_edges: DataFrame, key: str, ring: str)
 
 
 def bilinear(points: DataFrame, cells: DataFrame, size: float, columns: int, rows: int) -> DataFrame:
-    """points with z, between the four cell centres around, clamped at the edges; null if any of them has no value.
+    """points with z, between the four cell centres around; null outside the raster or if any of them has no value.
 
-    cells: (row, col, z) of one raster whose row 0 is at y = 0; centres are half a cell in.
+    Between the outermost centres and the raster's edge the outermost centres count. cells: (row, col, z) of one raster
+    whose row 0 is at y = 0; centres are half a cell in.
     """
+    inside = F.col("x").between(0, columns * size) & F.col("y").between(0, rows * size)
     gx = F.greatest(F.lit(0.0), F.least(F.lit(columns - 1.0), F.col("x") / size - 0.5))
     gy = F.greatest(F.lit(0.0), F.least(F.lit(rows - 1.0), F.col("y") / size - 0.5))
     c0 = F.least(F.floor(gx), F.lit(max(columns - 2, 0)))
@@ -109,4 +125,4 @@ def bilinear(points: DataFrame, cells: DataFrame, size: float, columns: int, row
     ]))
     keys = points.columns
     four = at.withColumn("_k", corner).select(*keys, "_k.row", "_k.col", "_k.w").where("w > 0").join(cells, ["row", "col"], "left")
-    return four.groupBy(*keys).agg(F.when(F.count("z") == F.count(F.lit(1)), F.sum(F.col("w") * F.col("z"))).alias("z"))
+    return four.groupBy(*keys).agg(F.when(inside & (F.count("z") == F.count(F.lit(1))), F.sum(F.col("w") * F.col("z"))).alias("z"))
