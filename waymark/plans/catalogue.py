@@ -123,9 +123,14 @@ def content_hash(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.sha2("text", 256).alias("sha256"), F.length("text").cast("long").alias("chars"), F.octet_length("text").cast("long").alias("bytes"))
 
 
-@query(None)
+@query("""WITH p AS (SELECT p_partkey, p_size AS z FROM part), w AS (SELECT *, list_filter([CASE WHEN z >= 6 THEN z || ' sweet-spot corners (30-150 m radius)' END, CASE WHEN z * 4 >= 120 THEN 'Properly twisty: ' || z * 4 || ' deg of turning per km' END,
+  CASE WHEN z * 2 >= 70 THEN 'Modelled as usually quiet (static estimate, not live traffic)' END, CASE WHEN z * 5 >= 150 THEN '+' || z * 5 || ' m of modelled climbing' END,
+  CASE WHEN z >= 70 THEN 'Forest, heath or dune scenery most of the way' END], lambda x: x IS NOT NULL) AS said FROM p)
+SELECT p_partkey, array_to_string(list_filter([CASE WHEN z * 3 >= 70 AND z / 50 >= 0.5 THEN 'flowing' END, CASE WHEN z / 20 >= 1.5 THEN 'technical' END, CASE WHEN z / 50 >= 0.7 THEN 'scenic' END,
+  CASE WHEN z / 40 >= 0.7 THEN 'quiet' END, CASE WHEN z / 30 >= 0.8 THEN 'smooth' END], lambda x: x IS NOT NULL), ',') AS traits,
+  CASE WHEN len(said) = 0 THEN 'A spirited circuit with a good rhythm' ELSE array_to_string(said[1:3], '; ') END AS why FROM w""")
 def collections(t: Tables) -> DataFrame:
-    """Traits and reasons of parts as routes (texts: tested in units)."""
+    """Traits and reasons of parts as routes."""
     size = F.col("p_size")
     made = t.part.select("p_partkey", roads.traits(size * 3, size / 50, size / 20, size / 50, size / 40, size / 30).alias("traits"), roads.why(size, size * 4, size * 2, size * 5, size * 1).alias("why"))
     return made.select("p_partkey", F.array_join("traits", ",").alias("traits"), F.array_join("why", "; ").alias("why"))
