@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..storage import written  # noqa: F401  (the operators take it from here)
 
 #: Bytes of text that one step inside a task handles together.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -103,6 +103,7 @@ def map_texts(
                 columns = [batch.column(i).slice(lo, hi - lo).cast(arrow.field(i).type) for i in range(len(names))]
                 columns += [pa.array(c, arrow.field(len(names) + i).type) for i, c in enumerate(made)]
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+        _released()
 
     return source.mapInArrow(run, out_schema)
 
@@ -119,10 +120,16 @@ def filter_texts(df: DataFrame, function: Callable[[list[bytes]], list[bool]], t
             for lo, hi in chunks(_lengths(data)):
                 keep += function([t or b"" for t in data.slice(lo, hi - lo).to_pylist()])
             yield batch.filter(pa.array(keep, pa.bool_()))
+        _released()
 
     return df.mapInArrow(run, df.schema)
 
 
+def _released() -> None:
+    """Give what Arrow's allocator holds back to the system: a worker goes on to other partitions and stages."""
+    pa.default_memory_pool().release_unused()
+
+
 def _lengths(data: pa.Array) -> list[int]:
     return pc.fill_null(pc.binary_length(data), 0).to_pylist()
 

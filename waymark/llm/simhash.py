@@ -20,6 +20,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 from zlib import crc32
 
@@ -27,7 +28,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
@@ -213,8 +214,9 @@ CHECK_SHINGLE = 5
 CANDIDATE_RADIUS, CANDIDATE_BLOCKS = 4, 6
 #: Texts that the order of shingles is taken from, shingles of that order, and how often a frequent one is in it.
 SAMPLE_TEXTS, COMMON, FREQUENT = 4_000, 1 << 17, 8
-PARITY = ("p0", "p1", "p2", "p3")
-PORTRAIT = "same long, fp1 long, fp2 long, n int, p0 long, p1 long, p2 long, p3 long, rare array<long>, frequent array<long>"
+#: Numbers of 64 bits that hold the parities of shingles, and how many of them a row of a bucket carries.
+PARITY, FOLDED = tuple(f"p{i}" for i in range(16)), 8
+PORTRAIT = f"same long, fp1 long, fp2 long, n int, {', '.join(f'{p} long' for p in PARITY)}, rare array<long>, frequent array<long>"
 
 
 def portrait(text: bytes, known: np.ndarray, counts: np.ndarray) -> tuple:
@@ -222,7 +224,7 @@ def portrait(text: bytes, known: np.ndarray, counts: np.ndarray) -> tuple:
 
     Fingerprints are of single words, each weighed by the square root of its count: they stay within a few bits where a
     few words have changed, which fingerprints of longer shingles do not. Bit i of the parity says whether an odd number
-    of shingles have the hash i of 256: texts differ in at least as many shingles as parities in bits. The prefix is the
+    of shingles have the hash i of 1024: texts differ in at least as many shingles as parities in bits. The prefix is the
     first n // 5 + 1 of the n shingles, rarest first: texts at 4/5 or more share at least 4/5 of either's shingles, so
     one of them is in both prefixes. The prefix is given in two parts, its frequent shingles (by the sample) last.
     """
@@ -235,7 +237,7 @@ def portrait(text: bytes, known: np.ndarray, counts: np.ndarray) -> tuple:
         weights = np.sqrt(np.fromiter(weighed.values(), np.float32, len(weighed)))
         packed = np.packbits(weights @ bits * 2 > weights.sum()).tobytes()
     h = shingle_hashes(words)
-    odd = np.bincount((h >> np.uint64(56)).astype(np.int64), minlength=256) & 1
+    odd = np.bincount((h >> np.uint64(54)).astype(np.int64), minlength=64 * len(PARITY)) & 1
     count = np.zeros(len(h), np.int64)
     if len(known) and len(h):
         at = np.minimum(np.searchsorted(known, h), len(known) - 1)
@@ -377,26 +379,35 @@ def buckets(rows: DataFrame) -> DataFrame:
     return written(shared.select("h", "node", "n", "pos", "hub").distinct(), "buckets")
 
 
+def differing(parities: int) -> Column:
+    """In how many bits the parities of two nodes a and b differ."""
+    return sum((F.bit_count(F.col(f"p{i}_a").bitwiseXOR(F.col(f"p{i}_b"))) for i in range(parities)), F.lit(0))
+
+
 def possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (a, b) that sizes and parities allow to be similar: at 4/5, texts differ in a ninth of their shingles."""
     of = lambda side: nodes.select(F.col("same").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("n", *PARITY)])
-    differ = sum((F.bit_count(F.col(f"{p}_a").bitwiseXOR(F.col(f"{p}_b"))) for p in PARITY), F.lit(0))
     both = pairs.join(of("a"), "a").join(of("b"), "b")
-    return both.where("5L * least(n_a, n_b) >= 4L * greatest(n_a, n_b)").where(9 * differ <= F.col("n_a") + F.col("n_b")).select("a", "b")
+    return both.where("5L * least(n_a, n_b) >= 4L * greatest(n_a, n_b)").where(9 * differing(len(PARITY)) <= F.col("n_a") + F.col("n_b")).select("a", "b")
 
 
-def across(shared: DataFrame, linked: DataFrame) -> DataFrame:
-    """(a, b): all pairs of a bucket in different components that can be similar by their sizes and places.
+def across(shared: DataFrame, linked: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b): all pairs of a bucket in different components that can be similar by sizes, places and parities.
 
-    At their first common shingle in the order, what is left of the shorter rest bounds their overlap. A bucket of more
-    than SHARD nodes is dealt by slices. Pairs inside a component are settled, whatever their similarity.
+    At their first common shingle in the order, what is left of the shorter rest bounds their overlap. Parities are
+    folded to FOLDED numbers, which are parities again. A bucket of more than SHARD nodes is dealt by slices. Pairs inside
+    a component are settled, whatever their similarity.
     """
     rows = shared.join(linked, "node", "left").select("h", "node", "n", "pos", F.coalesce("root", "node").alias("root"))
     mixed = rows.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-    rows = written(rows.join(mixed.select("h", F.ceil(F.col("m") / SHARD).cast("int").alias("slices")), "h"), "mixed")
-    left = rows.select("h", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int").alias("s"), *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "pos", "root")])
-    right = rows.select("h", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("s"), *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "pos", "root")])
-    both = left.join(right, ["h", "s"]).where("node_a > node_b and root_a <> root_b and 9L * least(n_a - pos_a, n_b - pos_b) >= 4L * (n_a + n_b)")
+    folded = [reduce(Column.bitwiseXOR, [F.col(p) for p in PARITY[i::FOLDED]]).alias(f"p{i}") for i in range(FOLDED)]
+    rows = rows.join(mixed.select("h", F.ceil(F.col("m") / SHARD).cast("int").alias("slices")), "h").join(nodes.select(F.col("same").alias("node"), *folded), "node")
+    rows = written(rows, "mixed")
+    columns = ["node", "n", "pos", "root", *PARITY[:FOLDED]]
+    left = rows.select("h", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int").alias("s"), *[F.col(c).alias(f"{c}_a") for c in columns])
+    right = rows.select("h", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("s"), *[F.col(c).alias(f"{c}_b") for c in columns])
+    possible_ = F.expr("node_a > node_b and root_a <> root_b and 9L * least(n_a - pos_a, n_b - pos_b) >= 4L * (n_a + n_b)") & (9 * differing(FOLDED) <= F.col("n_a") + F.col("n_b"))
+    both = left.join(right, (left["h"] == right["h"]) & (left["s"] == right["s"]) & possible_)
     return both.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
@@ -436,7 +447,7 @@ def _near_duplicate_groups(docs: DataFrame, key: str, text: str) -> DataFrame:
     proposed = written(possible(proposed.distinct(), nodes), "proposed")
     first = written(checked(proposed), "first")
     linked = written(components(first), "linked")
-    rest = written(possible(across(shared, linked).join(proposed, ["a", "b"], "left_anti"), nodes), "rest")
+    rest = written(possible(across(shared, linked, nodes).join(proposed, ["a", "b"], "left_anti"), nodes), "rest")
     found = components(first.union(checked(rest)))
     rooted = nodes.select("same", "least", "n_rows").join(found.select(F.col("node").alias("same"), "root"), "same", "left").withColumn("root", F.coalesce("root", "same"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("group")), "root").select("same", "n_rows", "group")

@@ -42,7 +42,7 @@ PARTS, ROUNDS, STEPS, BATCH = 4, 3, 360, 256
 THRESHOLD = 0.3
 FOLDS, HELD_OUT = 4, 2
 #: Words that a worker remembers, windows that it scores together, and bytes of a text that it takes apart together.
-MOST_WORDS, BLOCK, BYTES = 50_000, 4096, 1 << 20
+MOST_WORDS, BLOCK, BYTES = 50_000, 1024, 1 << 20
 
 _WORD = bytes(c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x41 <= c <= 0x5A or 0x61 <= c <= 0x7A else 0x20 for c in range(256))
 
