@@ -36,8 +36,8 @@ from .pretokens import Memo, Splitter
 _NONE = 1 << 40
 #: Bytes up to which plain scanning merges faster than a heap.
 _FEW = 48
-#: Pairs of tokens that are remembered, twice: some 20 MB.
-PAIRS = 100_000
+#: Pairs of tokens that are remembered, twice: some 50 MB.
+PAIRS = 200_000
 #: Bytes of a piece whose encoding is remembered.
 SHORT = 4
 
@@ -49,7 +49,7 @@ class MergeRanks:
         self.ranks = ranks
         self.bytes_of = {v: k for k, v in ranks.items()}
         self.longest = max(map(len, ranks))
-        self.windows = Memo(self.merge, 20_000)
+        self.windows = Memo(self.merge, 50_000)
         self.pairs = Memo(self._holds, PAIRS)
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
@@ -97,6 +97,10 @@ class MergeRanks:
             i = after[i]
         return tuple(out)
 
+    def forget(self) -> None:
+        self.windows.forget()
+        self.pairs.forget()
+
     def _holds(self, pair: int) -> bool:
         left, right = pair >> 20, pair & 0xFFFFF
         return self.windows[self.bytes_of[left] + self.bytes_of[right]] == (left, right)
@@ -109,6 +113,10 @@ class Encoder(MergeRanks):
         super().__init__(ranks)
         self.short: dict[bytes, tuple[int, ...]] = {}
 
+    def forget(self) -> None:
+        super().forget()
+        self.short.clear()
+
     def encode(self, unit: str) -> tuple[int, ...]:
         if len(unit) <= 32 or unit.isascii():
             return self._encode(unit.encode())
@@ -157,7 +165,7 @@ class Encoder(MergeRanks):
 
     def decode(self, ids: tuple[int, ...]) -> bytes:
         """Concatenates up the tree."""
-        if len(ids) <= 8:
+        if len(ids) <= 256:
             return b"".join(map(self.bytes_of.__getitem__, ids))
         half = len(ids) // 2
         return self.decode(ids[:half]) + self.decode(ids[half:])
@@ -175,25 +183,29 @@ class TextCodec:
     def __init__(self, path: str, pattern: str):
         self.encoder = Encoder(read_ranks(path))
         self.splitter = Splitter(pattern, self._subtree)
+        self.shown = [str(i) for i in range(1 + max(self.encoder.bytes_of))]
 
-    def _subtree(self, units: list[str]) -> tuple[str, int, bytes]:
-        """A part's ids as text, their number, and the bytes that they decode to."""
+    def _subtree(self, units: list[str]) -> tuple[int, ...]:
+        """A part's ids."""
         if len(units) == 1:
-            ids = self.encoder.encode(units[0])
-        else:
-            ids = tuple(chain.from_iterable(map(self.encoder.encode, units)))
-        return " ".join(map(str, ids)), len(ids), self.encoder.decode(ids)
+            return self.encoder.encode(units[0])
+        return tuple(chain.from_iterable(map(self.encoder.encode, units)))
 
     def encode(self, text: str) -> list[int]:
-        return [int(x) for part in self.splitter.parts(text) for x in part[0].split(" ")]
+        return list(chain.from_iterable(self.splitter.parts(text)))
 
     def decode(self, ids: list[int]) -> bytes:
         return self.encoder.decode(tuple(ids))
 
     def digest(self, text: str) -> tuple[int, str, str]:
         """Tokens, SHA-256 of the ids as decimal numbers joined by spaces, SHA-256 of the decoded bytes."""
-        ids, counts, decoded = zip(*self.splitter.parts(text)) if text else ((), (), ())
-        return sum(counts), hashlib.sha256(" ".join(ids).encode()).hexdigest(), hashlib.sha256(b"".join(decoded)).hexdigest()
+        ids = self.encode(text)
+        return len(ids), hashlib.sha256(" ".join(map(self.shown.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(self.decode(ids)).hexdigest()
+
+    def forget(self) -> None:
+        """Empties the memos: a worker goes on to other partitions and stages."""
+        self.splitter.forget()
+        self.encoder.forget()
 
 
 @functools.lru_cache(2)
@@ -208,7 +220,7 @@ def encode_digests(df: DataFrame, path: str, pattern: str, key: str = "doc_id",
         digest = codec(path, pattern).digest
         return [digest(t.decode()) for t in texts]
 
-    return map_texts(df, rows, "n_tokens long, ids_sha256 string, decoded_sha256 string", key, text)
+    return map_texts(df, rows, "n_tokens long, ids_sha256 string, decoded_sha256 string", key, text, done=lambda: codec(path, pattern).forget())
 
 
 def encode_ids(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -218,7 +230,7 @@ def encode_ids(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text
         encode = codec(path, pattern).encode
         return [(ids, len(ids)) for ids in (encode(t.decode()) for t in texts)]
 
-    return map_texts(df, rows, "ids array<int>, n_tokens long", key, text, keep)
+    return map_texts(df, rows, "ids array<int>, n_tokens long", key, text, keep, lambda: codec(path, pattern).forget())
 
 
 def decode_ids(df: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:

@@ -82,10 +82,12 @@ def map_texts(
     key: str = "doc_id",
     text: str = "text",
     keep: tuple[str, ...] = (),
+    done: Callable[[], None] | None = None,
 ) -> DataFrame:
     """Apply function to the UTF-8 bytes of texts (null: empty), in bounded chunks inside tasks.
 
-    Gives key, the `keep` columns and the tuples that function returns, named by the DDL string `fields`.
+    Gives key, the `keep` columns and the tuples that function returns, named by the DDL string `fields`. done is called
+    at the end of each partition.
     """
     bound_batches(df.sparkSession)
     names = [key, *keep]
@@ -103,6 +105,8 @@ def map_texts(
                 columns = [batch.column(i).slice(lo, hi - lo).cast(arrow.field(i).type) for i in range(len(names))]
                 columns += [pa.array(c, arrow.field(len(names) + i).type) for i, c in enumerate(made)]
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow)
+        if done:
+            done()
         _released()
 
     return source.mapInArrow(run, out_schema)

@@ -77,6 +77,11 @@ class TextCounts:
             out += self.splitter.parts(piece) if isinstance(piece, str) else [piece]
         return out
 
+    def forget(self) -> None:
+        """Empties the memos: a worker goes on to other partitions and stages."""
+        self.splitter.forget()
+        self.dp.forget()
+
     def count(self, text: str) -> int:
         return sum([p[0] for p in self.parts(text)])
 
@@ -138,7 +143,7 @@ def count_tokens(df: DataFrame, path: str, pattern: str, limit: int = 512, key:
             out.append((len(t), n, n > limit, len(t) if n <= limit else of.budget(parts, limit)))
         return out
 
-    return map_texts(df, rows, "n_bytes long, n_tokens long, over_limit boolean, bytes_in_limit long", key, text)
+    return map_texts(df, rows, "n_bytes long, n_tokens long, over_limit boolean, bytes_in_limit long", key, text, done=lambda: counter(path, pattern).forget())
 
 
 def prefix_counts(df: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
