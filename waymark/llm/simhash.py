@@ -386,6 +386,9 @@ def differing(parities: int) -> Column:
 
 def possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (a, b) that sizes and parities allow to be similar: at 4/5, texts differ in a ninth of their shingles."""
+    pairs = written(pairs, "pairs")
+    ids = written(pairs.select(F.col("a").alias("same")).union(pairs.select(F.col("b").alias("same"))).distinct(), "ids")
+    nodes = written(nodes.join(small_side(ids), "same", "left_semi").select("same", "n", *PARITY), "needed")  # so that only these move
     of = lambda side: nodes.select(F.col("same").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("n", *PARITY)])
     both = pairs.join(of("a"), "a").join(of("b"), "b")
     return both.where("5L * least(n_a, n_b) >= 4L * greatest(n_a, n_b)").where(9 * differing(len(PARITY)) <= F.col("n_a") + F.col("n_b")).select("a", "b")
