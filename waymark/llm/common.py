@@ -9,7 +9,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import written  # noqa: F401  (the operators take it from here)
+from ..storage import passing, written  # noqa: F401  (the operators take them from here)
 
 #: Bytes of text that one step inside a task handles together.
 CHUNK_BYTES = 1 << 19

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, fingerprints, license_scan, media_jpeg, mixing, quality, sharding, simhash, token_counts, toxicity
+from . import byte_bpe, code_lloyd, fingerprints, hard_negatives, license_scan, media_jpeg, mixing, packing, quality, sharding, simhash, token_counts, toxicity
 from .common import table
 
 
@@ -61,9 +61,25 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), *_tokenizer("byte_bpe_50k.json"))
+
+
+def op12_code_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code_lloyd.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(hard_negatives.relabelled(table(spark, sf_dir, "embeddings"), seventh=F.col("vec_id") % 7 == 0))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_media_columns, op2_license_scan, op3_byte_bpe, op4_token_counts, op5_fingerprints, op6_mixing, op7_quality, op8_sharding, op9_simhash, op10_toxicity)
-}
+    f.__name__: f
+    for f in (
+        op1_media_columns, op2_license_scan, op3_byte_bpe, op4_token_counts, op5_fingerprints, op6_mixing, op7_quality, op8_sharding, op9_simhash, op10_toxicity,
+        op11_packing, op12_code_lloyd, op13_hard_negatives,
+    )
+}
 
 #: The other operators are beyond SQL; tests hold their queries against brute force, round trips or held-out rows.
-ORACLE_SQL: dict[str, str] = {"op6_mixing": mixing.SQL}
+ORACLE_SQL: dict[str, str] = {"op6_mixing": mixing.SQL, "op12_code_lloyd": code_lloyd.SQL, "op13_hard_negatives": hard_negatives.SQL}

@@ -114,11 +114,16 @@ def _between(text: str, token: str) -> list:
     return out
 
 
-def byte_ranks(model: dict) -> dict[bytes, int]:
-    """Merge ranks by bytes, from the library's printable form of bytes; bytes come first, then merges in order."""
+def printable_bytes() -> dict[str, int]:
+    """The byte behind each character of the library's printable form of bytes."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     hidden = [b for b in range(256) if b not in set(shown)]
-    byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+
+
+def byte_ranks(model: dict) -> dict[bytes, int]:
+    """Merge ranks by bytes; bytes come first, then merges in order."""
+    byte_of = printable_bytes()
     raw = lambda s: bytes([byte_of[c] for c in s])
     ranks = {bytes([b]): i for i, b in enumerate(range(256))}
     for i, merge in enumerate(model["merges"]):
