@@ -15,6 +15,7 @@ streams in one pass; other columns are not touched.
 
 from __future__ import annotations
 
+import bisect
 import functools
 from dataclasses import dataclass, field
 
@@ -208,10 +209,11 @@ class Automaton:
                 open_[k] = waiting + grown
         out = []
         for k, chains in open_.items():
-            kept: list[tuple[int, int, int, int]] = []
+            kept: list[tuple[int, int, int, int]] = []  # in the order of the text, apart from each other
             for c in sorted(closed.get(k, []) + chains, key=lambda c: (-c[3], c[0], c[1])):
-                if not any(c[0] <= o[1] and o[0] <= c[1] for o in kept):
-                    kept.append(c)
+                at = bisect.bisect_right(kept, c[1], key=lambda o: o[0])
+                if not at or kept[at - 1][1] < c[0]:
+                    kept.insert(at, c)
             out += [(k, c[0], c[1], c[3]) for c in kept]
         return out
 
