@@ -68,11 +68,3 @@ def test_tints(spark):
     rows = [(i, 10.0 - i, 5.0, 52.0, 5.01, 52.01) for i in range(4)] + [(9, 1.0, 6.0, 52.0, 6.01, 52.01)]
     got = {r["item"]: r["tint"] for r in areas.tints(spark.createDataFrame(rows, "item long, rank double, west double, south double, east double, north double")).collect()}
     assert got == {0: 0, 1: 1, 2: 2, 3: 3, 9: 0}
-
-
-def test_spurs(spark):
-    at = {0: (0, 0), 1: (1000, 0), 2: (1000, 1000), 3: (0, 1000), 4: (2000, 0), 5: (2000, 10), 6: (1000, 10)}
-    path = [(0, 1, 0), (1, 4, 10), (4, 1, 10), (1, 2, 1), (2, 3, 2), (3, 0, 3)]
-    steps = [(0, i, 100 + i, u, v, s, *map(float, (*at[u], *at[v]))) for i, (u, v, s) in enumerate(path)]
-    df = spark.createDataFrame(steps, "route long, seq long, edge_id long, u long, v long, slice_id long, ax double, ay double, bx double, by double")
-    assert areas.clean_spurs(df).first()["edges"] == [100, 103, 104, 105]

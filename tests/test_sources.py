@@ -83,10 +83,3 @@ def test_retraced_route(spark):
     points = spark.createDataFrame(there + back + loop, "route long, seq long, x double, y double")
     got = {r["route"]: r["share"] for r in routes.retrace_share(routes.trace(points)).collect()}
     assert got[0] > 0.8 and got[1] == 0.0
-
-
-def test_circuit_prefers_another_way_back(spark):
-    rows = [(0, 0, 1, 0, 10.0), (1, 1, 0, 0, 10.0), (2, 1, 2, 1, 8.0), (3, 2, 0, 2, 8.0)]
-    edges = spark.createDataFrame([(*r, r[4]) for r in rows], "edge_id long, u long, v long, slice_id long, cost double, length_m double")
-    got = routes.circuit(edges, 0, 1, 1000.0).first()
-    assert got["out"] == [0] and got["back"] == [2, 3] and got["overlap"] == 0.0

@@ -1,4 +1,4 @@
-"""Choices in rank order that only affect their surroundings: area clusters, tints, spurs.
+"""Choices in rank order that only affect their surroundings: area clusters, tints.
 
 Clusters and tints are made in rounds of joins: an item decides once no better item that could affect it is open, so
 items far from each other decide in the same round, and nothing is brought into one task.
@@ -6,8 +6,6 @@ items far from each other decide in the same round, and nothing is brought into
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -66,40 +64,3 @@ def tints(items: DataFrame, pad: float = 0.004, bucket: float = 0.05, n: int = 6
         done = written(done.unionByName(choice.select("item", F.col("c.tint").alias("tint"))), "tints")
         open_ = written(open_.join(ready, "item", "left_anti"), "open")
     return done
-
-
-def clean_spurs(steps: DataFrame, radius: float = 25.0, gap: float = 150.0, least: float = 0.8) -> DataFrame:
-    """(route, edges): closed routes without reversals and without side trips that mostly retrace themselves.
-
-    steps: route, seq, edge_id, u, v, slice_id, ax, ay, bx, by (an edge's ends). A side trip begins and ends at one
-    node; one that is a real loop stays, and so does the start. Each route is one small group.
-    """
-
-    def retraced(part: list) -> bool:
-        legs = np.array([(r.ax, r.ay, r.bx, r.by) for r in part])
-        length = np.hypot(legs[:, 2] - legs[:, 0], legs[:, 3] - legs[:, 1])
-        ends = np.cumsum(length)
-        t = np.arange(10.0, ends[-1], 20.0)
-        k = np.minimum(np.searchsorted(ends, t), len(legs) - 1)
-        share = (t - (ends[k] - length[k])) / np.maximum(length[k], 1e-9)
-        d = (legs[:, 2:] - legs[:, :2]) / np.maximum(length, 1e-9)[:, None]
-        p = legs[k, :2] + share[:, None] * (legs[k, 2:] - legs[k, :2])
-        hit = 0
-        for i in range(len(t)):
-            near = (np.hypot(*(p - p[i]).T) <= radius) & (d[k] @ d[k[i]] < -0.7) & (np.abs(t - t[i]) > gap)
-            hit += bool(near.any())
-        return len(t) > 0 and hit / len(t) >= least
-
-    def clean(rows: pd.DataFrame) -> pd.DataFrame:
-        kept: list = []
-        for r in rows.sort_values("seq").itertuples():
-            kept.append(r)
-            if len(kept) > 1 and kept[-2].slice_id == r.slice_id and kept[-2].u == r.v and kept[-2].v == r.u:
-                del kept[-2:]
-                continue
-            cut = next((i for i in range(len(kept) - 1, 0, -1) if kept[i].u == r.v and retraced(kept[i:])), None)
-            if cut is not None:
-                del kept[cut:]
-        return pd.DataFrame({"route": [rows["route"].iloc[0]], "edges": [[r.edge_id for r in kept]]})
-
-    return steps.groupBy("route").applyInPandas(clean, "route long, edges array<long>")

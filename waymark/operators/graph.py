@@ -92,9 +92,12 @@ def _in_reach(grown: DataFrame, known: DataFrame, wanted: DataFrame) -> DataFram
 
 
 def _unrolled(known: DataFrame, wanted: DataFrame | None) -> DataFrame:
-    """Paths from the edge into each node: every round puts the path of the node where a piece begins before it."""
+    """Paths from the edge into each node: every round puts the path of the node where a piece begins before it.
+
+    wanted: the (node) or (source, node) that paths are asked for.
+    """
     pieces = known.select("source", "node", "cost", F.when(F.col("edge").isNull(), F.expr("cast(array() as array<long>)")).otherwise(F.array("edge")).alias("path"), "before")
-    open_ = pieces if wanted is None else pieces.join(wanted, "node", "left_semi")
+    open_ = pieces if wanted is None else pieces.join(wanted, wanted.columns, "left_semi")
     open_ = written(open_.select("source", "node", "cost", "path", "before"), "open")
     steps = written(pieces.select("source", F.col("node").alias("_at"), F.col("path").alias("_path"), F.col("before").alias("_before")), "steps")
     while not open_.where("before is not null").isEmpty():

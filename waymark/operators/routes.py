@@ -1,4 +1,4 @@
-"""Routes over the network: geometry, retracing, circuits and areas."""
+"""Routes over the network: geometry and retracing."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import spatial
-from .graph import shortest_paths
 
 
 def route_points(paths: DataFrame, segments: DataFrame) -> DataFrame:
@@ -49,19 +48,3 @@ def near_share(traced: DataFrame, radius: float = 25.0) -> DataFrame:
     hit = spatial.within(traced, other, radius).where("route <> other").select("route", "other", "t").distinct().groupBy("route", "other").agg(F.count(F.lit(1)).alias("_n"))
     every = traced.groupBy("route").agg(F.count(F.lit(1)).alias("_all"))
     return hit.join(every, "route").select("route", "other", (F.col("_n") / F.col("_all")).alias("share"))
-
-
-def circuit(edges: DataFrame, start: int, target: int, bound: float, reuse: float = 2.5) -> DataFrame:
-    """(out, back, overlap) of one circuit: the cheapest way to the target, and back with the slices of the way out at
-    `reuse` times their cost. overlap is the share of the way out whose slices the way back uses too."""
-    spark = edges.sparkSession
-    at = lambda node: spark.range(1).select(F.lit(node).cast("long").alias("node"))
-    out = shortest_paths(edges, at(start), bound, targets=at(target)).select(F.col("path").alias("out"))
-    used = out.select(F.explode("out").alias("edge_id")).join(edges.select("edge_id", "slice_id"), "edge_id").select("slice_id").distinct().withColumn("_used", F.lit(True))
-    dearer = edges.join(used, "slice_id", "left").withColumn("cost", F.col("cost") * F.when(F.col("_used"), reuse).otherwise(1.0)).drop("_used")
-    back = shortest_paths(dearer, at(target), bound * reuse, targets=at(start)).where(F.size("path") > 0).select(F.col("path").alias("back"))
-    lengths = edges.select("edge_id", "slice_id", "length_m")
-    gone = out.select(F.explode("out").alias("edge_id")).join(lengths, "edge_id")
-    home = back.select(F.explode("back").alias("edge_id")).join(lengths, "edge_id").select("slice_id").distinct().withColumn("_both", F.lit(True))
-    overlap = gone.join(home, "slice_id", "left").agg((F.sum(F.when(F.col("_both"), F.col("length_m")).otherwise(0.0)) / F.greatest(F.sum("length_m"), F.lit(1.0))).alias("overlap"))
-    return out.join(back, F.lit(True)).join(overlap, F.lit(True))  # one row each
