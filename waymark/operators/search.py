@@ -20,30 +20,34 @@ FEW = 1 << 17
 
 def cheapest_routes(
     edges: DataFrame, nodes: DataFrame, pairs: DataFrame, bucket: float | None = None, dearer: DataFrame | None = None, rate: float = 1.0,
-    bound: float | None = None, most_rounds: int = 100_000,
+    bound: float | None = None, most_rounds: int = 100_000, closed: DataFrame | None = None,
 ) -> DataFrame:
     """(pair, cost, path) of the cheapest way of each pair that has one; ties by the lesser last edge.
 
     edges: edge_id, u, v, cost (null: closed), and slice_id if `dearer` is given; nodes: node, x, y; pairs: pair, start,
     goal. No edge may cost less than `rate` for each unit of the straight distance between its ends: that is looked at.
-    dearer: (pair, slice_id, factor), factors of 1 or more, null for closed; a pair's slice has one row. bucket: the width of a round in cost, by default
-    eight times the mean edge. Ways dearer than `bound` are not looked for. A pair whose ends are one node costs 0.
+    dearer: (pair, slice_id, factor), factors of 1 or more, null for closed; a pair's slice has one row. closed: (pair,
+    edge_id) that a pair may not use. If pairs have `window` (bits), a pair uses the edges whose `mask` has one of them.
+    bucket: the width of a round in cost, by default eight times the mean edge. Ways dearer than `bound` are not looked
+    for. A pair whose ends are one node costs 0.
     """
-    found, _ = _search(edges, nodes, pairs, bucket, dearer, rate, bound, most_rounds)
+    found, _ = _search(edges, nodes, pairs, bucket, dearer, rate, bound, most_rounds, closed)
     return found
 
 
 def reached_nodes(edges: DataFrame, nodes: DataFrame, pairs: DataFrame, **options) -> DataFrame:
     """(pair, node) that the search of cheapest_routes reaches: what it costs."""
-    return _search(edges, nodes, pairs, **{"bucket": None, "dearer": None, "rate": 1.0, "bound": None, "most_rounds": 100_000, **options})[1].select("pair", "node")
+    return _search(edges, nodes, pairs, **{"bucket": None, "dearer": None, "rate": 1.0, "bound": None, "most_rounds": 100_000, "closed": None, **options})[1].select("pair", "node")
 
 
-def _search(edges, nodes, pairs, bucket, dearer, rate, bound, most_rounds):
+def _search(edges, nodes, pairs, bucket, dearer, rate, bound, most_rounds, closed):
     spark = edges.sparkSession
     place = lambda name, x, y: nodes.select(F.col("node").cast("long").alias(name), F.col("x").alias(x), F.col("y").alias(y))
     with passing(spark):
         ids = [F.col(c).cast("long").alias(c) for c in ("u", "v")]
         slices = [F.col("slice_id")] if dearer is not None else []
+        windows = "window" in pairs.columns
+        slices += [F.col("mask")] if windows else []
         usable = edges.where("cost is not null").select(F.col("edge_id").cast("long").alias("edge"), *ids, F.col("cost").cast("double").alias("_step"), *slices)
         usable = usable.join(place("u", "_ux", "_uy"), "u").join(place("v", "_vx", "_vy"), "v")
         straight = F.hypot(F.col("_vx") - F.col("_ux"), F.col("_vy") - F.col("_uy")) * rate
@@ -53,11 +57,11 @@ def _search(edges, nodes, pairs, bucket, dearer, rate, bound, most_rounds):
         if bucket is None:
             bucket = 8 * (usable.agg(F.avg("_step")).first()[0] or 1.0)
         left = lambda x, y: F.hypot(F.col("_gx") - x, F.col("_gy") - y) * rate
-        start = pairs.select("pair", F.col("start").cast("long").alias("node"), F.col("goal").cast("long").alias("goal")).distinct()
+        start = pairs.select("pair", F.col("start").cast("long").alias("node"), F.col("goal").cast("long").alias("goal"), (F.col("window") if windows else F.lit(-1)).cast("int").alias("_win")).distinct()
         start = start.join(place("goal", "_gx", "_gy"), "goal").join(place("node", "_x", "_y"), "node")
         none = F.lit(None).cast("long")
-        columns = ["pair", "node", "goal", "_gx", "_gy", "cost", "edge", "before", "est", "open"]
-        known = written(start.select("pair", "node", "goal", "_gx", "_gy", F.lit(0.0).alias("cost"), none.alias("edge"), none.alias("before"), left(F.col("_x"), F.col("_y")).alias("est"), (F.col("node") != F.col("goal")).alias("open")), "known")
+        columns = ["pair", "node", "goal", "_win", "_gx", "_gy", "cost", "edge", "before", "est", "open"]
+        known = written(start.select("pair", "node", "goal", "_win", "_gx", "_gy", F.lit(0.0).alias("cost"), none.alias("edge"), none.alias("before"), left(F.col("_x"), F.col("_y")).alias("est"), (F.col("node") != F.col("goal")).alias("open")), "known")
         for _ in range(most_rounds):
             best = F.min(F.when(F.col("node") == F.col("goal"), F.col("cost")))
             if bound is not None:
@@ -68,8 +72,12 @@ def _search(edges, nodes, pairs, bucket, dearer, rate, bound, most_rounds):
                 break
             marks = F.broadcast(marks) if going <= FEW else marks
             now = F.col("open") & (F.col("est") <= F.col("_low") + bucket) & (F.col("_best").isNull() | (F.col("est") <= F.col("_best")))
-            grown = known.where("open").join(marks, "pair").where(now).select("pair", F.col("node").alias("_u"), "goal", "_gx", "_gy", F.col("cost").alias("_cost"), "_best")
+            grown = known.where("open").join(marks, "pair").where(now).select("pair", F.col("node").alias("_u"), "goal", "_win", "_gx", "_gy", F.col("cost").alias("_cost"), "_best")
             grown = grown.join(usable, F.col("_u") == F.col("u"))
+            if windows:
+                grown = grown.where(F.col("mask").cast("int").bitwiseAND(F.col("_win")) != 0)
+            if closed is not None:
+                grown = grown.join(closed.select("pair", F.col("edge_id").alias("edge")), ["pair", "edge"], "left_anti")
             step = F.col("_step")
             if dearer is not None:
                 grown = grown.join(dearer.select("pair", "slice_id", F.coalesce("factor", F.lit(float("inf"))).alias("_factor")), ["pair", "slice_id"], "left")
@@ -77,16 +85,16 @@ def _search(edges, nodes, pairs, bucket, dearer, rate, bound, most_rounds):
                 step = step * F.coalesce("_factor", F.lit(1.0))
             grown = grown.withColumn("cost", F.col("_cost") + step).withColumn("est", F.col("cost") + left(F.col("_vx"), F.col("_vy")))
             grown = grown.where("_best is null or est <= _best + 1e-9")
-            new = grown.select("pair", F.col("v").alias("node"), "goal", "_gx", "_gy", "cost", "edge", F.col("_u").alias("before"), "est", (F.col("v") != F.col("goal")).alias("open"), F.lit(True).alias("_new"))
+            new = grown.select("pair", F.col("v").alias("node"), "goal", "_win", "_gx", "_gy", "cost", "edge", F.col("_u").alias("before"), "est", (F.col("v") != F.col("goal")).alias("open"), F.lit(True).alias("_new"))
             kept = known.join(marks, "pair", "left").withColumn("open", F.col("open") & ~F.coalesce(now, F.lit(False)) & F.col("_low").isNotNull())
             both = kept.select(*columns, F.lit(False).alias("_new")).unionByName(new)
             old = ~F.col("_new")
             merged = both.groupBy("pair", "node").agg(
-                F.min(F.struct("cost", "edge", "before", "est", "goal", "_gx", "_gy")).alias("b"), F.min(F.when(old, F.col("cost"))).alias("_was"),
+                F.min(F.struct("cost", "edge", "before", "est", "goal", "_win", "_gx", "_gy")).alias("b"), F.min(F.when(old, F.col("cost"))).alias("_was"),
                 F.max(F.when(old, F.col("open"))).alias("_old_open"), F.max(F.when(~old, F.col("open"))).alias("_new_open"),
             )
             opened = F.when(F.col("_was").isNull() | (F.col("b.cost") < F.col("_was")), F.col("_new_open")).otherwise(F.col("_old_open"))
-            known = written(merged.select("pair", "node", "b.goal", "b._gx", "b._gy", "b.cost", "b.edge", "b.before", "b.est", opened.alias("open")), "known")
+            known = written(merged.select("pair", "node", "b.goal", "b._win", "b._gx", "b._gy", "b.cost", "b.edge", "b.before", "b.est", opened.alias("open")), "known")
         else:
             raise RuntimeError(f"the search has not ended in {most_rounds} rounds")
         goals = known.where("node = goal").select(F.col("pair").alias("source"), "node")

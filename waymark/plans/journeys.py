@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import circuits, search
-from .base import Tables, query
+from ..operators import chains, circuits, search
+from .base import Tables, query, r6
 
 ACROSS = 40
 
@@ -55,3 +55,19 @@ def area_circuits(t: Tables) -> DataFrame:
     drawn = ahead.where("not rev").join(place("u"), "u").join(place("v"), "v").select("slice_id", F.array("_u", "_v").alias("line"))
     found = circuits.circuit_variants(pairs, ahead, nodes, drawn)
     return found.select(F.col("pair").alias("area"), "variant", F.array_join("edges", ",").alias("edges"), "out_and_back")
+
+
+@query(None)
+def linked_loops(t: Tables) -> DataFrame:
+    """Open rides and circuits of stretches along the lattice's rows (searches and choices: tested one by one)."""
+    edges, nodes = lattice(t)
+    fun = F.when((F.col("edge_id") * 7) % 10 < 8, 0.75).otherwise(0.4)
+    edges = edges.withColumn("rev", F.col("u") > F.col("v")).withColumns({"fun": fun, "excluded": F.lit(False), "mask": F.lit(255), "length_m": F.col("length_m") * 10, "cost": F.col("cost") * 10})
+    nodes = nodes.withColumns({"x": F.col("x") * 10, "y": F.col("y") * 10})
+    place = lambda name: nodes.select(F.col("node").alias(name), F.struct("x", "y").alias(f"_{name}"))
+    drawn = edges.where("not rev").join(place("u"), "u").join(place("v"), "v").select("slice_id", F.array("_u", "_v").alias("line"))
+    right = edges.where(f"v = u + 1 and u % {ACROSS} % 8 in (1, 2) and u div {ACROSS} % 6 < 4")
+    stretches = right.groupBy(F.expr(f"u div {ACROSS * 6}").alias("area"), F.expr(f"(u div {ACROSS}) * 8 + u % {ACROSS} div 8").alias("stretch")).agg(F.array_sort(F.collect_list("edge_id")).alias("edges")).where("size(edges) = 2")
+    back = edges.select(F.col("edge_id"), F.when(F.col("rev"), F.col("edge_id") - 1).otherwise(F.col("edge_id") + 1).alias("opposite_id"))
+    found = chains.linked_rides(chains.Network(edges, nodes, drawn), stretches, back)
+    return found.select("area", "type", F.array_join("anchors", ",").alias("anchors"), F.array_join("edges", ",").alias("edges"), r6("length_m").alias("length_m"), r6("fun_m").alias("fun_m"))
