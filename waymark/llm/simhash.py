@@ -28,6 +28,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -307,17 +308,23 @@ def similar(a: set, b: set) -> bool:
     return 5 * both >= 4 * (len(a) + len(b) - both)
 
 
+@F.pandas_udf("binary")
+def packed(texts: pd.Series) -> pd.Series:
+    """Texts by zstandard: each pair of nodes moves both of its texts."""
+    return texts.map(zstandard.ZstdCompressor(level=3, write_content_size=True).compress)
+
+
 def alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes that are similar on their whole sets of shingles. texts: same, body."""
+    """The pairs (a, b) of nodes that are similar on their whole sets of shingles. texts: same, body (packed)."""
     compared = pairs.join(texts.select(F.col("same").alias("a"), F.col("body").alias("body_a")), "a").join(texts.select(F.col("same").alias("b"), F.col("body").alias("body_b")), "b")
 
     @F.pandas_udf("boolean")
     def check(x: pd.Series, y: pd.Series) -> pd.Series:
-        out, last, of = [], None, set()
+        out, last, of, text = [], None, set(), zstandard.ZstdDecompressor().decompress
         for a, b in zip(x, y, strict=True):
             if b != last:  # rows come in the order of b
-                last, of = b, shingle_set(b)
-            out.append(similar(shingle_set(a), of))
+                last, of = b, shingle_set(text(b))
+            out.append(similar(shingle_set(text(a)), of))
         return pd.Series(out, dtype=bool)
 
     return compared.where(check("body_a", "body_b")).select("a", "b")
@@ -441,7 +448,7 @@ def _near_duplicate_groups(docs: DataFrame, key: str, text: str) -> DataFrame:
     def checked(pairs: DataFrame) -> DataFrame:
         used = pairs.select(F.col("a").alias("same")).union(pairs.select(F.col("b").alias("same"))).distinct()
         used = written(nodes.join(used, "same", "left_semi").select("same", F.col("least").alias(key)), "used")
-        bodies = docs.join(small_side(used), key).select("same", F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body"))
+        bodies = docs.join(small_side(used), key).select("same", packed(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("body"))
         return alike(pairs, written(bodies, "bodies"))
 
     shared = buckets(rows)
