@@ -47,11 +47,11 @@ class Memo(dict):
 class Splitter:
     """parts(text) gives for each part of the text what `combine` makes of its units."""
 
-    def __init__(self, pattern: str, combine: Callable[[list[str]], object]):
+    def __init__(self, pattern: str, combine: Callable[[list[str]], object], words: int = 150_000):
         self.pattern = regex.compile(pattern)
         self.combine = combine
         self.first = Memo(self._part)
-        self.spaced = Memo(lambda word: self._part(" " + word), 150_000)
+        self.spaced = Memo(lambda word: self._part(" " + word), words)
 
     def forget(self) -> None:
         self.first.forget()

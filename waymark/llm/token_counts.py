@@ -27,6 +27,10 @@ from .common import map_texts
 from .pretokens import Splitter
 
 
+#: Words whose table is remembered, and as many older ones: some 300 bytes for each.
+WORDS = 300_000
+
+
 class PrefixCounts(MergeRanks):
     """last[i] and count[i]: the last token and the number of tokens of a unit's first i bytes."""
 
@@ -57,7 +61,7 @@ class TextCounts:
         model = json.load(open(path, encoding="utf-8"))
         self.special = [t["content"] for t in model["added_tokens"]]
         self.dp = PrefixCounts(byte_ranks(model["model"]))
-        self.splitter = Splitter(pattern, self._part)
+        self.splitter = Splitter(pattern, self._part, WORDS)
 
     def _part(self, units: list[str]) -> Part:
         at, tokens = array("i"), 0
