@@ -257,10 +257,15 @@ def mask_labels(mask: Column, labels: tuple[str, ...]) -> Column:
     return F.array_sort(F.array_compact(F.array(*[F.when(mask.bitwiseAND(1 << i) > 0, F.lit(x)) for i, x in enumerate(labels)])))
 
 
+#: The register's surface codes of paved and of unpaved roads; all others say nothing certain.
+REGISTER_PAVED = ("10", "12", "13", "14", "15", "16", "21", "22", "24", "27")
+REGISTER_UNPAVED = ("31", "32", "41", "61")
+
+
 def register_surface(code: Column) -> Column:
-    """Paved, unpaved or unknown by the first digit group of a register's surface code."""
-    number = F.regexp_extract(code, r"^\s*([0-9]+)", 1)
-    return F.when(number.isin("10", "20", "30", "40"), "paved").when(number.isin("50", "60", "70", "80"), "unpaved").otherwise("unknown")
+    """paved, unpaved or unknown by the register's surface code."""
+    text = F.trim(code.cast("string"))
+    return F.when(text.isin(*REGISTER_PAVED), "paved").when(text.isin(*REGISTER_UNPAVED), "unpaved").otherwise("unknown")
 
 
 def collapse_repeats(values: Column) -> Column:
