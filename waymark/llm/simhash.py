@@ -308,10 +308,14 @@ def similar(a: set, b: set) -> bool:
     return 5 * both >= 4 * (len(a) + len(b) - both)
 
 
-@F.pandas_udf("binary")
-def packed(texts: pd.Series) -> pd.Series:
-    """Texts by zstandard: each pair of nodes moves both of its texts."""
-    return texts.map(zstandard.ZstdCompressor(level=3, write_content_size=True).compress)
+def packed(text: Column) -> Column:
+    """Bytes by zstandard: each pair of nodes moves both of its texts."""
+
+    @F.pandas_udf("binary")
+    def pack(texts: pd.Series) -> pd.Series:
+        return texts.map(zstandard.ZstdCompressor(level=3, write_content_size=True).compress)
+
+    return pack(text)
 
 
 def alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
