@@ -110,24 +110,26 @@ def _unrolled(known: DataFrame, wanted: DataFrame | None) -> DataFrame:
     return open_.select("source", "node", "cost", "path")
 
 
+#: Paths of one slice that a task joins with all paths of the slice.
+SHARD = 4096
+
+
 def shared_share(paths: DataFrame, slices: DataFrame, least: float) -> DataFrame:
     """(a, b, share) of pairs of paths (path, slice_id, one row for each use) where b has `least` of a's length or more.
 
-    share is the length of common slices over a's length with repeats; slices: slice_id, length_m. With the rarest
-    slices first, a path's slices are left out from where the rest is too short for a share of `least`: pairs meet on
-    the others only, and frequent slices mostly fall away. Candidates are then measured on all slices.
+    share is the length of common slices over a's length with repeats; slices: slice_id, length_m. Paths meet on their
+    slices once, and the common length is summed on the way (by task first). A slice that many paths use is dealt to
+    several tasks by a's hash.
     """
     uses = written(paths.groupBy("path", "slice_id").agg(F.count(F.lit(1)).alias("n")).join(slices, "slice_id"), "uses")
-    often = uses.groupBy("slice_id").agg(F.count(F.lit(1)).alias("_often"))
     total = uses.groupBy("path").agg(F.greatest(F.sum(F.col("n") * F.col("length_m")), F.lit(1.0)).alias("_total"))
-    rest = Window.partitionBy("path").orderBy(F.desc("_often"), F.desc("slice_id")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = uses.join(often, "slice_id").join(total, "path").withColumn("_rest", F.sum("length_m").over(rest))
-    head = ranked.where(F.col("_rest") >= least * F.col("_total") - 1e-9).select(F.col("path").alias("a"), "slice_id")
-    other = uses.select(F.col("path").alias("b"), "slice_id", F.col("length_m").alias("_m"))
-    pairs = written(head.join(other, "slice_id").where("a <> b").select("a", "b").distinct(), "pairs")
-    measured = pairs.join(uses.select(F.col("path").alias("a"), "slice_id"), "a").join(other, ["b", "slice_id"]).groupBy("a", "b").agg(F.sum("_m").alias("_common"))
+    often = uses.groupBy("slice_id").agg(F.count(F.lit(1)).alias("_often")).where("_often > 1").select("slice_id", F.ceil(F.col("_often") / SHARD).cast("int").alias("_parts"))
+    dealt = uses.select("path", "slice_id", "length_m").join(often, "slice_id")
+    left = dealt.select(F.col("path").alias("a"), "slice_id", F.pmod(F.xxhash64("path"), F.col("_parts")).cast("int").alias("_part"))
+    right = dealt.select(F.col("path").alias("b"), "slice_id", "length_m", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
+    common = left.join(right, ["slice_id", "_part"]).where("a <> b").groupBy("a", "b").agg(F.sum("length_m").alias("_common"))
     share = F.col("_common") / F.col("_total")
-    return measured.join(total.withColumnRenamed("path", "a"), "a").select("a", "b", share.alias("share")).where(F.col("share") >= least - 1e-9)
+    return common.join(total.withColumnRenamed("path", "a"), "a").select("a", "b", share.alias("share")).where(F.col("share") >= least - 1e-9)
 
 
 def greedy_keep(items: DataFrame, conflicts: DataFrame, group: str, cap: int) -> DataFrame:
