@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import io
-import struct
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import geopackage
+
 
 def manifest(spark: SparkSession, paths: list[str]) -> DataFrame:
     """file, size and SHA-256 of every input file."""
@@ -63,45 +64,22 @@ def register_pages(spark: SparkSession, path: str, hits: int | None = None) -> D
     return by.drop("_kinds")
 
 
-LINE = "array<struct<x:double,y:double>>"
-
-
 def wkb_line(blob: str) -> Column:
     """Vertices of a line in WKB, or in a GeoPackage blob around it."""
-
-    def points(raw: bytes | None) -> list | None:
-        if raw is None:
-            return None
-        at = 0
-        if raw[:2] == b"GP":
-            at = 8 + (0, 32, 48, 48, 64)[raw[3] >> 1 & 7]
-        order = "<" if raw[at] == 1 else ">"
-        kind, n = struct.unpack_from(f"{order}II", raw, at + 1)
-        if kind != 2:
-            return None
-        xy = np.frombuffer(raw, f"{order}f8", 2 * n, at + 9).reshape(-1, 2)
-        return [{"x": float(x), "y": float(y)} for x, y in xy]
-
-    @F.pandas_udf(LINE)
-    def lines(blobs: pd.Series) -> pd.Series:
-        return blobs.map(points)
-
-    return lines(blob)
+    return geopackage.line(F.col(blob))
 
 
 def npy_tiles(spark: SparkSession, path: str, tile: Column) -> DataFrame:
     """Cells (tile, row, col, z) of raster tiles kept as NPY files, row 0 in the north."""
     files = spark.read.format("binaryFile").load(path)
 
-    @F.pandas_udf("array<struct<row:long,col:long,z:float>>")
-    def cells(content: pd.Series) -> pd.Series:
-        def read(raw: bytes) -> list:
-            grid = np.load(io.BytesIO(raw), allow_pickle=False)
-            return [{"row": r, "col": c, "z": None if np.isnan(z) else float(z)} for (r, c), z in np.ndenumerate(grid)]
-
-        return content.map(read)
+    @F.pandas_udf("struct<width:long,z:array<float>>")
+    def cells(content: pd.Series) -> pd.DataFrame:
+        grids = [np.load(io.BytesIO(raw), allow_pickle=False) for raw in content]
+        return pd.DataFrame({"width": [g.shape[1] for g in grids], "z": [g.astype(np.float32).ravel() for g in grids]})
 
-    return files.select(tile.alias("tile"), F.explode(cells("content")).alias("c")).select("tile", "c.*")
+    flat = files.select(tile.alias("tile"), cells("content").alias("_g")).select("tile", "_g.width", F.posexplode("_g.z").alias("_at", "z"))
+    return flat.select("tile", F.expr("_at div width").alias("row"), (F.col("_at") % F.col("width")).alias("col"), F.nanvl("z", F.lit(None).cast("float")).alias("z"))
 
 
 def split_ways(ways: DataFrame) -> DataFrame:
