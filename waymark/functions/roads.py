@@ -106,7 +106,8 @@ def time_window_limit(limit: Column, begin: Column, end: Column, otherwise: Colu
 
 def reliability(value: Column) -> Column:
     """Text such as 50% as a share; .75 where it says nothing."""
-    return F.coalesce(clip01(F.rtrim(F.trim(value), F.lit("%")).try_cast("double") / 100), F.lit(0.75))
+    share = F.rtrim(F.trim(value), F.lit("%")).try_cast("double") / 100
+    return F.when(share.isNotNull(), clip01(share)).otherwise(0.75)  # clip01 takes no null
 
 
 def direction_code(value: Column) -> Column:
