@@ -234,7 +234,7 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
 def chord_deviation_km(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
     """Distance of a point from a chord in a local metric (lon, lat; 111.195 km to a degree)."""
     k = 111.195
-    scale = F.cos(F.radians(ay)) * k
+    scale = F.cos(F.radians((ay + by) / 2)) * k
     dx, dy = (bx - ax) * scale, (by - ay) * k
     qx, qy = (px - ax) * scale, (py - ay) * k
     length2 = dx * dx + dy * dy

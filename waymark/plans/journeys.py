@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import chains, circuits, search
+from ..operators import chains, circuits, search, waypoints
 from .base import Tables, query, r6
 
 ACROSS = 40
@@ -71,3 +71,11 @@ def linked_loops(t: Tables) -> DataFrame:
     back = edges.select(F.col("edge_id"), F.when(F.col("rev"), F.col("edge_id") - 1).otherwise(F.col("edge_id") + 1).alias("opposite_id"))
     found = chains.linked_rides(chains.Network(edges, nodes, drawn), stretches, back)
     return found.select("area", "type", F.array_join("anchors", ",").alias("anchors"), F.array_join("edges", ",").alias("edges"), r6("length_m").alias("length_m"), r6("fun_m").alias("fun_m"))
+
+
+@query(None)
+def navigation_stops(t: Tables) -> DataFrame:
+    """Stops and links of routes of twenty customers each (refinement in rounds: tested one by one)."""
+    places = t.customer.select(F.expr("c_custkey div 20").alias("route"), (F.col("c_custkey") % 20).alias("seq"), (5 + F.col("c_custkey") % 20 * 0.01 + F.col("c_acctbal") / 2e6).alias("lon"), (52 + F.col("c_custkey") * 7 % 31 * 0.001).alias("lat"))
+    found = waypoints.navigation(places, loop=False)
+    return found.select("route", F.size("stops").alias("n_stops"), "href", "limited", r6("max_gap_km").alias("max_gap_km"), r6("max_deviation_km").alias("max_deviation_km"))

@@ -90,7 +90,7 @@ SELECT o_custkey AS ride, array_to_string(list_filter(names, lambda n, i: i = 1
   substr(sha256(unhex(array_to_string(list_transform(ids, lambda x: array_to_string(list_transform(range(8), lambda b: printf('%02x', (x >> (8 * b)) & 255)), '')), ''))), 1, 16) AS ident,
   coalesce(({_sql(URLS).replace('c_custkey', 'o_custkey')}) IN ('https://www.google.com/maps/dir/?api=1', 'https://maps.google.com/maps'), false) AS allowed,
   round(sqrt(pow(qx - t * dx, 2) + pow(qy - t * dy, 2)), 6) AS off_km
-FROM (SELECT *, CASE WHEN dx * dx + dy * dy > 0 THEN greatest(0, least(1, (qx * dx + qy * dy) / (dx * dx + dy * dy))) ELSE 0 END AS t FROM (SELECT *, (0.1 + o_custkey % 5 * 0.02) * k AS dx, 0.05 * 111.195 AS dy, o_custkey % 7 * 0.01 * k AS qx, o_custkey % 3 * 0.04 * 111.195 AS qy FROM (SELECT *, cos(radians(52)) * 111.195 AS k FROM named)))""")
+FROM (SELECT *, CASE WHEN dx * dx + dy * dy > 0 THEN greatest(0, least(1, (qx * dx + qy * dy) / (dx * dx + dy * dy))) ELSE 0 END AS t FROM (SELECT *, (0.1 + o_custkey % 5 * 0.02) * k AS dx, 0.05 * 111.195 AS dy, o_custkey % 7 * 0.01 * k AS qx, o_custkey % 3 * 0.04 * 111.195 AS qy FROM (SELECT *, cos(radians((52::DOUBLE + 52.05) / 2)) * 111.195 AS k FROM named)))""")
 def ride_labels(t: Tables) -> DataFrame:
     """Names and content ids of rides, allowed links, and how far a place is from a chord."""
     rides = t.orders.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct(F.col("o_orderkey").cast("long").alias("id"), "o_orderpriority"))).alias("o"))
