@@ -82,3 +82,16 @@ def test_register_surface_codes(spark):
     codes = [("10", "paved"), ("16", "paved"), ("27", "paved"), ("31", "unpaved"), ("61", "unpaved"), ("99", "unknown"), ("23", "unknown"), ("29", "unknown"), ("", "unknown"), (None, "unknown"), ("20", "unknown")]
     df = spark.createDataFrame(codes, "code string, want string")
     assert all(r["got"] == r["want"] for r in df.select("want", roads.register_surface(F.col("code")).alias("got")).collect())
+
+
+def test_scenic_rings_and_centres(spark):
+    from waymark.functions import places
+
+    ring = [(0.0, 0.0), (80.0, 0.0), (80.0, 10.0), (0.0, 0.0)]
+    small = [(x / 2, y) for x, y in ring]
+    rows = [(1, {"natural": "wood"}, [1, 2, 3, 1], ring), (2, {"natural": "wood"}, [1, 2, 3, 4], ring), (3, {"leisure": "park"}, [1, 2, 3, 1], small), (4, {"amenity": "cafe"}, [1, 2, 3, 1], ring), (5, {"waterway": "canal"}, [1, 2, 1], ring[:3]), (6, {"landuse": "meadow"}, [1, 2, 3, 1], [(x + 500, y) for x, y in ring])]
+    ways = spark.createDataFrame(rows, "way long, tags map<string,string>, refs array<long>, xy array<struct<x:double,y:double>>")
+    assert {r["way"]: r["kind"] for r in places.scenic_rings(ways).collect()} == {1: 1, 6: 5}
+    assert {r["way"] for r in places.scenic_rings(ways, (400.0, -5.0, 700.0, 5.0)).collect()} == {6}
+    got = {r["way"]: (r["p"]["kind"], r["c"] and (r["c"]["x"], r["c"]["y"])) for r in ways.select("way", places.area_point(F.col("tags")).alias("p"), places.centre(F.col("xy")).alias("c")).collect()}
+    assert got[4] == (places.COFFEE, (40.0, 2.5)) and got[1][0] is None

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import browse, roads
+from ..functions import browse, places, roads
 from ..operators import routes
 from .base import Tables, query, r6
 from .matching import NET, _vertices
@@ -122,3 +122,39 @@ SELECT route, other, round(count(*) / any_value(n), 6) AS share FROM hit JOIN (S
 def roads_side_by_side(t: Tables) -> DataFrame:
     """How much of each road lies within 25 m of each other road."""
     return routes.near_share(routes.trace(_lines(t))).select("route", "other", r6("share").alias("share"))
+
+
+#: Tags of nodes and areas in turn, as TAGS.
+PLACE_TAGS = {
+    "highway": (None, "stop", None, "hump", "speed_camera", None, None, "bus_stop"),
+    "traffic_calming": (None,) * 9 + ("no", "table"),
+    "enforcement": (None,) * 12 + ("maxspeed",),
+    "railway": (None, None, "level_crossing", None, "rail"),
+    "amenity": (None, "cafe", "fuel", None, "pub", "bank", None),
+    "tourism": (None, "viewpoint", None, "hotel", "museum", None),
+    "natural": (None, None, "peak", "wood", None, "water", "sand", None, None),
+    "place": ("village", None, "town", "farm"),
+    "name": ("Dam", None, "", "Berg", "Veen"),
+    "landuse": (None, "forest", None, "meadow", "farmland"),
+    "leisure": (None, None, "park", None, "pitch", None, None),
+    "water": (None, None, None, "lake", "pond"),
+    "waterway": (None, "canal", "ditch"),
+}
+
+
+def _scenic() -> str:
+    parts = [f"CASE {key} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in values.items()) + " END" for key, values in places.SCENERY.items()]
+    return "coalesce(" + ", ".join(p.replace("CASE water", "CASE coalesce(nullif(water, ''), waterway)") for p in parts) + ")"
+
+
+@query(f"""WITH t AS (SELECT c_custkey AS id, {', '.join(f'{_sql(v)} AS "{k}"' for k, v in PLACE_TAGS.items())} FROM customer),
+k AS (SELECT *, nullif(name, '') AS nm, CASE WHEN highway IN {_listed(places.CALMING)} OR coalesce(traffic_calming, 'no') <> 'no' THEN 1 WHEN highway IN {_listed(places.CONTROLS)} THEN 2 WHEN highway = 'speed_camera' OR enforcement = 'maxspeed' THEN 8 WHEN railway = 'level_crossing' THEN 3
+  WHEN amenity IN {_listed(places.COFFEE_STOPS)} THEN 4 WHEN amenity = 'fuel' THEN 5 WHEN tourism IN {_listed(places.VIEWS)} OR "natural" = 'peak' THEN 6 WHEN place IN {_listed(places.SETTLEMENTS)} AND nullif(name, '') IS NOT NULL THEN 7 END AS kind, {_scenic().replace('CASE natural', 'CASE "natural"')} AS scenic FROM t)
+SELECT id, kind, CASE kind WHEN 4 THEN coalesce(nm, amenity) WHEN 6 THEN coalesce(nm, tourism) ELSE nm END AS name, scenic, CASE WHEN scenic IS NULL THEN CASE WHEN amenity IN {_listed(places.COFFEE_STOPS)} THEN 4 WHEN tourism IN {_listed(places.VIEWS)} THEN 6 END END AS stop, coalesce(nm, amenity, tourism) AS stop_name FROM k""")
+def tagged_places(t: Tables) -> DataFrame:
+    """What nodes and areas with a customer's tags stand for."""
+    pairs = [F.when(_turn(v).isNotNull(), F.struct(F.lit(k).alias("key"), _turn(v).alias("value"))) for k, v in PLACE_TAGS.items()]
+    rows = t.customer.select(F.col("c_custkey").alias("id"), F.map_from_entries(F.array_compact(F.array(*pairs))).alias("tags"))
+    tags = F.col("tags")
+    point, stop = places.point_kind(tags), places.area_point(tags)
+    return rows.select("id", point["kind"].alias("kind"), point["name"].alias("name"), places.scenic_kind(tags).alias("scenic"), stop["kind"].alias("stop"), stop["name"].alias("stop_name"))
