@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from ..operators import profiles
 from .base import Tables, query
 
-STEPS = """step AS MATERIALIZED (SELECT o_custkey AS route, row_number() OVER (PARTITION BY o_custkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 AS pos, l_quantity * 26.371::DOUBLE AS length_m, l_discount * 10 AS fun, 30 + 10 * ((l_linenumber + l_partkey) % 11) AS legal_speed, l_tax * 3977.7::DOUBLE + l_partkey % 13 * 1.37::DOUBLE AS head_per_km, l_partkey AS part, l_linenumber AS line FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+STEPS = """step AS MATERIALIZED (SELECT o_custkey AS route, row_number() OVER (PARTITION BY o_custkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS pos, l_quantity * 26.371::DOUBLE AS length_m, l_discount * 10 AS fun, 30 + 10 * ((l_linenumber + l_partkey) % 11) AS legal_speed, l_tax * 3977.7::DOUBLE + l_partkey % 13 * 1.37::DOUBLE AS head_per_km, l_partkey AS part, l_linenumber AS line FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
 ends AS MATERIALIZED (SELECT *, sum(length_m) OVER (PARTITION BY route ORDER BY pos) AS e, sum(length_m) OVER (PARTITION BY route ORDER BY pos) - length_m AS s, max(pos) OVER (PARTITION BY route) AS last FROM step)"""
 
 
 def steps(t: Tables) -> DataFrame:
-    order = Window.partitionBy("o_custkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    order = Window.partitionBy("o_custkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
     rows = t.lineitem.join(t.orders, F.col("o_orderkey") == F.col("l_orderkey"))
     return rows.select(
         F.col("o_custkey").alias("route"), (F.row_number().over(order) - 1).alias("pos"), (F.col("l_quantity") * 26.371).alias("length_m"), (F.col("l_discount") * 10).alias("fun"),
