@@ -319,7 +319,12 @@ def packed(text: Column) -> Column:
 
 
 def alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes that are similar on their whole sets of shingles. texts: same, body (packed)."""
+    """The pairs (a, b) of nodes that are similar on their whole sets of shingles. texts: same, body."""
+    return alike_packed(pairs, texts.select("same", packed(F.col("body")).alias("body")))
+
+
+def alike_packed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """alike for bodies that are packed already."""
     compared = pairs.join(texts.select(F.col("same").alias("a"), F.col("body").alias("body_a")), "a").join(texts.select(F.col("same").alias("b"), F.col("body").alias("body_b")), "b")
 
     @F.pandas_udf("boolean")
@@ -453,7 +458,7 @@ def _near_duplicate_groups(docs: DataFrame, key: str, text: str) -> DataFrame:
         used = pairs.select(F.col("a").alias("same")).union(pairs.select(F.col("b").alias("same"))).distinct()
         used = written(nodes.join(used, "same", "left_semi").select("same", F.col("least").alias(key)), "used")
         bodies = docs.join(small_side(used), key).select("same", packed(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("body"))
-        return alike(pairs, written(bodies, "bodies"))
+        return alike_packed(pairs, written(bodies, "bodies"))
 
     shared = buckets(rows)
     hubs = shared.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b"))
