@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .spatial import segment_distance
+from .spatial import large, segment_distance
 
 #: Where an edge is sampled, the weights of names that differ, are unknown, agree, and their confidence.
 SAMPLES = (0.25, 0.5, 0.75)
@@ -103,7 +103,7 @@ def near_lines(points: DataFrame, point: list[str], lines: DataFrame, line: str,
     asked = points.select(*point, "x", "y").withColumn("_at", F.struct(F.floor(F.col("x") / side).alias("cx"), F.floor(F.col("y") / side).alias("cy")))
     px, py, ax, ay, bx, by = (F.col(c) for c in ("x", "y", "ax", "ay", "bx", "by"))
     distance = segment_distance(px, py, ax, ay, bx, by)
-    met = asked.join(cells, (F.col("_at") == F.col("_cell")) & (distance <= radius))
+    met = asked.join(large(cells), (F.col("_at") == F.col("_cell")) & (distance <= radius))
     long2 = (bx - ax) * (bx - ax) + (by - ay) * (by - ay)
     t = F.when(long2 > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((px - ax) * (bx - ax) + (py - ay) * (by - ay)) / long2))).otherwise(0.0)
     at = F.col("m0") + t * (F.col("m1") - F.col("m0"))
@@ -127,7 +127,7 @@ def match_speeds(edges: DataFrame, lines: DataFrame, official: DataFrame, offici
     by their name; the speed with most votes wins, then the nearest, the lowest wvk, the lowest row_id. Its nearest
     record stands for it. Speeds of 0 and null names are unknown. Only samples and pieces near them are shuffled.
     """
-    both = edges.join(lines, "slice_id")
+    both = edges.join(large(lines), "slice_id")
     fractions = F.array(*[F.struct(F.lit(i).alias("sample"), F.lit(f).alias("f")) for i, f in enumerate(SAMPLES)])
     asked = both.select("edge_id", "reversed", "name", "pieces", "length", F.explode(fractions).alias("_s"))
     s = F.when(F.col("reversed"), 1 - F.col("_s.f")).otherwise(F.col("_s.f")) * F.col("length")
@@ -135,8 +135,8 @@ def match_speeds(edges: DataFrame, lines: DataFrame, official: DataFrame, offici
     asked = asked.select("edge_id", "name", "sample", "_p.x", "_p.y", (F.col("_t.x") * F.col("_sign")).alias("_hx"), (F.col("_t.y") * F.col("_sign")).alias("_hy"))
     key = ["edge_id", "name", "sample", "_hx", "_hy"]
     records = official.where("speed > 0").withColumnRenamed("name", "_named")
-    near = near_lines(asked, key, official_lines.join(records.select("row_id"), "row_id", "left_semi"), "row_id", radius)
-    met = near.join(records.join(official_lines, "row_id"), "row_id").withColumn("_u", tangent(F.col("pieces"), F.col("length"), F.col("at")))
+    near = near_lines(asked, key, official_lines.join(large(records.select("row_id")), "row_id", "left_semi"), "row_id", radius)
+    met = near.join(large(records.join(large(official_lines), "row_id")), "row_id").withColumn("_u", tangent(F.col("pieces"), F.col("length"), F.col("at")))
     met = met.withColumn("_cos", F.col("_hx") * F.col("_u.x") + F.col("_hy") * F.col("_u.y"))
     holds = (F.col("direction") == 0) | ((F.col("direction") > 0) == (F.col("_cos") >= 0))
     met = met.where((F.abs("_cos") >= math.cos(math.radians(heading_tol))) & holds)
@@ -167,11 +167,11 @@ def match_signs(signs: DataFrame, edges: DataFrame, lines: DataFrame, radius: fl
     ones, to that of the lowest edge) and there to the direction of travel nearest to its bearing, the lower edge if
     there is no bearing or no difference. A sign that is more than dir_tol off is dropped. off: degrees, null if unknown.
     """
-    slices = edges_of_slices(edges).join(lines, "slice_id")
+    slices = edges_of_slices(edges).join(large(lines), "slice_id")
     near = near_lines(signs, ["sign_id", "bearing"], lines, "slice_id", radius)
-    first = near.join(slices.select("slice_id", F.col("edges")[0]["edge_id"].alias("_first")), "slice_id")
+    first = near.join(large(slices.select("slice_id", F.col("edges")[0]["edge_id"].alias("_first"))), "slice_id")
     best = first.groupBy("sign_id").agg(F.min(F.struct("distance", "_first", "slice_id", "at", "bearing")).alias("b")).select("sign_id", "b.*")
-    on = best.join(slices, "slice_id").withColumn("_along", bearing(tangent(F.col("pieces"), F.col("length"), F.col("at"))))
+    on = best.join(large(slices), "slice_id").withColumn("_along", bearing(tangent(F.col("pieces"), F.col("length"), F.col("at"))))
     off = lambda e: F.abs(F.pmod(F.col("bearing") - F.col("_along") - F.when(e["reversed"], 180.0).otherwise(0.0) + 180, F.lit(360.0)) - 180)
     choice = F.array_min(F.transform(F.slice("edges", 1, 2), lambda e: F.struct(F.coalesce(off(e), F.lit(0.0)).alias("off"), e["edge_id"].alias("edge_id"))))
     chosen = on.withColumn("_c", choice).where(F.col("bearing").isNull() | (F.col("_c.off") <= dir_tol))

@@ -10,6 +10,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def large(df: DataFrame) -> DataFrame:
+    """df, to be shuffled where it is joined.
+
+    What Spark guesses of rows that come from explode or hold arrays is far under their size, as it is for a narrow part
+    of a file that packs well: it would broadcast what has no bound.
+    """
+    return df.hint("merge")
+
+
 def cell(x: Column, y: Column, side: float) -> Column:
     return F.struct(F.floor(x / side).alias("cx"), F.floor(y / side).alias("cy"))
 
@@ -34,8 +43,8 @@ def within(left: DataFrame, right: DataFrame, radius: float, how: str = "inner",
     if same:
         condition = condition & (F.col(same[0]) == F.col(same[1]))
     if how == "left_semi":
-        return a.join(b, condition, "left_semi").drop("_cell").distinct()
-    return a.join(b, condition).withColumn("distance", distance).drop("_cell", "_cell2")
+        return a.join(large(b), condition, "left_semi").drop("_cell").distinct()
+    return a.join(large(b), condition).withColumn("distance", distance).drop("_cell", "_cell2")
 
 
 def nearest(left: DataFrame, right: DataFrame, radius: float, key: str, tie: str) -> DataFrame:
@@ -87,7 +96,7 @@ def point_to_segments(points: DataFrame, segments: DataFrame, radius: float) ->
     cells = segments.withColumn("_cx", F.explode(F.sequence(lo("ax", "bx"), hi("ax", "bx")))).withColumn("_cy", F.explode(F.sequence(lo("ay", "by"), hi("ay", "by"))))
     asked = points.withColumn("_px", F.floor(F.col("x") / side)).withColumn("_py", F.floor(F.col("y") / side))
     distance = segment_distance(*(F.col(c) for c in ("x", "y", "ax", "ay", "bx", "by")))
-    joined = asked.join(cells, (F.col("_px") == F.col("_cx")) & (F.col("_py") == F.col("_cy")) & (distance <= radius))
+    joined = asked.join(large(cells), (F.col("_px") == F.col("_cx")) & (F.col("_py") == F.col("_cy")) & (distance <= radius))
     return joined.withColumn("distance", distance).drop("_cx", "_cy", "_px", "_py")
 
 
@@ -103,7 +112,7 @@ def inside_rings(points: DataFrame, ring_edges: DataFrame, key: str, ring: str,
     asked = points.withColumn("_at", F.floor(F.col("y") / side))
     spans = (F.col("ay") > F.col("y")) != (F.col("by") > F.col("y"))
     right_of = F.col("x") < (F.col("bx") - F.col("ax")) * (F.col("y") - F.col("ay")) / (F.col("by") - F.col("ay")) + F.col("ax")
-    crossed = asked.join(rows, (F.col("_at") == F.col("_row")) & spans & right_of)
+    crossed = asked.join(large(rows), (F.col("_at") == F.col("_row")) & spans & right_of)
     return crossed.groupBy(key, ring).agg(F.count(F.lit(1)).alias("_n")).where("_n % 2 = 1").drop("_n")
 
 
