@@ -13,6 +13,6 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["official_speeds"])
+@pytest.mark.parametrize("name", ["official_speeds", "register_on_roads"])
 def test_lines_are_not_broadcast(spark, name):
     assert "BroadcastHashJoin" not in plan(QUERIES[name](spark, SMOKE))

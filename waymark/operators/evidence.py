@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .linear import let, near_lines, piece_cells
-from .spatial import inside_rings, segment_distance
+from .spatial import inside_rings, large, segment_distance
 
 INF = float("inf")
 
@@ -73,7 +73,7 @@ def covered_length(lines: DataFrame, line: str, others: DataFrame, other: str, r
     mine = piece(lines, line).withColumn("_cx", F.explode(box(F.col("ax"), F.col("bx")))).withColumn("_cy", F.explode(box(F.col("ay"), F.col("by"))))
     theirs = piece(others, other).select(other, *[F.col(a).alias(b) for a, b in zip(("ax", "ay", "bx", "by"), ("cx", "cy", "dx", "dy"), strict=True)])
     theirs = theirs.withColumn("_c", F.explode(piece_cells(*(F.col(c) for c in ("cx", "cy", "dx", "dy")), radius, side)))
-    met = mine.join(theirs, (F.col("_cx") == F.col("_c.cx")) & (F.col("_cy") == F.col("_c.cy"))).withColumn("_s", span_within(radius)).where("_s.t0 <= _s.t1")
+    met = mine.join(large(theirs), (F.col("_cx") == F.col("_c.cx")) & (F.col("_cy") == F.col("_c.cy"))).withColumn("_s", span_within(radius)).where("_s.t0 <= _s.t1")
     length = F.col("m1") - F.col("m0")
     spans = met.select(line, other, (F.col("m0") + F.col("_s.t0") * length).alias("a"), (F.col("m0") + F.col("_s.t1") * length).alias("b")).distinct()
     before = Window.partitionBy(line, other).orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)
@@ -92,7 +92,7 @@ def register_evidence(lines: DataFrame, register: DataFrame, radius: float = 12.
     """
     near = covered_length(lines.select("line_id", "pieces"), "line_id", register.where("value is not null").select("oid", "pieces"), "oid", radius)
     record = register.select("oid", "road", "value", F.col("pieces").alias("_record"))
-    pairs = near.join(lines, "line_id").where(F.col("covered") >= least_covered * F.col("length")).join(record, "oid")
+    pairs = near.join(large(lines), "line_id").where(F.col("covered") >= least_covered * F.col("length")).join(large(record), "oid")
     pairs = pairs.where((F.size("refs") == 0) | F.array_contains("refs", F.col("road")))
     first, last = F.col("pieces")[0], F.element_at("pieces", -1)
     pairs = pairs.withColumn("_a", locate(F.col("_record"), first["ax"], first["ay"])).withColumn("_b", locate(F.col("_record"), last["bx"], last["by"]))
@@ -141,8 +141,8 @@ def scenery_share(edges: DataFrame, rings: DataFrame, buffer: float = 40.0, leas
     """
     box = F.struct(*[f(F.expr(f"aggregate(pieces, double(pieces[0].{a}), (s, g) -> {g}(s, g.{a}))")).alias(f"{g}_{a}") for f, g, a in ((F.min, "least", "ax"), (F.max, "greatest", "ax"), (F.min, "least", "ay"), (F.max, "greatest", "ay"))])
     boxes = rings.groupBy("area").agg(box.alias("b")).where((F.col("b.greatest_ax") - F.col("b.least_ax")) * (F.col("b.greatest_ay") - F.col("b.least_ay")) >= least_area)
-    large = rings.where(F.size("pieces") >= 3).join(boxes.select("area"), "area", "left_semi")
+    wide = rings.where(F.size("pieces") >= 3).join(large(boxes.select("area")), "area", "left_semi")
     probes = edges.select("edge_id", "vertices", F.explode(F.array(*[F.lit(f) for f in (0.25, 0.5, 0.75)])).alias("_f"))
     probes = probes.withColumn("_v", F.get("vertices", F.floor((F.size("vertices") - 1) * F.col("_f")).cast("int"))).select(F.struct("edge_id", "_f").alias("_probe"), "_v.x", "_v.y")
-    hit = near_areas(probes, "_probe", large, buffer).select("_probe").distinct().groupBy(F.col("_probe.edge_id").alias("edge_id")).agg(F.count(F.lit(1)).alias("_n"))
-    return edges.select("edge_id").join(hit, "edge_id", "left").select("edge_id", (F.coalesce("_n", F.lit(0)) / 3.0).alias("share"))
+    hit = near_areas(probes, "_probe", wide, buffer).select("_probe").distinct().groupBy(F.col("_probe.edge_id").alias("edge_id")).agg(F.count(F.lit(1)).alias("_n"))
+    return edges.select("edge_id").join(large(hit), "edge_id", "left").select("edge_id", (F.coalesce("_n", F.lit(0)) / 3.0).alias("share"))

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import evidence, linear
+from ..operators import evidence, linear, spatial
 from .base import Tables, query, r6
 from .matching import NET, roads
 
@@ -35,7 +35,7 @@ def register(t: Tables) -> DataFrame:
     lines = linear.lines_of(at.select("oid", F.col("step").alias("seq"), x.alias("x"), y.alias("y")), "oid")
     road = (F.col("id") + F.when(F.col("id") % 11 == 0, 1).otherwise(0) + F.when((F.col("k") == 1) & (F.col("id") % 20 == 5), 1).otherwise(0)) % 7
     value = F.when(F.col("id") % 13 != 0, F.array((50 + 10 * (F.col("id") % 4)).cast("int"), (60 + F.when((F.col("k") == 1) & (F.col("id") % 10 == 0), 10).otherwise(0)).cast("int")))
-    return rows.select("oid", road.cast("string").alias("road"), value.alias("value")).join(lines, "oid")
+    return rows.select("oid", road.cast("string").alias("road"), value.alias("value")).join(spatial.large(lines), "oid")
 
 
 @query(_macros(f"""WITH {NET}, {REGISTER},
