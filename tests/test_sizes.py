@@ -16,3 +16,10 @@ def plan(df) -> str:
 @pytest.mark.parametrize("name", ["official_speeds", "register_on_roads"])
 def test_lines_are_not_broadcast(spark, name):
     assert "BroadcastHashJoin" not in plan(QUERIES[name](spark, SMOKE))
+
+
+def test_a_place_between_two_legs_is_traced_once(spark):
+    from waymark.operators.routes import trace
+
+    points = spark.createDataFrame([(0, k, x, 224309.80000000002) for k, x in enumerate((29.84, 59.84, 89.84, 119.84, 149.84))], "route long, seq long, x double, y double")
+    assert sorted(r.t for r in trace(points).collect()) == [10.0, 30.0, 50.0, 70.0, 90.0, 110.0]

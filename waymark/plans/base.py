@@ -34,5 +34,10 @@ def query(sql: str | None = None) -> Callable:
     return register
 
 
+def scaled6(column: str) -> Column:
+    """Six places as DuckDB's round gives them: at a million and more the product's last bit decides, not the decimal digits."""
+    return F.round(F.col(column) * 1e6) / 1e6
+
+
 def r6(column: Column | str) -> Column:
     return F.round(F.col(column) if isinstance(column, str) else column, 6)

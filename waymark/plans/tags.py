@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import browse, places, roads
 from ..operators import routes
-from .base import Tables, query, r6
+from .base import Tables, query, r6, scaled6
 from .matching import NET, _vertices
 
 #: Values of each tag, taken in turn by the key; None: the way has no such tag.
@@ -114,7 +114,7 @@ TRACE = f"""{NET}, tr AS MATERIALIZED (SELECT line AS route, k * 20 + 10.0::DOUB
 @query(f"WITH {TRACE} SELECT route, t, round(x, 6) AS x, round(y, 6) AS y, round(hx, 6) AS hx, round(hy, 6) AS hy FROM tr")
 def traced_routes(t: Tables) -> DataFrame:
     """Places every 20 m along each road, with the heading."""
-    return routes.trace(_lines(t)).select("route", "t", *[r6(c).alias(c) for c in ("x", "y", "hx", "hy")])
+    return routes.trace(_lines(t)).select("route", "t", *[scaled6(c).alias(c) for c in ("x", "y", "hx", "hy")])
 
 
 @query(f"""WITH {TRACE}, hit AS (SELECT DISTINCT a.route, b.route AS other, a.t FROM tr a JOIN tr b ON b.x BETWEEN a.x - 25 AND a.x + 25 AND b.y BETWEEN a.y - 25 AND a.y + 25 AND a.route <> b.route AND pow(a.x - b.x, 2) + pow(a.y - b.y, 2) <= 625)
