@@ -23,3 +23,21 @@ def test_a_place_between_two_legs_is_traced_once(spark):
 
     points = spark.createDataFrame([(0, k, x, 224309.80000000002) for k, x in enumerate((29.84, 59.84, 89.84, 119.84, 149.84))], "route long, seq long, x double, y double")
     assert sorted(r.t for r in trace(points).collect()) == [10.0, 30.0, 50.0, 70.0, 90.0, 110.0]
+
+
+def test_pairs_of_places_do_not_grow_with_copies(spark):
+    from pyspark.sql import functions as F
+    from waymark.operators import spatial
+
+    left = spark.range(400).select("id", (F.col("id") % 20 * 9.0).alias("x"), (F.col("id") % 3 * 5.0).alias("y"))
+    right = spark.range(300).select(F.col("id").alias("r"), (F.col("id") % 10 * 31.0).alias("x"), F.lit(2.5).alias("y"))
+    got = {(r.id, r.r, round(r.distance, 9)) for r in spatial.nearest(left, right, 60.0, "id", "r").select("id", "r", "distance").collect()}
+    near = lambda x, y: min((round(((x - r % 10 * 31.0) ** 2 + (y - 2.5) ** 2) ** 0.5, 9), r) for r in range(300))
+    asked = {i: near(i % 20 * 9.0, i % 3 * 5.0) for i in range(400)}
+    assert got == {(i, r, d) for i, (d, r) in asked.items() if d <= 60}
+    from waymark.queries import QUERIES
+
+    plan = QUERIES["vote_argmax"](spark, SMOKE)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join Inner, (((_cell") < plan.rindex("Aggregate")  # places are distinct below the join
+    pairs = spatial.within(left, right, 60.0)
+    assert "REPARTITION_BY_NUM" in pairs._jdf.queryExecution().executedPlan().toString()  # full cells are not merged into few tasks

@@ -6,9 +6,16 @@ hold everything within one cell's width. Shuffles hash the cell, and AQE splits
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import written
+
+#: Parts of a grid cell by its left rows.
+PARTS = 4
+
 
 def large(df: DataFrame) -> DataFrame:
     """df, to be shuffled where it is joined.
@@ -35,22 +42,45 @@ def within(left: DataFrame, right: DataFrame, radius: float, how: str = "inner",
 
     `same` names a column of each side that must be equal too, as part of the equi-join.
     """
-    a = left.withColumn("_cell", F.explode(around(F.col("x"), F.col("y"), radius)))
-    b = right.withColumnsRenamed({"x": "rx", "y": "ry"})
+    # pairs are many more than rows: a full cell is dealt to PARTS tasks by the left rows, and so many tasks are not merged
+    tasks = 2 * int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    a = left.withColumn("_part", F.pmod(F.hash("x", "y"), F.lit(PARTS))).withColumn("_cell", F.explode(around(F.col("x"), F.col("y"), radius)))
+    b = right.withColumnsRenamed({"x": "rx", "y": "ry"}).withColumn("_part2", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
     b = b.withColumn("_cell2", cell(F.col("rx"), F.col("ry"), radius))
+    a, b = a.repartition(tasks, "_cell", "_part"), b.repartition(tasks, "_cell2", "_part2")
     distance = F.hypot(F.col("x") - F.col("rx"), F.col("y") - F.col("ry"))
-    condition = (F.col("_cell") == F.col("_cell2")) & (distance <= radius)
+    condition = (F.col("_cell") == F.col("_cell2")) & (F.col("_part") == F.col("_part2")) & (distance <= radius)
     if same:
         condition = condition & (F.col(same[0]) == F.col(same[1]))
     if how == "left_semi":
-        return a.join(large(b), condition, "left_semi").drop("_cell").distinct()
-    return a.join(large(b), condition).withColumn("distance", distance).drop("_cell", "_cell2")
+        return a.join(large(b), condition, "left_semi").drop("_cell", "_part").distinct()
+    return a.join(large(b), condition).withColumn("distance", distance).drop("_cell", "_cell2", "_part", "_part2")
 
 
 def nearest(left: DataFrame, right: DataFrame, radius: float, key: str, tie: str) -> DataFrame:
-    """For each left row its nearest right row within the radius; of equally near ones the least `tie`."""
+    """For each left row its nearest right row within the radius; of equally near ones the least `tie`.
+
+    Places are looked at once, however many rows lie there. A round finds the nearest within a radius of its own; what it
+    finds is final, and the places without any go on with twice the radius. The first radius holds about four places, so
+    pairs grow with the rows and not with their square.
+    """
+    columns = [c for c in right.columns if c not in ("x", "y")]
+    heads = written(right.where("x is not null and y is not null").groupBy("x", "y").agg(F.min_by(F.struct(*columns), tie).alias("_row")), "places")
+    n, *box = heads.agg(F.count(F.lit(1)), F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    reach = math.sqrt(4 * (box[1] - box[0] or 1.0) * (box[3] - box[2] or 1.0) / (math.pi * n)) if n else radius
+    reach = radius if not reach < radius else max(reach, radius / 1024)
+    open_, found = left.where("x is not null and y is not null").select("x", "y").distinct(), None
+    while True:
+        best = within(open_, heads, reach).groupBy("x", "y").agg(F.min(F.struct("distance", F.col(f"_row.{tie}").alias("_tie"), "rx", "ry", "_row")).alias("_b"))
+        best = written(best, "nearest")
+        found = best if found is None else found.unionByName(best)
+        if reach >= radius:
+            break
+        open_ = written(open_.join(large(best), ["x", "y"], "left_anti"), "open")
+        reach = min(2 * reach, radius)
+    got = left.join(large(found), ["x", "y"]).select(*[left[c] for c in left.columns], *[F.col(f"_b.{c}") for c in ("rx", "ry")], *[F.col(f"_b._row.{c}") for c in columns], "_b.distance")
     w = Window.partitionBy(key).orderBy("distance", tie)
-    return within(left, right, radius).withColumn("_nth", F.row_number().over(w)).where("_nth = 1").drop("_nth")
+    return got.withColumn("_nth", F.row_number().over(w)).where("_nth = 1").drop("_nth")
 
 
 def box_count(points: DataFrame, queries: DataFrame, side: float, weight: str | None = None, reach: int = 1, from_points: bool = False) -> DataFrame:
