@@ -41,3 +41,12 @@ def test_pairs_of_places_do_not_grow_with_copies(spark):
     assert plan.index("Join Inner, (((_cell") < plan.rindex("Aggregate")  # places are distinct below the join
     pairs = spatial.within(left, right, 60.0)
     assert "REPARTITION_BY_NUM" in pairs._jdf.queryExecution().executedPlan().toString()  # full cells are not merged into few tasks
+
+
+def test_corners_take_one_line_at_a_time(spark):
+    from waymark.operators import sequence
+
+    samples = spark.createDataFrame([(line, k, 10.0 * k, 10.0 * k if k < 9 else 80.0, 0.0 if k < 9 else 10.0 * (k - 8)) for line in (3, 4) for k in range(18)], "line long, k long, s double, x double, y double")
+    corners = sequence.detect_corners(samples)
+    assert sorted(r.line for r in corners.collect()) == [3, 4]
+    assert "collect_list" not in plan(corners)  # no batch of whole lines

@@ -166,13 +166,17 @@ def corners_of(x: np.ndarray, y: np.ndarray, s: np.ndarray, r_max: float = 600.0
 
 def detect_corners(samples: DataFrame, line: str = "line") -> DataFrame:
     """Corners of every resampled line (line, k, s, x, y): line and the columns of CORNERS."""
-    packed = samples.groupBy(line).agg(F.sort_array(F.collect_list(F.struct("k", "s", "x", "y"))).alias("_p"))
+    columns = [c.split()[0] for c in CORNERS.split(", ")]
 
-    @F.pandas_udf(f"array<struct<{CORNERS.replace(' ', ':').replace(',:', ',')}>>")
-    def found(lines: pd.Series) -> pd.Series:
-        return pd.Series([[dict(zip(("s", "radius", "sign", "heading", "length"), c, strict=True)) for c in corners_of(*(np.array([p[f] for p in points]) for f in ("x", "y", "s")))] for points in lines])
+    def found(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("k", kind="stable")
+        corners = pd.DataFrame(corners_of(*(rows[c].to_numpy(float) for c in ("x", "y", "s"))), columns=columns)
+        corners.insert(0, line, rows[line].iloc[0])
+        return corners
 
-    return packed.select(line, F.explode(found("_p")).alias("_c")).select(line, "_c.*")
+    # one line's samples at a time, as arrays of numbers: a batch of packed lines would hold every sample as an object
+    of_line = samples.schema[line].dataType.simpleString()
+    return samples.select(line, "k", "s", "x", "y").groupBy(line).applyInPandas(found, f"`{line}` {of_line}, {CORNERS}")
 
 
 def esses_share(corners: DataFrame, line: str = "line", most_gap: float = 200.0) -> DataFrame:

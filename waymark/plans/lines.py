@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import roads
 from ..operators import sequence
 from ..rubric import RUBRIC
+from ..storage import written
 from .base import Tables, query, r6
 
 POINTS = """points AS (
@@ -142,7 +143,7 @@ def running_maximum(t: Tables) -> DataFrame:
 def corner_features(t: Tables) -> DataFrame:
     """Corners of each line and their shares of esses and straights (folds over runs: tested on closed forms)."""
     placed = sequence.running_distance(points(t))
-    corners = sequence.detect_corners(sequence.resample(points(t), 10.0))
+    corners = written(sequence.detect_corners(sequence.resample(points(t), 10.0)), "corners")
     lines = placed.groupBy("line").agg(F.max("s").alias("length_m"))
     counted = corners.groupBy("line").agg(F.count(F.lit(1)).alias("n_corners"), r6(F.sum("heading")).alias("heading"), r6(F.min("radius")).alias("min_radius"))
     out = lines.join(counted, "line", "left").join(sequence.esses_share(corners), "line", "left").join(sequence.straight_share(lines, corners), "line")
