@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .spatial import large
+
 
 def equal_parts(steps: DataFrame, parts: Column, key: str = "route") -> DataFrame:
     """(key, part, i0, i1, at): the edges i0 to i1 of each of the route's `parts` equal spans of distance.
@@ -122,16 +124,16 @@ def corner_markers(routes: DataFrame, corners: DataFrame, edges: DataFrame, vert
     length_m; vertices: slice_id, seq (from 0), x, y. A corner lies as far along the numbers of its slice's vertices as it
     does along its edge's length. dir is L for a turn to the left.
     """
-    on = routes.select(key, "edge_id").distinct().join(corners.where("engaged"), "edge_id")
+    on = routes.select(key, "edge_id").distinct().join(large(corners.where("engaged")), "edge_id")
     first = on.withColumn("nth", F.row_number().over(Window.partitionBy(key).orderBy("corner"))).where(F.col("nth") <= most)
     ends = vertices.groupBy("slice_id").agg(F.max("seq").alias("_last"))
-    placed = first.join(edges, "edge_id").join(ends, "slice_id")
+    placed = first.join(large(edges), "edge_id").join(large(ends), "slice_id")
     share = F.col("s") / F.greatest("length_m", F.lit(1e-9))
     placed = placed.withColumn("_at", F.when(F.col("rev"), F.col("_last") - share * F.col("_last")).otherwise(share * F.col("_last")))
     placed = placed.withColumn("_i", F.greatest(F.lit(0), F.least(F.floor("_at"), F.col("_last"))).cast("long")).withColumn("_j", F.least(F.col("_i") + 1, F.col("_last")).cast("long"))
     placed = placed.withColumn("_f", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("_at") - F.col("_i"))))
     side = lambda i, n: vertices.select("slice_id", F.col("seq").cast("long").alias(i), F.col("x").alias(f"_x{n}"), F.col("y").alias(f"_y{n}"))
-    met = placed.join(side("_i", 0), ["slice_id", "_i"]).join(side("_j", 1), ["slice_id", "_j"])
+    met = placed.join(large(side("_i", 0)), ["slice_id", "_i"]).join(large(side("_j", 1)), ["slice_id", "_j"])
     between = lambda c: F.col(f"_{c}0") * (1 - F.col("_f")) + F.col(f"_{c}1") * F.col("_f")
     return met.select(
         key, F.col("nth").cast("long").alias("nth"), between("x").alias("x"), between("y").alias("y"), F.bround("radius", 0).cast("int").alias("r"), F.when(F.col("sign") > 0, "L").otherwise("R").alias("dir"),
