@@ -13,7 +13,7 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["official_speeds", "register_on_roads"])
+@pytest.mark.parametrize("name", ["official_speeds", "register_on_roads", "roads_side_by_side"])
 def test_lines_are_not_broadcast(spark, name):
     assert "BroadcastHashJoin" not in plan(QUERIES[name](spark, SMOKE))
 
