@@ -42,12 +42,15 @@ def within(left: DataFrame, right: DataFrame, radius: float, how: str = "inner",
 
     `same` names a column of each side that must be equal too, as part of the equi-join.
     """
-    # pairs are many more than rows: a full cell is dealt to PARTS tasks by the left rows, and so many tasks are not merged
+    # pairs are many more than rows: a full cell is dealt to PARTS tasks by the left rows, and so many tasks are not merged;
+    # groups that must be equal are parts of their own
+    parts = 1 if same else PARTS
     tasks = 2 * int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    a = left.withColumn("_part", F.pmod(F.hash("x", "y"), F.lit(PARTS))).withColumn("_cell", F.explode(around(F.col("x"), F.col("y"), radius)))
-    b = right.withColumnsRenamed({"x": "rx", "y": "ry"}).withColumn("_part2", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    a = left.withColumn("_part", F.pmod(F.hash("x", "y"), F.lit(parts))).withColumn("_cell", F.explode(around(F.col("x"), F.col("y"), radius)))
+    b = right.withColumnsRenamed({"x": "rx", "y": "ry"}).withColumn("_part2", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     b = b.withColumn("_cell2", cell(F.col("rx"), F.col("ry"), radius))
-    a, b = a.repartition(tasks, "_cell", "_part"), b.repartition(tasks, "_cell2", "_part2")
+    if not same:
+        a, b = a.repartition(tasks, "_cell", "_part"), b.repartition(tasks, "_cell2", "_part2")
     distance = F.hypot(F.col("x") - F.col("rx"), F.col("y") - F.col("ry"))
     condition = (F.col("_cell") == F.col("_cell2")) & (F.col("_part") == F.col("_part2")) & (distance <= radius)
     if same:
