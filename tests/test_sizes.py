@@ -50,3 +50,31 @@ def test_corners_take_one_line_at_a_time(spark):
     corners = sequence.detect_corners(samples)
     assert sorted(r.line for r in corners.collect()) == [3, 4]
     assert "collect_list" not in plan(corners)  # no batch of whole lines
+
+
+def test_a_walk_looks_at_an_edge_a_few_times():
+    import pandas as pd
+    from waymark.operators import graph
+
+    looks = 0
+
+    class Counted(bytearray):
+        def __getitem__(self, k):
+            nonlocal looks
+            looks += 1
+            return super().__getitem__(k)
+
+    n = 600  # n ways into one node and n ways out of it
+    rows = [(k, 1 + k, 0, k) for k in range(n)] + [(n + k, 0, n + 1 + k, n + k) for k in range(n)]
+    table = pd.DataFrame(rows, columns=["edge_id", "u", "v", "slice_id"]).assign(length_m=600.0, fun=0.7, excluded=False)
+    part = graph._Part(table, 0.55, 400.0, 8)
+    part.taken = Counted(len(part.taken))
+    found = part.stretches(1000.0)
+    assert [s[0] for s in found] == [[k, n + k] for k in range(n)]
+    assert looks < 12 * len(rows)
+
+
+def test_components_of_stretches_are_not_merged_into_few_tasks(spark):
+    from waymark.queries import QUERIES
+
+    assert "REPARTITION_BY_NUM" in plan(QUERIES["mined_stretches"](spark, SMOKE))
