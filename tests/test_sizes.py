@@ -78,3 +78,26 @@ def test_components_of_stretches_are_not_merged_into_few_tasks(spark):
     from waymark.queries import QUERIES
 
     assert "REPARTITION_BY_NUM" in plan(QUERIES["mined_stretches"](spark, SMOKE))
+
+
+def test_searches_and_rides_broadcast_no_table(spark, monkeypatch):
+    from pyspark.sql import functions as F
+    from waymark.operators import chains, graph, search
+
+    plans, write = [], search.written
+    monkeypatch.setattr(search, "FEW", 0)
+    monkeypatch.setattr(search, "FEW_OPEN", 0)
+    for module in (search, graph):
+        monkeypatch.setattr(module, "written", lambda df, what, kept=False: plans.append(plan(df)) or write(df, what, kept))
+    nodes = spark.range(6).select(F.col("id").alias("node"), (F.col("id") * 100.0).alias("x"), F.lit(0.0).alias("y"))
+    ahead = spark.range(5).select(F.col("id").alias("edge_id"), F.col("id").alias("u"), (F.col("id") + 1).alias("v"), F.col("id").alias("slice_id"), F.lit(100.0).alias("cost"), F.lit(100.0).alias("length_m"))
+    pairs = spark.createDataFrame([(0, 0, 5), (1, 2, 4)], "pair long, start long, goal long")
+    dearer = spark.createDataFrame([(1, 3, 2.0)], "pair long, slice_id long, factor double")
+    got = {(r.pair, r.cost, tuple(r.path)) for r in search.cheapest_routes(ahead, nodes, pairs, dearer=dearer).collect()}
+    assert got == {(0, 500.0, (0, 1, 2, 3, 4)), (1, 300.0, (2, 3))}
+    assert plans and not any("BroadcastHashJoin" in p for p in plans)
+    edges = ahead.withColumns({"fun": F.lit(0.7), "excluded": F.lit(False), "mask": F.lit(255), "rev": F.lit(False)})
+    net = chains.Network(edges, nodes, spark.range(5).select(F.col("id").alias("slice_id"), F.lit(0.0).alias("line")))
+    rides = spark.createDataFrame([(7, [0, 1, 2])], "ride long, edges array<long>")
+    assert net.measured(rides).first().length_m == 300.0
+    assert "BroadcastHashJoin" not in plan(net.measured(rides)) + plan(net.slices(rides, "ride", "edges"))

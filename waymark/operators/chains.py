@@ -16,6 +16,7 @@ from ..storage import written
 from . import spatial
 from .routes import retrace_share, route_points, trace
 from .search import cheapest_routes, slice_share, steps_of
+from .spatial import large
 
 
 @dataclass(frozen=True)
@@ -48,9 +49,11 @@ class Network:
     """
 
     def __init__(self, edges: DataFrame, nodes: DataFrame, segments: DataFrame, rules: Rules | None = None, **options):
-        self.edges, self.nodes, self.segments, self.rules, self.options = edges, nodes, segments, rules or Rules(), options
-        self.lengths = edges.select("edge_id", "slice_id", "length_m")
-        self.search_edges = edges.withColumn("cost", F.when(F.col("mask") != 0, F.col("cost")))
+        # every step joins them: they are worked out once, and shuffled where they are joined
+        self.edges, self.nodes, self.segments = written(edges, "edges"), written(nodes, "nodes"), written(segments, "segments")
+        self.rules, self.options = rules or Rules(), options
+        self.lengths = large(self.edges.select("edge_id", "slice_id", "length_m"))
+        self.search_edges = self.edges.withColumn("cost", F.when(F.col("mask") != 0, F.col("cost")))
 
     def slices(self, rides: DataFrame, key: str, edges: str) -> DataFrame:
         return steps_of(rides, key, edges).join(self.lengths, "edge_id").select(key, "slice_id").distinct()
@@ -59,26 +62,26 @@ class Network:
         """(pair, start, goal): from the end of one array of edges to the beginning of another."""
         node = lambda name, end: self.edges.select(F.col("edge_id").alias(f"_{name}"), F.col(end).alias(name))
         asked = rides.select(F.col(key).alias("pair"), F.element_at(last_of, -1).alias("_start"), F.element_at(first_of, 1).alias("_goal"))
-        return asked.join(node("start", "v"), "_start").join(node("goal", "u"), "_goal").select("pair", "start", "goal")
+        return asked.join(large(node("start", "v")), "_start").join(large(node("goal", "u")), "_goal").select("pair", "start", "goal")
 
     def measured(self, rides: DataFrame, key: str = "ride") -> DataFrame:
         """rides (key, edges, ...) with length_m, fun_m (fun times length), dull_share and mask."""
-        steps = steps_of(rides, key).join(self.edges.select("edge_id", "length_m", "fun", "excluded", "mask"), "edge_id")
+        steps = steps_of(rides, key).join(large(self.edges.select("edge_id", "length_m", "fun", "excluded", "mask")), "edge_id")
         dull = (F.col("fun") < self.rules.dull_fun) | F.col("excluded")
         sums = steps.groupBy(key).agg(
             F.sum("length_m").alias("length_m"), F.sum(F.col("fun") * F.col("length_m")).alias("fun_m"),
             (F.sum(F.when(dull, F.col("length_m")).otherwise(0.0)) / F.sum("length_m")).alias("dull_share"), F.bit_and("mask").alias("mask"),
         )
-        return rides.join(sums, key)
+        return rides.join(large(sums), key)
 
     def good(self, rides: DataFrame, least_m: float, most_m: float = 80_000.0, key: str = "ride") -> DataFrame:
         """The rides (key, edges, ...) of the right length, open in some window, rarely dull and hardly retracing themselves."""
         r = self.rules
         rides = self.measured(rides, key).where(F.col("length_m").between(least_m, most_m) & (F.col("mask") != 0) & (F.col("dull_share") <= r.most_dull) & (F.col("fun_m") / F.col("length_m") >= r.least_fun))
         rides = written(rides, "rides")
-        steps = steps_of(rides, key).join(self.edges.select("edge_id", "slice_id", "rev"), "edge_id").select(F.col(key).alias("route"), "pos", "slice_id", "rev")
+        steps = steps_of(rides, key).join(large(self.edges.select("edge_id", "slice_id", "rev")), "edge_id").select(F.col(key).alias("route"), "pos", "slice_id", "rev")
         shares = retrace_share(trace(route_points(steps, self.segments))).select(F.col("route").alias(key), F.col("share").alias("_traced"))
-        return rides.join(shares, key, "left").where(F.coalesce("_traced", F.lit(0.0)) <= r.most_retrace).drop("_traced")
+        return rides.join(large(shares), key, "left").where(F.coalesce("_traced", F.lit(0.0)) <= r.most_retrace).drop("_traced")
 
 
 def anchors(net: Network, stretches: DataFrame, opposites: DataFrame) -> DataFrame:
@@ -90,18 +93,18 @@ def anchors(net: Network, stretches: DataFrame, opposites: DataFrame) -> DataFra
     """
     r = net.rules
     steps = steps_of(stretches.select("stretch", "edges"), "stretch")
-    back = steps.join(opposites, "edge_id", "left").groupBy("stretch").agg(F.reverse(F.array_sort(F.collect_list(F.struct("pos", F.col("opposite_id").alias("e"))))).alias("_b"))
+    back = steps.join(large(opposites), "edge_id", "left").groupBy("stretch").agg(F.reverse(F.array_sort(F.collect_list(F.struct("pos", F.col("opposite_id").alias("e"))))).alias("_b"))
     back = back.select("stretch", F.col("_b.e").alias("edges")).where(~F.exists("edges", lambda e: e.isNull()))
     both = stretches.select("stretch", F.lit(0).alias("way"), "edges").unionByName(back.select("stretch", F.lit(1).alias("way"), "edges")).withColumn("ride", F.struct("stretch", "way"))
-    quality = steps_of(both, "ride").join(net.edges, "edge_id").groupBy("ride").agg(
+    quality = steps_of(both, "ride").join(large(net.edges), "edge_id").groupBy("ride").agg(
         F.sum("length_m").alias("_m"), F.sum(F.col("fun") * F.col("length_m")).alias("_fun"),
         F.sum(F.when(F.col("fun") < r.stretch_fun, F.col("length_m")).otherwise(0.0)).alias("_bridged"), F.max(F.col("excluded").cast("int")).alias("_ex"),
     )
     fine = (F.col("_m") > 0) & (F.col("_fun") >= r.stretch_fun * F.col("_m")) & (F.col("_bridged") <= r.most_bridge * F.col("_m")) & ((F.col("ride.way") == 0) | (F.col("_ex") == 0))
-    named = both.join(quality.where(fine), "ride").join(stretches.select("stretch", "area", F.col("edges")[0].alias("_first")), "stretch")
+    named = both.join(large(quality.where(fine)), "ride").join(large(stretches.select("stretch", "area", F.col("edges")[0].alias("_first"))), "stretch")
     best = named.groupBy("area", "stretch", "_first").agg(F.max("_fun").alias("_best"))
     chosen = best.withColumn("_n", F.row_number().over(Window.partitionBy("area").orderBy(F.desc("_best"), "_first"))).where(F.col("_n") <= r.anchors)
-    return written(named.join(chosen.select("stretch"), "stretch", "left_semi").select("area", "stretch", "way", "edges"), "anchors")
+    return written(named.join(large(chosen.select("stretch")), "stretch", "left_semi").select("area", "stretch", "way", "edges"), "anchors")
 
 
 def connected(net: Network, legs: DataFrame) -> DataFrame:
@@ -112,22 +115,22 @@ def connected(net: Network, legs: DataFrame) -> DataFrame:
     """
     r, key = net.rules, "leg"
     first, second = net.slices(legs, key, "first"), net.slices(legs, key, "second")
-    apart = written(legs.join(first.join(second, [key, "slice_id"]).select(key).distinct(), key, "left_anti"), "legs")
+    apart = written(legs.join(large(first.join(large(second), [key, "slice_id"]).select(key).distinct()), key, "left_anti"), "legs")
     used = written(net.slices(apart.withColumn("_both", F.concat("first", "second")), key, "_both"), "used")
 
     def tried(some: DataFrame, ways: DataFrame) -> DataFrame:
-        made = some.join(ways.select(F.col("pair").alias(key), F.col("path").alias("way")), key)
+        made = some.join(large(ways.select(F.col("pair").alias(key), F.col("path").alias("way"))), key)
         length = steps_of(made, key, "way").join(net.lengths, "edge_id")
-        bad = length.join(used, [key, "slice_id"], "left_semi").select(key).union(length.groupBy(key).agg(F.sum("length_m").alias("_m")).where(F.col("_m") > r.most_connector).select(key))
-        made = made.join(bad.distinct(), key, "left_anti").withColumn("edges", F.concat("first", "way", "second"))
+        bad = length.join(large(used), [key, "slice_id"], "left_semi").select(key).union(length.groupBy(key).agg(F.sum("length_m").alias("_m")).where(F.col("_m") > r.most_connector).select(key))
+        made = made.join(large(bad.distinct()), key, "left_anti").withColumn("edges", F.concat("first", "way", "second"))
         return written(net.good(made, 2000.0, key=key).drop("way"), "connected")
 
     ways = cheapest_routes(net.search_edges, net.nodes, net.ends(apart, key, "first", "second"), bound=r.connector_bound, **net.options)
     right = tried(apart, ways)
-    rest = written(apart.join(right.select(key), key, "left_anti"), "rest")
-    rejected = net.slices(ways.withColumnRenamed("pair", key).join(rest.select(key), key, "left_semi"), key, "path")
-    touching = rejected.join(used, [key, "slice_id"], "left_semi").select(key).distinct()
-    blocked = used.unionByName(rejected.join(touching, key, "left_anti")).distinct()
+    rest = written(apart.join(large(right.select(key)), key, "left_anti"), "rest")
+    rejected = net.slices(ways.withColumnRenamed("pair", key).join(large(rest.select(key)), key, "left_semi"), key, "path")
+    touching = rejected.join(large(used), [key, "slice_id"], "left_semi").select(key).distinct()
+    blocked = used.unionByName(rejected.join(large(touching), key, "left_anti")).distinct()
     barred = blocked.select(F.col(key).alias("pair"), "slice_id", F.lit(None).cast("double").alias("factor"))
     others = cheapest_routes(net.search_edges, net.nodes, net.ends(rest, key, "first", "second"), bound=r.connector_bound, dearer=barred, **net.options)
     return right.unionByName(tried(rest, others))
@@ -146,30 +149,30 @@ def closed(net: Network, rides: DataFrame, opposites: DataFrame, most_return: fl
     steps = steps_of(rides, key, "first").drop("pos")
 
     def tried(some: DataFrame, ways: DataFrame) -> DataFrame:
-        made = written(some.join(ways.select(F.col("pair").alias(key), F.col("path").alias("way")), key), "returns")
+        made = written(some.join(large(ways.select(F.col("pair").alias(key), F.col("path").alias("way"))), key), "returns")
         back = steps_of(made, key, "way").drop("pos")
-        one = slice_share(steps.join(made.select(key), key, "left_semi"), back, net.lengths, [key]).where(F.col("share") > r.most_shared)
+        one = slice_share(steps.join(large(made.select(key)), key, "left_semi"), back, net.lengths, [key]).where(F.col("share") > r.most_shared)
         other = slice_share(back, steps, net.lengths, [key]).where(F.col("share") > r.most_shared)
         bad = one.select(key).union(other.select(key))
         if most_return is not None:
             bad = bad.union(back.join(net.lengths, "edge_id").groupBy(key).agg(F.sum("length_m").alias("_m")).where(F.col("_m") > most_return).select(key))
-        made = made.join(bad.distinct(), key, "left_anti").withColumn("edges", F.concat("first", "way"))
+        made = made.join(large(bad.distinct()), key, "left_anti").withColumn("edges", F.concat("first", "way"))
         return written(net.good(made, 3000.0).drop("way"), "closed")
 
     there = pairs.where("start = goal").select("pair", empty.alias("path"))
     going = pairs.where("start <> goal")
     own = lambda factor: used.select(F.col(key).alias("pair"), "slice_id", F.lit(factor).cast("double").alias("factor"))
-    last = rides.select(F.col(key).alias("pair"), F.element_at("first", -1).alias("edge_id")).join(opposites, "edge_id").select("pair", F.col("opposite_id").alias("edge_id"))
+    last = rides.select(F.col(key).alias("pair"), F.element_at("first", -1).alias("edge_id")).join(large(opposites), "edge_id").select("pair", F.col("opposite_id").alias("edge_id"))
     ways = cheapest_routes(net.search_edges, net.nodes, going, dearer=own(r.reuse), closed=last, **net.options)
     found = tried(rides, ways.select("pair", "path").unionByName(there))
-    rest = written(rides.join(found.select(key), key, "left_anti").join(there.select(F.col("pair").alias(key)), key, "left_anti"), "rest")
+    rest = written(rides.join(large(found.select(key)), key, "left_anti").join(large(there.select(F.col("pair").alias(key))), key, "left_anti"), "rest")
     rejected = written(net.slices(ways.withColumnRenamed("pair", key), key, "path"), "rejected")
     for factor in (None, r.reuse):
-        more = rejected.join(used, [key, "slice_id"], "left_anti").select(F.col(key).alias("pair"), "slice_id", F.lit(factor).cast("double").alias("factor"))
-        asked = going.join(rest.select(F.col(key).alias("pair")), "pair", "left_semi")
+        more = rejected.join(large(used), [key, "slice_id"], "left_anti").select(F.col(key).alias("pair"), "slice_id", F.lit(factor).cast("double").alias("factor"))
+        asked = going.join(large(rest.select(F.col(key).alias("pair"))), "pair", "left_semi")
         ways = cheapest_routes(net.search_edges, net.nodes, asked, dearer=own(None).unionByName(more), bound=r.return_bound, **net.options)
         found = found.unionByName(tried(rest, ways))
-        rest = written(rest.join(found.select(key), key, "left_anti").join(rejected.select(key).distinct(), key, "left_semi"), "rest")
+        rest = written(rest.join(large(found.select(key)), key, "left_anti").join(large(rejected.select(key).distinct()), key, "left_semi"), "rest")
     return found
 
 
@@ -182,7 +185,7 @@ def linked_rides(net: Network, stretches: DataFrame, opposites: DataFrame) -> Da
     r = net.rules
     ways = anchors(net, stretches, opposites)
     place = lambda name: net.nodes.select(F.col("node").alias(name), "x", "y")
-    node = lambda df, at, end, name: df.join(net.edges.select(F.col("edge_id").alias("_e"), F.col(end).alias(name)), F.element_at("edges", at) == F.col("_e")).drop("_e").join(place(name), name).drop(name)
+    node = lambda df, at, end, name: df.join(large(net.edges.select(F.col("edge_id").alias("_e"), F.col(end).alias(name))), F.element_at("edges", at) == F.col("_e")).drop("_e").join(large(place(name)), name).drop(name)
     entering = node(ways.select(F.col("area").alias("_area"), F.col("stretch").alias("_next"), F.col("way").alias("_way"), "edges"), 1, "u", "_n").withColumnRenamed("edges", "second")
     best = Window.partitionBy("area").orderBy(F.desc("fun_m"), "edges", "anchors")
 
@@ -199,7 +202,7 @@ def linked_rides(net: Network, stretches: DataFrame, opposites: DataFrame) -> Da
     open_ = numbered(open_, "ride")
     sets = net_sets(net, open_)
     first = Window.partitionBy("area", "_set").orderBy(F.desc("fun_m"), "edges", F.size("anchors"), "anchors")
-    open_ = open_.join(sets, "ride").withColumn("_n", F.row_number().over(first)).where("_n = 1")
+    open_ = open_.join(large(sets), "ride").withColumn("_n", F.row_number().over(first)).where("_n = 1")
     loops = triples.where(F.col("_n") <= r.loop_triples).unionByName(pairs.where(F.col("_n") <= r.loop_pairs))
     loops = numbered(loops.select("area", "anchors", F.col("edges").alias("first")), "ride")
     columns = ["area", "type", "anchors", "edges", "length_m", "fun_m", "dull_share", "mask"]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..storage import passing, written
 from .routes import retrace_share, route_points, trace
 from .search import broken, cheapest_routes, slice_share, steps_of
+from .spatial import large
 
 #: A side trip goes if so much of it retraces itself; a circuit with more is an out-and-back.
 SIDE_TRIP, OUT_AND_BACK = 0.80, 0.6
@@ -20,8 +21,8 @@ def farthest_ends(stretches: DataFrame, nodes: DataFrame) -> DataFrame:
     """
     ends = stretches.select("area", "rank", F.posexplode(F.array("start_node", "end_node")).alias("side", "node"))
     first = stretches.groupBy("area").agg(F.min_by("start_node", "rank").alias("start"))
-    start = first.join(nodes.select(F.col("node").alias("start"), F.col("x").alias("_sx"), F.col("y").alias("_sy")), "start")
-    far = ends.join(start, "area").join(nodes, "node").withColumn("_d", F.round(F.hypot(F.col("x") - F.col("_sx"), F.col("y") - F.col("_sy")), 9))
+    start = first.join(large(nodes.select(F.col("node").alias("start"), F.col("x").alias("_sx"), F.col("y").alias("_sy"))), "start")
+    far = ends.join(large(start), "area").join(large(nodes), "node").withColumn("_d", F.round(F.hypot(F.col("x") - F.col("_sx"), F.col("y") - F.col("_sy")), 9))
     best = far.groupBy("area", "start").agg(F.min(F.struct((-F.col("_d")).alias("d"), "rank", "side", "node")).alias("b"))
     return best.where(F.col("b.node") != F.col("start")).select("area", "start", F.col("b.node").alias("goal"))
 
@@ -43,19 +44,19 @@ def without_side_trips(routes: DataFrame, edges: DataFrame, segments: DataFrame,
     along = Window.partitionBy(key).orderBy("pos")
     while True:
         with passing(spark):
-            walk = written(open_.withColumn("pos", F.row_number().over(along) - 1).join(known, "edge_id"), "walk")
+            walk = written(open_.withColumn("pos", F.row_number().over(along) - 1).join(large(known), "edge_id"), "walk")
             turn = (F.lead("slice_id").over(along) == F.col("slice_id")) & (F.lead("u").over(along) == F.col("v")) & (F.lead("v").over(along) == F.col("u"))
             turns = walk.withColumn("_turn", turn).where("_turn").groupBy(key).agg(F.min("pos").alias("_at"))
             turns = turns.select(key, (F.col("_at") + 2).alias("end"), F.col("_at").alias("begin"))
             leave = walk.where("pos > 0").select(key, F.col("pos").alias("begin"), F.col("u").alias("_node"))
             return_ = walk.select(key, (F.col("pos") + 1).alias("end"), F.col("v").alias("_node"))
-            trips = leave.join(return_, [key, "_node"]).where("begin < end").join(turns.select(key, F.col("end").alias("_turned")), key, "left")
+            trips = leave.join(large(return_), [key, "_node"]).where("begin < end").join(large(turns.select(key, F.col("end").alias("_turned"))), key, "left")
             trips = trips.where("_turned is null or end < _turned").select(F.struct(key, "begin", "end").alias("trip"))
-            inside = trips.join(walk, (F.col(f"trip.{key}") == walk[key]) & F.col("pos").between(F.col("trip.begin"), F.col("trip.end") - 1))
+            inside = trips.join(large(walk), (F.col(f"trip.{key}") == walk[key]) & F.col("pos").between(F.col("trip.begin"), F.col("trip.end") - 1))
             drawn = trace(route_points(inside.select(F.col("trip").alias("route"), (F.col("pos") - F.col("trip.begin")).alias("pos"), "slice_id", "rev"), segments))
             back = retrace_share(drawn).where(F.col("share") >= SIDE_TRIP).select(f"route.{key}", "route.end", "route.begin")
             first = back.unionByName(turns).groupBy(key).agg(F.min(F.struct("end", (-F.col("begin")).alias("b"))).alias("_cut"))
-            marked = written(walk.join(first, key, "left").select(key, "pos", "edge_id", "_cut"), "marked", kept=True)
+            marked = written(walk.join(large(first), key, "left").select(key, "pos", "edge_id", "_cut"), "marked", kept=True)
         done.append(marked.where("_cut is null").select(key, "pos", "edge_id"))
         going = marked.where("_cut is not null")
         if going.isEmpty():
@@ -83,15 +84,15 @@ def circuits(pairs: DataFrame, edges: DataFrame, nodes: DataFrame, segments: Dat
     lengths = edges.select("edge_id", "slice_id", "length_m")
     out = cheapest_routes(edges, nodes, pairs, dearer=dearer, **options).where(F.size("path") > 0).select("pair", F.col("path").alias("out"))
     gone = steps_of(out, "pair", "out")
-    home = pairs.join(out, "pair", "left_semi").select("pair", F.col("goal").alias("start"), F.col("start").alias("goal"))
-    twice = written(dearer_by(gone.join(lengths, "edge_id"), reuse, dearer), "dearer")
+    home = pairs.join(large(out), "pair", "left_semi").select("pair", F.col("goal").alias("start"), F.col("start").alias("goal"))
+    twice = written(dearer_by(gone.join(large(lengths), "edge_id"), reuse, dearer), "dearer")
     back = cheapest_routes(edges, nodes, home, dearer=twice, **options).where(F.size("path") > 0).select("pair", F.col("path").alias("back"))
-    both = written(out.join(back, "pair"), "ways")
+    both = written(out.join(large(back), "pair"), "ways")
     clean = written(without_side_trips(both.select("pair", F.concat("out", "back").alias("edges")), edges, segments, "pair"), "circuits")
     shared = slice_share(steps_of(both, "pair", "out").drop("pos"), steps_of(both, "pair", "back").drop("pos"), lengths, ["pair"])
-    drawn = trace(route_points(steps_of(clean, "pair").join(edges.select("edge_id", "slice_id", "rev"), "edge_id").select(F.col("pair").alias("route"), "pos", "slice_id", "rev"), segments))
+    drawn = trace(route_points(steps_of(clean, "pair").join(large(edges.select("edge_id", "slice_id", "rev")), "edge_id").select(F.col("pair").alias("route"), "pos", "slice_id", "rev"), segments))
     traced = retrace_share(drawn).select(F.col("route").alias("pair"), F.col("share").alias("_traced"))
-    measured = clean.join(both, "pair").join(shared, "pair").join(traced, "pair", "left")
+    measured = clean.join(large(both), "pair").join(large(shared), "pair").join(large(traced), "pair", "left")
     cut = F.size("edges") < F.size("out") + F.size("back")
     return measured.select("pair", "edges", (F.when(cut, F.coalesce("_traced", F.lit(0.0))).otherwise(F.col("share")) > OUT_AND_BACK).alias("out_and_back"))
 
@@ -104,6 +105,7 @@ def circuit_variants(
     After each turn the slices that a pair has used cost it `reuse` times as much as before. A pair stops at a circuit
     that shares more than most_overlap of its own length with an earlier one of the pair, or when it has none.
     """
+    edges, nodes, segments = (written(df, what, kept=True) for df, what in ((edges, "edges"), (nodes, "nodes"), (segments, "segments")))  # searched many times
     lengths = edges.select("edge_id", "slice_id", "length_m")
     kept, dearer, going = None, None, pairs
     for variant in range(most):
@@ -111,13 +113,13 @@ def circuit_variants(
             found = written(circuits(going, edges, nodes, segments, dearer, reuse, **options), "found")
             if kept is not None:
                 each = kept.select("pair", F.col("variant").alias("_old"))
-                mine = steps_of(found, "pair").drop("pos").join(each, "pair")
+                mine = steps_of(found, "pair").drop("pos").join(large(each), "pair")
                 theirs = steps_of(kept.select("pair", F.col("variant").alias("_old"), "edges").withColumn("_key", F.struct("pair", "_old")), "_key").select("_key.pair", "_key._old", "edge_id")
                 alike = slice_share(mine, theirs, lengths, ["pair", "_old"]).where(F.col("share") > most_overlap).select("pair").distinct()
-                found = found.join(alike, "pair", "left_anti")
+                found = found.join(large(alike), "pair", "left_anti")
             new = written(found.withColumn("variant", F.lit(variant)), "variants", kept=True)
-            used = steps_of(new, "pair").join(lengths, "edge_id").select("pair", "slice_id")
+            used = steps_of(new, "pair").join(large(lengths), "edge_id").select("pair", "slice_id")
             dearer = written(dearer_by(used, reuse, dearer), "dearer", kept=True)
         kept = new if kept is None else kept.unionByName(new)
-        going = going.join(new.select("pair"), "pair", "left_semi")
+        going = going.join(large(new.select("pair")), "pair", "left_semi")
     return kept.select("pair", "variant", "edges", "out_and_back")

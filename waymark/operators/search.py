@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 from ..storage import passing, written
 from .graph import _unrolled
+from .spatial import large
 
-#: Rows of a side that is broadcast; more are shuffled.
-FEW = 1 << 17
+#: Rows of a side that is broadcast, one for each pair or open ones with all their columns; more are shuffled.
+FEW, FEW_OPEN = 1 << 17, 1 << 15
 
 
 def cheapest_routes(
@@ -49,7 +50,7 @@ def _search(edges, nodes, pairs, bucket, dearer, rate, bound, most_rounds, close
         windows = "window" in pairs.columns
         slices += [F.col("mask")] if windows else []
         usable = edges.where("cost is not null").select(F.col("edge_id").cast("long").alias("edge"), *ids, F.col("cost").cast("double").alias("_step"), *slices)
-        usable = usable.join(place("u", "_ux", "_uy"), "u").join(place("v", "_vx", "_vy"), "v")
+        usable = usable.join(large(place("u", "_ux", "_uy")), "u").join(large(place("v", "_vx", "_vy")), "v")
         straight = F.hypot(F.col("_vx") - F.col("_ux"), F.col("_vy") - F.col("_uy")) * rate
         wrong = F.raise_error(F.lit("an edge costs less than the straight way at the least rate")).cast("double")
         usable = usable.withColumn("_step", F.when(F.col("_step") >= straight * (1 - 1e-9) - 1e-9, F.col("_step")).otherwise(wrong)).drop("_ux", "_uy")
@@ -58,7 +59,7 @@ def _search(edges, nodes, pairs, bucket, dearer, rate, bound, most_rounds, close
             bucket = 8 * (usable.agg(F.avg("_step")).first()[0] or 1.0)
         left = lambda x, y: F.hypot(F.col("_gx") - x, F.col("_gy") - y) * rate
         start = pairs.select("pair", F.col("start").cast("long").alias("node"), F.col("goal").cast("long").alias("goal"), (F.col("window") if windows else F.lit(-1)).cast("int").alias("_win")).distinct()
-        start = start.join(place("goal", "_gx", "_gy"), "goal").join(place("node", "_x", "_y"), "node")
+        start = start.join(large(place("goal", "_gx", "_gy")), "goal").join(large(place("node", "_x", "_y")), "node")
         none = F.lit(None).cast("long")
         columns = ["pair", "node", "goal", "_win", "_gx", "_gy", "cost", "edge", "before", "est", "open"]
         known = written(start.select("pair", "node", "goal", "_win", "_gx", "_gy", F.lit(0.0).alias("cost"), none.alias("edge"), none.alias("before"), left(F.col("_x"), F.col("_y")).alias("est"), (F.col("node") != F.col("goal")).alias("open")), "known")
@@ -70,17 +71,19 @@ def _search(edges, nodes, pairs, bucket, dearer, rate, bound, most_rounds, close
             marks = written(marks.where("_low is not null and (_best is null or _low <= _best)"), "marks")  # a row for each pair that goes on
             if not (going := marks.count()):
                 break
-            marks = F.broadcast(marks) if going <= FEW else marks
+            marks = F.broadcast(marks) if going <= FEW else large(marks)
             now = F.col("open") & (F.col("est") <= F.col("_low") + bucket) & (F.col("_best").isNull() | (F.col("est") <= F.col("_best")))
             grown = known.where("open").join(marks, "pair").where(now).select("pair", F.col("node").alias("_u"), "goal", "_win", "_gx", "_gy", F.col("cost").alias("_cost"), "_best")
-            grown = grown.join(usable, F.col("_u") == F.col("u"))
+            # few open rows go to the edges; many are dealt together with them, and the edges are never broadcast
+            grown = written(grown, "front")
+            grown = (F.broadcast(grown) if grown.count() <= FEW_OPEN else large(grown)).join(usable, F.col("_u") == F.col("u"))
             if windows:
                 grown = grown.where(F.col("mask").cast("int").bitwiseAND(F.col("_win")) != 0)
             if closed is not None:
-                grown = grown.join(closed.select("pair", F.col("edge_id").alias("edge")), ["pair", "edge"], "left_anti")
+                grown = grown.join(large(closed.select("pair", F.col("edge_id").alias("edge"))), ["pair", "edge"], "left_anti")
             step = F.col("_step")
             if dearer is not None:
-                grown = grown.join(dearer.select("pair", "slice_id", F.coalesce("factor", F.lit(float("inf"))).alias("_factor")), ["pair", "slice_id"], "left")
+                grown = grown.join(large(dearer.select("pair", "slice_id", F.coalesce("factor", F.lit(float("inf"))).alias("_factor"))), ["pair", "slice_id"], "left")
                 grown = grown.where("_factor is null or _factor < double('infinity')")
                 step = step * F.coalesce("_factor", F.lit(1.0))
             grown = grown.withColumn("cost", F.col("_cost") + step).withColumn("est", F.col("cost") + left(F.col("_vx"), F.col("_vy")))
@@ -115,15 +118,15 @@ def slice_share(a: DataFrame, b: DataFrame, lengths: DataFrame, key: list[str])
 
     a, b: (*key, edge_id) with a row for each use; lengths: edge_id, slice_id, length_m. A key of a without b has 0.
     """
-    mine = a.join(lengths, "edge_id")
-    theirs = b.join(lengths.select("edge_id", "slice_id"), "edge_id").select(*key, "slice_id").distinct().withColumn("_too", F.lit(True))
-    each = mine.groupBy(*key, "slice_id").agg(F.min("length_m").alias("_m"), F.sum("length_m").alias("_all")).join(theirs, [*key, "slice_id"], "left")
+    mine = a.join(large(lengths), "edge_id")
+    theirs = b.join(large(lengths.select("edge_id", "slice_id")), "edge_id").select(*key, "slice_id").distinct().withColumn("_too", F.lit(True))
+    each = mine.groupBy(*key, "slice_id").agg(F.min("length_m").alias("_m"), F.sum("length_m").alias("_all")).join(large(theirs), [*key, "slice_id"], "left")
     return each.groupBy(*key).agg((F.sum(F.when(F.col("_too"), F.col("_m")).otherwise(0.0)) / F.greatest(F.sum("_all"), F.lit(1.0))).alias("share"))
 
 
 def broken(steps: DataFrame, edges: DataFrame, key: str = "route") -> DataFrame:
     """(key) of the routes that are not continuous or do not end where they begin."""
     along = Window.partitionBy(key).orderBy("pos")
-    walked = steps.join(edges.select("edge_id", "u", "v"), "edge_id").withColumn("_gap", F.lead("u").over(along) != F.col("v"))
+    walked = steps.join(large(edges.select("edge_id", "u", "v")), "edge_id").withColumn("_gap", F.lead("u").over(along) != F.col("v"))
     ends = walked.groupBy(key).agg(F.max("_gap").alias("_gap"), F.min_by("u", "pos").alias("_a"), F.max_by("v", "pos").alias("_b"))
     return ends.where(F.coalesce("_gap", F.lit(False)) | (F.col("_a") != F.col("_b"))).select(key)
