@@ -114,3 +114,18 @@ def test_common_slices_are_summed_without_a_row_for_each_pair(spark, monkeypatch
     common = {(p, q): sum(lengths[s] for s in {s for r, s in uses if r == p} & {s for r, s in uses if r == q}) for p in total for q in total if p != q}
     assert {(r.a, r.b): round(r.share, 9) for r in found.collect()} == {k: round(v / total[k[0]], 9) for k, v in common.items() if v / total[k[0]] >= 0.3 - 1e-9}
     assert "keys=[a#" not in plan(found)  # nothing is grouped by pairs
+
+
+def test_percentiles_of_a_group_lie_in_many_tasks(spark):
+    from pyspark.sql import functions as F
+    from waymark.operators import profiles
+    from waymark.queries import QUERIES
+
+    rows = [(g, None if k % 11 == 0 else float(k * k % 97)) for g in (1, 2, None) for k in range(1, 40 * (g or 3))] + [(4, None), (5, 3.5)] + [(6, 1.0)] * 50 + [(6, 9.0)]
+    table = spark.createDataFrame(rows, "g long, v double")
+    shares = {"low": 0.2, "mid": 0.5, "high": 0.99}
+    found = profiles.exact_percentiles(table, ["g"], "v", shares)
+    asked = table.groupBy("g").agg(*[F.percentile("v", p).alias(n) for n, p in shares.items()])
+    key = lambda r: (r.g is None, r.g)
+    assert sorted(found.collect(), key=key) == sorted(asked.collect(), key=key)
+    assert "ObjectHashAggregate" not in plan(QUERIES["percentiles"](spark, SMOKE))  # no task holds a group's values

@@ -6,9 +6,12 @@ into; a part's edges are then met by equality. Medians come from counts of value
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import written
 from .spatial import large
 
 
@@ -55,6 +58,32 @@ def median_by_counts(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     return placed.groupBy(*keys).agg(((ends[0] + ends[1]) / 2).alias("median"))
 
 
+def exact_percentiles(rows: DataFrame, keys: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """(*keys, a column for each share) of a value, between the two rows around (n - 1) * share in proportion; nulls do not count.
+
+    Values are counted and dealt by range, so a group's values lie in many tasks; their numbers of rows, one for each task
+    and group, tell which ranges hold the ranks that are asked for, and only those are put in order.
+    """
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = rows.groupBy(*keys, value).agg(F.count(value).alias("_n")).repartitionByRange(tasks, *keys, value)
+    counts = written(counts.withColumn("_part", F.spark_partition_id()), "counts")
+    sums = counts.groupBy(*keys, "_part").agg(F.sum("_n").alias("_rows"))
+    each = Window.partitionBy(*keys)
+    sums = sums.withColumn("_all", F.sum("_rows").over(each)).withColumn("_first", F.sum("_rows").over(each.orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_rows"))
+    at = {name: (F.col("_all") - 1) * share for name, share in shares.items()}
+    ranks = [rank(place).cast("long") + 1 for place in at.values() for rank in (F.floor, F.ceil)]
+    here = lambda rank: (F.col("_first") < rank) & (F.col("_first") + F.col("_rows") >= rank)
+    asked = sums.withColumn("_asked", F.array_contains(F.array(*map(here, ranks)), True)).where("_asked or _all = 0")
+    named = {c: f"_{c}_asked" for c in [*keys, "_part"]}
+    same = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(n)) for c, n in named.items()))
+    met = counts.join(large(asked.withColumnsRenamed(named)), same).drop(*named.values())
+    upto = F.sum("_n").over(Window.partitionBy(*keys, "_part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    placed = met.withColumn("_upto", F.col("_first") + upto)
+    found = placed.groupBy(*keys, "_all").agg(*[F.min(F.when((F.col("_upto") >= rank) & (F.col("_upto") - F.col("_n") < rank), F.col(value))).alias(f"_v{k}") for k, rank in enumerate(ranks)])
+    between = lambda k, place: F.when(F.col(f"_v{k}") == F.col(f"_v{k + 1}"), F.col(f"_v{k}").cast("double")).otherwise((F.ceil(place) - place) * F.col(f"_v{k}") + (place - F.floor(place)) * F.col(f"_v{k + 1}"))
+    return found.select(*keys, *[between(2 * k, place).alias(name) for k, (name, place) in enumerate(at.items())])
+
+
 def route_profile(steps: DataFrame, points: DataFrame, key: str = "route") -> DataFrame:
     """(key, part, i0, i1, fun, lim, v, km, head): a part for each 1.5 km, from 8 to 40 of them.
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..country import NL
 from ..functions import roads
+from ..operators import profiles
 from ..rubric import RUBRIC
 from .base import Tables, query, r6
 
@@ -106,8 +107,8 @@ def weighted_route_stats(t: Tables) -> DataFrame:
 @query(f"""WITH {EDGE} SELECT CAST(sf AS INT) AS sf, round(quantile_cont(head, 0.2), 6) AS p20, round(median(head), 6) AS p50, round(quantile_cont(head, 0.9), 6) AS p90, round(quantile_cont(head, 0.99), 6) AS p99 FROM e GROUP BY sf""")
 def percentiles(t: Tables) -> DataFrame:
     """Exact percentiles of turning by surface."""
-    cut = lambda p: r6(F.percentile("head", p))
-    return edges(t).groupBy("sf").agg(cut(0.2).alias("p20"), cut(0.5).alias("p50"), cut(0.9).alias("p90"), cut(0.99).alias("p99"))
+    found = profiles.exact_percentiles(edges(t), ["sf"], "head", {"p20": 0.2, "p50": 0.5, "p90": 0.9, "p99": 0.99})
+    return found.select("sf", *[r6(p).alias(p) for p in ("p20", "p50", "p90", "p99")])
 
 
 @query("""SELECT l_orderkey, CAST(bit_and(255 - (1 << (l_linenumber % 8))) AS INT) AS mask FROM lineitem GROUP BY l_orderkey""")
