@@ -129,3 +129,8 @@ def test_percentiles_of_a_group_lie_in_many_tasks(spark):
     key = lambda r: (r.g is None, r.g)
     assert sorted(found.collect(), key=key) == sorted(asked.collect(), key=key)
     assert "ObjectHashAggregate" not in plan(QUERIES["percentiles"](spark, SMOKE))  # no task holds a group's values
+
+
+@pytest.mark.parametrize("name", ["route_profiles"])
+def test_profiles_shuffle_what_grows_with_routes(spark, name):
+    assert "BroadcastHashJoin" not in plan(QUERIES[name](spark, SMOKE))

@@ -22,29 +22,36 @@ def equal_parts(steps: DataFrame, parts: Column, key: str = "route") -> DataFram
     edges that begin in it; a part in which none begins has the one that begins next (the last edge at the end), so each
     has one at least. at: where edge i0 begins. A route without length is one part.
     """
+    ends = _placed(steps.select(key, "pos", "length_m"), key)
+    return _spans(ends, parts, key).join(large(ends.select(key, F.col("pos").cast("long").alias("i0"), F.col("_start").alias("at"))), [key, "i0"]).select(key, "part", "i0", "i1", "at")
+
+
+def _placed(steps: DataFrame, key: str) -> DataFrame:
+    """steps with _start and _end along their route."""
     along = Window.partitionBy(key).orderBy("pos")
-    steps = steps.select(key, "pos", "length_m")
-    ends = steps.withColumn("_end", F.sum("length_m").over(along)).withColumn("_start", F.coalesce(F.lag("_end").over(along), F.lit(0.0)))
-    whole = steps.groupBy(key).agg(F.max("pos").alias("_last"), F.count(F.lit(1)).alias("n_edges"))
-    total = ends.groupBy(key).agg(F.max("_end").alias("total_m")).join(whole, key)
+    ends = steps.withColumn("_end", F.sum("length_m").over(along))
+    return ends.withColumn("_start", F.coalesce(F.lag("_end").over(along), F.lit(0.0)))
+
+
+def _spans(ends: DataFrame, parts: Column, key: str) -> DataFrame:
+    """(key, part, i0, i1) of equal_parts, from placed steps."""
+    total = ends.groupBy(key).agg(F.max("_end").alias("total_m"), F.max("pos").alias("_last"), F.count(F.lit(1)).alias("n_edges"))
     total = total.withColumn("_parts", F.when(F.col("total_m") > 0, parts.cast("int")).otherwise(1))
     bounds = total.select(key, "_last", "_parts", "total_m", F.explode(F.sequence(F.lit(0), F.col("_parts"))).alias("_k"))
     at = F.when(F.col("_k") == F.col("_parts"), F.col("total_m")).otherwise(F.col("_k") * (F.col("total_m") / F.col("_parts")))
     placed_at = lambda c: F.round(c, 6)  # noqa: E731  sums of doubles that are one place count as one
-    marks = bounds.select(key, placed_at(at).alias("_s"), F.lit(0).alias("_kind"), "_k", "_last", "_parts")
-    none = F.lit(None).cast("int")
-    starts = ends.select(key, placed_at(F.col("_start")).alias("_s"), F.lit(1).alias("_kind"), none.alias("_k"), none.cast("long").alias("_last"), none.alias("_parts"))
-    final = total.select(key, placed_at(F.col("total_m")).alias("_s"), F.lit(1).alias("_kind"), none.alias("_k"), none.cast("long").alias("_last"), none.alias("_parts"))
+    marks = bounds.select(key, placed_at(at).alias("_s"), F.lit(0).alias("_kind"), "_k", F.col("_last").cast("long").alias("_last"), "_parts", "total_m")
+    none = lambda kind: F.lit(None).cast(kind)
+    mark = lambda place: [key, placed_at(F.col(place)).alias("_s"), F.lit(1).alias("_kind"), none("int").alias("_k"), none("long").alias("_last"), none("int").alias("_parts"), none("double").alias("total_m")]
     order = Window.partitionBy(key).orderBy("_s", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = marks.unionByName(starts).unionByName(final).withColumn("_before", F.sum("_kind").over(order)).where("_kind = 0")
+    seen = marks.unionByName(ends.select(*mark("_start"))).unionByName(total.select(*mark("total_m"))).withColumn("_before", F.sum("_kind").over(order)).where("_kind = 0")
     after = F.lead("_before").over(Window.partitionBy(key).orderBy("_k"))
     spans = seen.withColumn("_after", after).where("_k < _parts")
-    first = F.least("_before", "_last").cast("long")
-    spans = spans.select(key, F.col("_k").alias("part"), first.alias("i0"), F.greatest(first, F.least(F.col("_after") - 1, F.col("_last"))).cast("long").alias("i1"))
-    # a route without length: all of its edges
-    flat = total.where("total_m <= 0").select(key, F.lit(0).alias("part"), F.lit(0).cast("long").alias("i0"), F.col("_last").cast("long").alias("i1"))
-    spans = spans.join(flat.select(key), key, "left_anti").unionByName(flat)
-    return spans.join(ends.select(key, F.col("pos").cast("long").alias("i0"), F.col("_start").alias("at")), [key, "i0"]).select(key, "part", "i0", "i1", "at")
+    first, last = F.least("_before", "_last").cast("long"), F.col("_last")
+    flat = ~F.coalesce(F.col("total_m") > 0, F.lit(False))  # a route without length: all of its edges
+    return spans.select(
+        key, F.col("_k").alias("part"), F.when(flat, F.lit(0).cast("long")).otherwise(first).alias("i0"), F.when(flat, last).otherwise(F.greatest(first, F.least(F.col("_after") - 1, last))).cast("long").alias("i1"),
+    )
 
 
 def median_by_counts(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -91,23 +98,29 @@ def route_profile(steps: DataFrame, points: DataFrame, key: str = "route") -> Da
     hundredths, weighted by length; lim the median limit and v the same, at most 130; head the turning for each km of
     350 degrees, at most 1. i0 and i1 are places on the drawn line in proportion to the distance, km where the part begins.
     """
-    steps = steps.select(key, "pos", "length_m", "fun", "legal_speed", "head_per_km")
+    # what the steps come from is worked out once
+    steps = _placed(steps.select(key, F.col("pos").cast("long").alias("pos"), "length_m", "fun", "legal_speed", "head_per_km"), key)
+    steps = written(steps.withColumn("_s", F.col("_end") - F.col("length_m")), "steps")
     km = F.col("total_m") / 1000
-    parts = equal_parts(steps, F.greatest(F.lit(8), F.least(F.lit(40), F.bround(km / 1.5, 0))), key)
-    met = parts.withColumn("pos", F.explode(F.sequence("i0", "i1"))).join(steps.withColumn("pos", F.col("pos").cast("long")), [key, "pos"])
-    weight = F.greatest(F.sum("length_m"), F.lit(1e-9))
-    mean = lambda c: F.sum(F.col(c) * F.col("length_m")) / weight
-    means = met.groupBy(key, "part").agg(mean("fun").alias("_fun"), mean("head_per_km").alias("_head"))
-    limits = median_by_counts(met, [key, "part"], "legal_speed")
-    along = Window.partitionBy(key).orderBy("pos")
-    ends = steps.withColumn("_end", F.sum("length_m").over(along)).select(key, F.col("pos").cast("long").alias("pos"), (F.col("_end") - F.col("length_m")).alias("_s"))
-    total = steps.groupBy(key).agg(F.greatest(F.sum("length_m"), F.lit(1e-9)).alias("_total")).join(points, key)
-    scaled = parts.join(ends.select(key, F.col("pos").alias("i1"), F.col("_s").alias("_at1")), [key, "i1"]).join(total, key)
+    parts = _spans(steps, F.greatest(F.lit(8), F.least(F.lit(40), F.bround(km / 1.5, 0))), key)
+    met = parts.select(key, "part", F.col("i0").alias("_i0"), F.explode(F.sequence("i0", "i1")).alias("pos")).join(large(steps.drop("_end")), [key, "pos"])
+    # a row for each limit of a part: places, means and medians come from the same sums
+    sums = met.groupBy(key, "part", "legal_speed").agg(
+        F.count("legal_speed").alias("_n"), F.sum("length_m").alias("_m"), F.sum(F.col("fun") * F.col("length_m")).alias("_fun"), F.sum(F.col("head_per_km") * F.col("length_m")).alias("_head"),
+        F.min(F.when(F.col("pos") == F.col("_i0"), F.col("_start"))).alias("_at"), F.max("_s").alias("_at1"),
+    )
+    each = Window.partitionBy(key, "part")
+    placed = sums.withColumn("_upto", F.sum("_n").over(each.orderBy("legal_speed").rowsBetween(Window.unboundedPreceding, 0))).withColumn("_all", F.sum("_n").over(each))
+    limit = [F.min(F.when((F.col("_upto") >= at) & (F.col("_n") > 0), F.col("legal_speed"))) for at in (F.floor((F.col("_all") + 1) / 2), F.floor(F.col("_all") / 2) + 1)]
+    weight = F.greatest(F.sum("_m"), F.lit(1e-9))
+    found = placed.groupBy(key, "part").agg(
+        (F.sum("_fun") / weight).alias("_fun"), (F.sum("_head") / weight).alias("_head"), ((limit[0] + limit[1]) / 2).alias("median"), F.min("_at").alias("at"), F.max("_at1").alias("_at1"),
+    ).where("median is not null")
+    total = steps.groupBy(key).agg(F.greatest(F.sum("length_m"), F.lit(1e-9)).alias("_total")).join(large(points), key)
+    joined = found.join(large(total), key)
     place = lambda s: F.bround(F.round(s * ((F.col("n_points") - 1) / F.col("_total")), 9), 0).cast("long")
-    joined = scaled.join(means, [key, "part"]).join(limits, [key, "part"])
-    lim = F.bround("median", 0).cast("int")
     return joined.select(
-        key, "part", place(F.col("at")).alias("i0"), place(F.col("_at1")).alias("i1"), F.bround(F.round(F.col("_fun") * 100, 9), 0).cast("int").alias("fun"), lim.alias("lim"),
+        key, "part", place(F.col("at")).alias("i0"), place(F.col("_at1")).alias("i1"), F.bround(F.round(F.col("_fun") * 100, 9), 0).cast("int").alias("fun"), F.bround("median", 0).cast("int").alias("lim"),
         F.bround(F.least("median", F.lit(130)), 0).cast("int").alias("v"), F.round(F.col("at") / 1000, 2).alias("km"), F.round(F.least(F.col("_head") / 350, F.lit(1.0)), 2).alias("head"),
     )
 

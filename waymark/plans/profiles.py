@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import profiles
+from ..operators.spatial import large
 from .base import Tables, query
 
 STEPS = """step AS MATERIALIZED (SELECT o_custkey AS route, row_number() OVER (PARTITION BY o_custkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) - 1 AS pos, l_quantity * 26.371::DOUBLE AS length_m, l_discount * 10 AS fun, 30 + 10 * ((l_linenumber + l_partkey) % 11) AS legal_speed, l_tax * 3977.7::DOUBLE + l_partkey % 13 * 1.37::DOUBLE AS head_per_km, l_partkey AS part, l_linenumber AS line FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
@@ -14,7 +15,7 @@ ends AS MATERIALIZED (SELECT *, sum(length_m) OVER (PARTITION BY route ORDER BY
 
 def steps(t: Tables) -> DataFrame:
     order = Window.partitionBy("o_custkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
-    rows = t.lineitem.join(t.orders, F.col("o_orderkey") == F.col("l_orderkey"))
+    rows = t.lineitem.join(large(t.orders), F.col("o_orderkey") == F.col("l_orderkey"))
     return rows.select(
         F.col("o_custkey").alias("route"), (F.row_number().over(order) - 1).alias("pos"), (F.col("l_quantity") * 26.371).alias("length_m"), (F.col("l_discount") * 10).alias("fun"),
         (30 + 10 * ((F.col("l_linenumber") + F.col("l_partkey")) % 11)).alias("legal_speed"), (F.col("l_tax") * 3977.7 + F.col("l_partkey") % 13 * 1.37).alias("head_per_km"), F.col("l_partkey").alias("part"), F.col("l_linenumber").alias("line"),
@@ -31,7 +32,7 @@ SELECT route, CAST(part AS INT) AS part, CAST(round_even(round(at0 * (99 / total
 def route_profiles(t: Tables) -> DataFrame:
     """Parts of each route of equal distance: fun, median limit, turning."""
     rows = steps(t)
-    points = rows.select("route").distinct().withColumn("n_points", F.lit(100))
+    points = t.orders.select(F.col("o_custkey").alias("route")).distinct().withColumn("n_points", F.lit(100))
     return profiles.route_profile(rows, points)
 
 
