@@ -131,6 +131,6 @@ def test_percentiles_of_a_group_lie_in_many_tasks(spark):
     assert "ObjectHashAggregate" not in plan(QUERIES["percentiles"](spark, SMOKE))  # no task holds a group's values
 
 
-@pytest.mark.parametrize("name", ["route_profiles"])
+@pytest.mark.parametrize("name", ["route_profiles", "height_profiles"])
 def test_profiles_shuffle_what_grows_with_routes(spark, name):
     assert "BroadcastHashJoin" not in plan(QUERIES[name](spark, SMOKE))

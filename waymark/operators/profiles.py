@@ -145,18 +145,22 @@ def height_profile(points: DataFrame, most: int = 60, gaps: bool = True, key: st
     unknown if one of them is. Unknown places take the median of the known ones; without `gaps` a route with an unknown
     place has no profile, and a route without any known place never has one.
     """
-    whole = points.groupBy(key).agg(F.max("seq").alias("_last"), F.max("s").alias("_total")).where("_last >= 1")
+    # a vertex holds the next one, so a place meets one row; what the points come from is worked out once
+    along = Window.partitionBy(key).orderBy("seq")
+    follows = F.lead("seq").over(along) == F.col("seq") + 1
+    ahead = [F.when(follows, F.lead(c).over(along)).alias(f"_{c}1") for c in ("s", "z")]
+    vertices = written(points.select(key, F.col("seq").cast("long").alias("_i"), F.col("s").alias("_s0"), F.col("z").alias("_z0"), *ahead), "vertices")
+    whole = vertices.groupBy(key).agg(F.max("_i").alias("_last"), F.max("_s0").alias("_total")).where("_last >= 1")
     n = F.greatest(F.lit(8), F.least(F.lit(most), F.bround(F.col("_total") / 1000 / 1.5, 0))).cast("int")
     asked = whole.withColumn("_n", n).withColumn("nth", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    asked = asked.withColumn("_at", F.col("nth") * (F.col("_last") / (F.col("_n") - 1))).withColumn("_i", F.least(F.floor("_at"), F.col("_last")).cast("long")).withColumn("_f", F.col("_at") - F.col("_i"))
-    side = lambda name, ahead: points.select(key, (F.col("seq") - ahead).cast("long").alias("_i"), F.col("s").alias(f"_s{name}"), F.col("z").alias(f"_z{name}"))
-    both = asked.join(side("0", 0), [key, "_i"]).join(side("1", 1), [key, "_i"], "left")
+    asked = asked.withColumn("_at", F.col("nth") * (F.col("_last") / (F.col("_n") - 1))).withColumn("_i", F.least(F.floor("_at"), F.col("_last")).cast("long"))
+    both = asked.select(key, "nth", "_last", "_i", (F.col("_at") - F.col("_i")).alias("_f")).join(large(vertices), [key, "_i"])
     between = lambda a, b: F.when(F.col(b).isNull() & (F.col("_i") == F.col("_last")), F.col(a)).otherwise(F.col(a) * (1 - F.col("_f")) + F.col(b) * F.col("_f"))
     placed = both.select(key, "nth", between("_s0", "_s1").alias("_s"), between("_z0", "_z1").alias("_z"))
     median = median_by_counts(placed, [key], "_z")
     if not gaps:
-        placed = placed.join(placed.where("_z is null").select(key).distinct(), key, "left_anti")
-    return placed.join(median, key).select(key, "nth", F.round(F.col("_s") / 1000, 2).alias("km"), F.round(F.coalesce("_z", "median"), 1).alias("z"))
+        placed = placed.join(large(placed.where("_z is null").select(key).distinct()), key, "left_anti")
+    return placed.join(large(median), key).select(key, "nth", F.round(F.col("_s") / 1000, 2).alias("km"), F.round(F.coalesce("_z", "median"), 1).alias("z"))
 
 
 def corner_markers(routes: DataFrame, corners: DataFrame, edges: DataFrame, vertices: DataFrame, most: int = 24, key: str = "route") -> DataFrame:
