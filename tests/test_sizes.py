@@ -134,3 +134,18 @@ def test_percentiles_of_a_group_lie_in_many_tasks(spark):
 @pytest.mark.parametrize("name", ["route_profiles", "height_profiles"])
 def test_profiles_shuffle_what_grows_with_routes(spark, name):
     assert "BroadcastHashJoin" not in plan(QUERIES[name](spark, SMOKE))
+
+
+def test_components_deal_links_to_as_many_tasks_as_they_ask_for(spark, monkeypatch):
+    from waymark.operators import graph, spatial
+
+    links = spark.range(400).selectExpr("id as a", "if(id % 40 = 39, id, id + 1) as b")
+    monkeypatch.setattr(spatial, "TASK_ROWS", 25)
+    plans, write = [], graph.written
+    monkeypatch.setattr(graph, "written", lambda df, what, kept=False: plans.append(plan(df)) or write(df, what, kept))
+    found = graph.components(links)
+    assert {(r.node, r.root) for r in found.collect()} == {(k, k // 40 * 40) for k in range(400)}
+    assert "hashpartitioning(u#" in plans[1] and all("REPARTITION_BY_NUM" in p for p in plans[1:])
+    import re
+
+    assert not any(int(n) == 4 for p in plans for n in re.findall(r"hashpartitioning\([^()]*, (\d+)\)", p))  # none is left to the session's four

@@ -26,6 +26,16 @@ def large(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+#: Rows of a few numbers that one task sorts and groups: some 400 bytes for each.
+TASK_ROWS = 1 << 20
+
+
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """df dealt by its keys to as many tasks as its rows ask for; where the session's number is enough, left to Spark."""
+    tasks = -(-rows // TASK_ROWS)
+    return df if tasks <= int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df.repartition(tasks, *keys)
+
+
 def cell(x: Column, y: Column, side: float) -> Column:
     return F.struct(F.floor(x / side).alias("cx"), F.floor(y / side).alias("cy"))
 
