@@ -192,3 +192,27 @@ def test_another_way_back(spark):
     assert [tuple(r) for r in ends.collect()] == [(4, 0, 1)]
     got = circuits.circuits(ends.withColumnRenamed("area", "pair"), edges, nodes, segments).collect()
     assert [(r["pair"], r["edges"], r["out_and_back"]) for r in got] == [(4, [0, 2, 3], False)]
+
+
+def test_rounds_are_tiles_and_not_edges(spark):
+    n = 200  # a straight road: as many edges on the way, in one tile
+    rows = [(k, k, k + 1, k, 100.0, 100.0, False) for k in range(n)]
+    edges, nodes = frames(spark, {k: (100.0 * k, 0.0) for k in range(n + 1)}, rows)
+    pair = spark.createDataFrame([(0, 0, n)], "pair long, start long, goal long")
+    assert search.cheapest_routes(edges, nodes, pair, most_rounds=12).first()["path"] == list(range(n))
+
+
+def test_search_across_tiles_equals_dijkstra(spark, monkeypatch):
+    monkeypatch.setattr(search, "TILE", 6)
+    at, rows = network(3)
+    rows = [(*r[:4], r[4] and float(math.ceil(r[4])), *r[5:]) for r in rows]  # whole costs: some ways are equally dear
+    edges, nodes = frames(spark, at, rows)
+    rng = random.Random(4)
+    pairs = [(k, *rng.sample(range(60), 2)) for k in range(6)]
+    asked = spark.createDataFrame(pairs, "pair long, start long, goal long")
+    table = {(k, s): rng.choice([1.0, 2.5, None]) for k, *_ in pairs for s in rng.sample(range(1, 100), 20)}
+    dearer = spark.createDataFrame([(*k, f) for k, f in table.items()], "pair long, slice_id long, factor double")
+    shut = {(k, e) for k, *_ in pairs for e in rng.sample([r[0] for r in rows], 10)}
+    found = search.cheapest_routes(edges, nodes, asked, dearer=dearer, closed=spark.createDataFrame(sorted(shut), "pair long, edge_id long"))
+    want = {k: w for k, a, b in pairs if (w := dijkstra([r for r in rows if (k, r[0]) not in shut], a, b, lambda s, k=k: table.get((k, s), 1.0)))}
+    assert {r["pair"]: (r["cost"], r["path"]) for r in found.collect()} == want and len(want) > 3

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..storage import passing, written
 from .routes import retrace_share, route_points, trace
-from .search import broken, cheapest_routes, slice_share, steps_of
+from .search import broken, cheapest_routes, ground, slice_share, steps_of
 from .spatial import large
 
 #: A side trip goes if so much of it retraces itself; a circuit with more is an out-and-back.
@@ -105,7 +105,8 @@ def circuit_variants(
     After each turn the slices that a pair has used cost it `reuse` times as much as before. A pair stops at a circuit
     that shares more than most_overlap of its own length with an earlier one of the pair, or when it has none.
     """
-    edges, nodes, segments = (written(df, what, kept=True) for df, what in ((edges, "edges"), (nodes, "nodes"), (segments, "segments")))  # searched many times
+    edges, nodes, segments, pairs = (written(df, what, kept=True) for df, what in ((edges, "edges"), (nodes, "nodes"), (segments, "segments"), (pairs, "pairs")))  # searched many times
+    options = {"ground": ground(edges, nodes, options.get("rate", 1.0)), **options}
     lengths = edges.select("edge_id", "slice_id", "length_m")
     kept, dearer, going = None, None, pairs
     for variant in range(most):
