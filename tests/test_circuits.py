@@ -216,3 +216,21 @@ def test_search_across_tiles_equals_dijkstra(spark, monkeypatch):
     found = search.cheapest_routes(edges, nodes, asked, dearer=dearer, closed=spark.createDataFrame(sorted(shut), "pair long, edge_id long"))
     want = {k: w for k, a, b in pairs if (w := dijkstra([r for r in rows if (k, r[0]) not in shut], a, b, lambda s, k=k: table.get((k, s), 1.0)))}
     assert {r["pair"]: (r["cost"], r["path"]) for r in found.collect()} == want and len(want) > 3
+
+
+def test_area_circuits_reach_the_far_corner(spark, data):
+    from waymark.plans.base import Tables
+    from waymark.plans.journeys import ACROSS, lattice
+    from waymark.queries import QUERIES
+
+    ways = {r.edge_id: (r.u, r.v) for r in lattice(Tables(spark, data))[0].collect()}
+    areas = {}
+    for u, v in ways.values():
+        if u < v and u // (20 * ACROSS) == v // (20 * ACROSS):
+            areas.setdefault(u // (20 * ACROSS), set()).update((u, v))
+    found = {r.area: [int(e) for e in r.edges.split(",")] for r in QUERIES["area_circuits"](spark, data).where("variant = 0").collect()}
+    assert found
+    for area, edges in found.items():
+        start = ways[edges[0]][0]
+        away = lambda n, start=start: math.dist((n % ACROSS, n // ACROSS), (start % ACROSS, start // ACROSS))
+        assert max(away(ways[e][1]) for e in edges) >= max(map(away, areas[area])) - 1e-9

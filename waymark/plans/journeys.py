@@ -42,16 +42,23 @@ def goal_directed_routes(t: Tables) -> DataFrame:
     return search.cheapest_routes(edges, nodes, pairs, bound=6000.0).select("pair", F.round("cost", 4).alias("cost"))
 
 
+def area_stretches(ahead: DataFrame) -> DataFrame:
+    """(area, rank, start_node, end_node): all roads of the lattice that lie in one block of twenty rows."""
+    rows = ACROSS * 20
+    inside = ahead.where(f"not rev and u div {rows} = v div {rows}")
+    return inside.select(F.expr(f"u div {rows}").alias("area"), (F.col("edge_id") % (4 * rows)).alias("rank"), F.col("u").alias("start_node"), F.col("v").alias("end_node"))
+
+
 @query(None)
 def area_circuits(t: Tables) -> DataFrame:
-    """Up to two circuits of each area (a block of twenty rows), out to its far corner and back on other roads (searches: tested one by one)."""
+    """Up to two circuits of each area (a block of twenty rows), out to its far corner and back on other roads (searches: tested one by one).
+
+    Every road inside an area is a stretch of it, in the order of the lattice.
+    """
     edges, nodes = lattice(t)
-    rows = ACROSS * 20
-    stretches = nodes.where(f"node % {rows} in (3, 101, 129)").select(F.expr(f"node div {rows}").alias("area"), "node", (F.col("node") + 1).alias("after"))
-    stretches = stretches.select("area", (F.col("node") % rows).alias("rank"), F.col("node").alias("start_node"), F.col("after").alias("end_node"))
-    pairs = circuits.farthest_ends(stretches, nodes).withColumnRenamed("area", "pair")
-    place = lambda name: nodes.select(F.col("node").alias(name), F.struct("x", "y").alias(f"_{name}"))
     ahead = edges.withColumn("rev", F.col("u") > F.col("v"))
+    pairs = circuits.farthest_ends(area_stretches(ahead), nodes).withColumnRenamed("area", "pair")
+    place = lambda name: nodes.select(F.col("node").alias(name), F.struct("x", "y").alias(f"_{name}"))
     drawn = ahead.where("not rev").join(place("u"), "u").join(place("v"), "v").select("slice_id", F.array("_u", "_v").alias("line"))
     found = circuits.circuit_variants(pairs, ahead, nodes, drawn)
     return found.select(F.col("pair").alias("area"), "variant", F.array_join("edges", ",").alias("edges"), "out_and_back")
