@@ -149,3 +149,22 @@ def test_components_deal_links_to_as_many_tasks_as_they_ask_for(spark, monkeypat
     import re
 
     assert not any(int(n) == 4 for p in plans for n in re.findall(r"hashpartitioning\([^()]*, (\d+)\)", p))  # none is left to the session's four
+
+
+def test_stretches_leave_the_miner_one_by_one(spark):
+    import tracemalloc
+
+    import numpy as np
+    from waymark.operators import graph
+
+    n = 40_000  # pairs of edges, each pair a stretch of its own, all in one component's task
+    k = np.arange(n)
+    rows = {"edge_id": np.concatenate([k, n + k]), "u": np.concatenate([k, n + k]), "v": np.concatenate([n + k, 2 * n + k]), "slice_id": np.arange(2 * n), "length_m": np.full(2 * n, 600.0), "fun": np.full(2 * n, 0.7)}
+    tracemalloc.start()
+    count = 0
+    for edges, *_ in graph._Part(rows, 0.55, 400.0, 8).stretches(1000.0):
+        assert edges == [count, n + count]
+        count += 1
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert count == n and peak < 150 * 2 * n  # bytes for an edge, building included
