@@ -168,3 +168,14 @@ def test_stretches_leave_the_miner_one_by_one(spark):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert count == n and peak < 150 * 2 * n  # bytes for an edge, building included
+
+
+def test_shipments_deal_lines_to_as_many_tasks_as_they_ask_for(spark, monkeypatch):
+    from waymark.operators import spatial
+    from waymark.plans.base import Tables
+    from waymark.plans.network import shipments
+
+    want = sorted(shipments(Tables(spark, SMOKE)).collect())
+    monkeypatch.setattr(spatial, "TASK_ROWS", 500)
+    dealt = shipments(Tables(spark, SMOKE))
+    assert plan(dealt).count("REPARTITION_BY_NUM") == 2 and sorted(dealt.collect()) == want
